@@ -34,6 +34,10 @@ def _nothing() -> Column:
     return F.lit(None).cast("string")
 
 
+def _no_raw() -> Column:
+    return F.lit(None).cast("variant")
+
+
 # --- JSON-LD ------------------------------------------------------------------------------------
 
 
@@ -43,14 +47,14 @@ def _jsonld_item(entry: Column, context: Column, in_graph: bool, with_raw: bool)
         JSON_LD,
         F.coalesce(V.joined_text(V.member(entry, "@type"), ", "), F.lit(UNKNOWN)),
         kept,
-        F.to_json(entry) if with_raw else _nothing(),
+        entry if with_raw else _no_raw(),
         context,
         in_graph,
     )
 
 
 def _malformed_item(text: Column) -> Column:
-    return _item(JSON_LD, F.lit(MALFORMED), F.create_map().cast("map<string,variant>"), text, _nothing())
+    return _item(JSON_LD, F.lit(MALFORMED), F.create_map().cast("map<string,variant>"), V.to_variant(text), _nothing())
 
 
 def _block_items(block: Column, with_raw: bool) -> Column:
@@ -154,7 +158,7 @@ def _scoped_items(rows: Column, kind: str, name_of, raw_of, with_raw: bool) -> C
                 kind,
                 name_of(header),
                 properties,
-                raw_of(header, properties) if with_raw else _nothing(),
+                F.to_variant_object(raw_of(header, properties)) if with_raw else _no_raw(),
                 header["context"],
             ),
         )
@@ -209,9 +213,7 @@ def microdata_items(nodes: Column, with_raw: bool = False) -> Column:
         F.concat(headers, members),
         MICRODATA,
         lambda header: microdata_type(header["value"]),
-        lambda header, properties: F.to_json(
-            F.struct(header["value"].alias("itemtype"), properties.alias("properties"))
-        ),
+        lambda header, properties: F.struct(header["value"].alias("itemtype"), properties.alias("properties")),
         with_raw,
     )
 
@@ -247,12 +249,10 @@ def rdfa_items(nodes: Column, with_raw: bool = False) -> Column:
             F.concat(headers, own, inner),
             RDFA,
             lambda header: header["value"],
-            lambda header, found: F.to_json(
-                F.struct(
-                    header["value"].alias("typeof"),
-                    F.coalesce(header["context"], F.lit("")).alias("vocab"),
-                    found.alias("properties"),
-                )
+            lambda header, found: F.struct(
+                header["value"].alias("typeof"),
+                F.coalesce(header["context"], F.lit("")).alias("vocab"),
+                found.alias("properties"),
             ),
             with_raw,
         )
@@ -266,7 +266,7 @@ def rdfa_items(nodes: Column, with_raw: bool = False) -> Column:
             rows,
             RDFA,
             lambda header: header["value"],
-            lambda _, found: F.to_json(F.struct(found.alias("properties"))),
+            lambda _, found: F.struct(found.alias("properties")),
             with_raw,
         )
 

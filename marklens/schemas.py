@@ -14,7 +14,7 @@ DOCUMENT = f"struct<error:string,scripts:array<{SCRIPT}>,nodes:array<{NODE}>,hre
 
 ITEM = (
     "struct<schema_format:string,schema_type:string,properties:map<string,variant>,"
-    "raw:string,context:string,is_graph_item:boolean>"
+    "raw:variant,context:string,is_graph_item:boolean>"
 )
 ITEMS = f"array<{ITEM}>"
 
