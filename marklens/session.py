@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +22,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to reliable storage and read on from there, so a lost executor costs one stage, not the loop.
+def _shared_folder(spark: SparkSession) -> str | None:
+    """The folder that all executors reach, as the cluster names it."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for written intermediates: under the shared one, or a local one where none is named (tests)."""
+    shared = _shared_folder(spark)
+    if shared is None:
+        return tempfile.mkdtemp(prefix="marklens-")
+    return f"{shared.rstrip('/')}/marklens-{uuid.uuid4().hex}"
 
-    The folder is the cluster's `spark.checkpoint.dir`. Only where none is set, as in local tests, one is made.
-    """
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to reliable storage and read on from there, so a lost executor costs one stage, not the loop."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marklens-checkpoint-"))
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint(eager=True)
