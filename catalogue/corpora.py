@@ -6,24 +6,38 @@ reading any HTML. Page ids are `10 * key + family number`, unique over all corpo
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marklens import rules
+from marklens.functions.columns import built_once
 from marklens.sources.pages import fetched_pages, spread
 
 CONTEXT = "https://schema.org"
 
 
+Corpus = Callable[[SparkSession, str], DataFrame]
+
+
+def _spread_out(build: Corpus) -> Corpus:
+    """Small tables come as one file split; their pages are spread over the cores."""
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spread(build(spark, sf_dir))
+
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _wide(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The columns a corpus needs, over enough partitions, before any HTML is put together."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+def _columns(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(*columns)
 
 
 def _text(*parts: str | Column) -> Column:
@@ -71,6 +85,7 @@ def _corpus(source: DataFrame, family: int, key: Column, url_prefix: str, html:
     )
 
 
+@built_once
 def _product_html() -> Column:
     key = F.col("p_partkey")
     name = F.col("p_name")
@@ -100,15 +115,17 @@ def _product_html() -> Column:
     return _page(name, _by_variant(key % 12, bodies), "")
 
 
+@_spread_out
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 0, from `part`: JSON-LD products, twelve variants."""
-    source = _wide(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    source = _columns(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
     return _corpus(source, 0, F.col("p_partkey"), "https://shop.example.com/product/", _product_html())
 
 
+@_spread_out
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 1, from `orders`: articles, events, FAQ pages and breadcrumbs, six variants."""
-    source = _wide(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderpriority")
+    source = _columns(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderpriority")
     key = F.col("o_orderkey")
     headline = _text("Order ", key.cast("string"))
     author = F.col("o_orderpriority")
@@ -147,9 +164,10 @@ SHAPED_VALUES = {
 }
 
 
+@_spread_out
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 2, from `part`: every type with required properties, one of them left out by `p_size`."""
-    source = _wide(spark, sf_dir, "part", "p_partkey", "p_size")
+    source = _columns(spark, sf_dir, "part", "p_partkey", "p_size")
     names = list(rules.REQUIRED_PROPERTIES)
     at = (F.col("p_partkey") % len(names)).cast("int")
     all_names = F.array(*map(F.lit, names))
@@ -165,9 +183,10 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(source, 2, F.col("p_partkey"), "https://types.example.com/t/", html)
 
 
+@_spread_out
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 3, from `supplier`: Microdata, six variants."""
-    source = _wide(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_acctbal")
+    source = _columns(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_acctbal")
     key, name = F.col("s_suppkey"), F.col("s_name")
     number = key.cast("string")
     cents = F.round(F.col("s_acctbal") * 100).cast("bigint").cast("string")
@@ -202,9 +221,10 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_spread_out
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 4, from `customer`: RDFa, five variants."""
-    source = _wide(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
+    source = _columns(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
     key, name = F.col("c_custkey"), F.col("c_name")
     nation = _text("N", F.col("c_nationkey").cast("string"))
     bodies = [
@@ -228,9 +248,10 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(source, 4, key, "https://id.example.com/c/", _page(name, in_head, _by_variant(key % 5, bodies)))
 
 
+@_spread_out
 def oddities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 5, from `events`: untyped, empty, deprecated and unsupported items, URL and date shapes."""
-    source = _wide(spark, sf_dir, "events", "event_id", "ts", "event_type", "props")
+    source = _columns(spark, sf_dir, "events", "event_id", "ts", "event_type", "props")
     key, name = F.col("event_id"), F.col("event_type")
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     bodies = [
@@ -252,14 +273,10 @@ def oddities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(source, 5, key, "https://odd.example.com/e/", _page(name, _by_variant(key % 8, bodies), ""))
 
 
-def all_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    families = [products, articles, typed, listings, profiles, oddities]
-    return reduce(DataFrame.unionByName, [family(spark, sf_dir) for family in families])
-
-
+@_spread_out
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 6, from `part`: product pages with failed, missing and non-HTML responses among them."""
-    source = _wide(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    source = _columns(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
     key = F.col("p_partkey")
     slot = key % 50
     return source.select(
@@ -273,9 +290,25 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _together(*corpora: Corpus) -> Corpus:
+    """Pages of several corpora, spread once."""
+
+    @_spread_out
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [corpus.__wrapped__(spark, sf_dir) for corpus in corpora])
+
+    return get
+
+
+jsonld_pages = _together(products, articles, oddities)
+all_markup = _together(products, articles, typed, listings, profiles, oddities)
+markup_and_log = _together(products, articles, typed, listings, profiles, oddities, fetch_log)
+
+
+@_spread_out
 def real_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given `pages`."""
-    return fetched_pages(spread(table(spark, sf_dir, "pages")))
+    return fetched_pages(table(spark, sf_dir, "pages"))
 
 
 GRAPH_HOST = "graph.example.com"
@@ -283,12 +316,13 @@ GRAPH_START = f"https://{GRAPH_HOST}/c/0"
 FAN_OUT = 10
 
 
+@_spread_out
 def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 7, from `customer`: page k links to pages 10k+1 to 10k+10 in several notations, back to page 0, and out.
 
     Keys beyond the table are links to pages that the snapshot lacks; some pages were not found when fetched.
     """
-    source = _wide(spark, sf_dir, "customer", "c_custkey", "c_name")
+    source = _columns(spark, sf_dir, "customer", "c_custkey", "c_name")
     key = F.col("c_custkey")
     notations = ["/c/{}", "{}", "../c/{}#part", f"//{GRAPH_HOST}/c/{{}}/", f"https://{GRAPH_HOST}/c/{{}}"]
     children = []

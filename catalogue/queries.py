@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import marklens as m
 from marklens.functions import variants as V
 from marklens.functions.urls import is_document_url, netloc, normalise_url, url_path
-from marklens.plans.report import tallies
 from marklens.operators.elements import read_document
+from marklens.plans.report import tallies
 from marklens.session import scratch_folder
 
 from . import corpora as C
@@ -57,8 +57,7 @@ def _issues(pages: DataFrame, *kinds: str, google_guidelines: bool = True) -> Da
 
 @query
 def jsonld_items(spark, sf_dir):
-    pages = C.products(spark, sf_dir).unionByName(C.articles(spark, sf_dir)).unionByName(C.oddities(spark, sf_dir))
-    return _items(pages)
+    return _items(C.jsonld_pages(spark, sf_dir))
 
 
 @query
@@ -220,7 +219,7 @@ def filter_severity_warning(spark, sf_dir):
 
 @query
 def filter_type(spark, sf_dir):
-    pages = C.all_markup(spark, sf_dir).unionByName(C.fetch_log(spark, sf_dir))
+    pages = C.markup_and_log(spark, sf_dir)
     return _shape(m.filter_pages(m.audit_pages(pages), schema_types="Product, Organization"))
 
 
@@ -236,7 +235,7 @@ def quality_gate(spark, sf_dir):
 
 @query
 def summary(spark, sf_dir):
-    pages = C.all_markup(spark, sf_dir).unionByName(C.fetch_log(spark, sf_dir))
+    pages = C.markup_and_log(spark, sf_dir)
     return m.summary(m.audit_pages(pages, "sitemap"))
 
 
@@ -276,7 +275,7 @@ def fetch_sitemap_mode(spark, sf_dir):
 
 @query
 def report_rows(spark, sf_dir):
-    pages = C.all_markup(spark, sf_dir).unionByName(C.fetch_log(spark, sf_dir))
+    pages = C.markup_and_log(spark, sf_dir)
     return m.report_rows(m.audit_pages(pages, "sitemap")).drop("row_ord")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,24 @@ WHITESPACE = (
 )
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep what `build` returns, per arguments, for as long as the JVM behind it lives.
+
+    A large expression takes thousands of small calls into the JVM to put together; the finished column can be used
+    in any number of queries.
+    """
+    built: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def get(*key):
+        slot = (SparkContext._gateway, *key)
+        if slot not in built:
+            built[slot] = build(*key)
+        return built[slot]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once per row and use it any number of times in `body`."""
     return F.transform(F.array(value), lambda bound: body(bound))[0]

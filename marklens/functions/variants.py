@@ -40,19 +40,21 @@ def to_variant(value: Column) -> Column:
 
 def is_truthy(value: Column) -> Column:
     """Python truthiness: absent, null, "", 0, false, [] and {} are false."""
-    kind = F.schema_of_variant(value)
-    scalar = let(
-        kind,
-        lambda k: F.when(k == "VOID", F.lit(False))
-        .when(k == "STRING", as_text(value) != "")
-        .when(k == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .otherwise(F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True))),
-    )
-    return (
-        F.when(value.isNull(), F.lit(False))
-        .when(as_list(value).isNotNull(), F.size(as_list(value)) > 0)
-        .when(as_object(value).isNotNull(), F.size(as_object(value)) > 0)
-        .otherwise(scalar)
+
+    def scalar(kind: Column) -> Column:
+        return (
+            F.when(kind == "VOID", F.lit(False))
+            .when(kind == "STRING", as_text(value) != "")
+            .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+            .otherwise(F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True)))
+        )
+
+    return F.when(value.isNull(), F.lit(False)).otherwise(
+        F.coalesce(
+            F.array_size(as_list(value)) > 0,
+            F.array_size(F.map_keys(as_object(value))) > 0,
+            let(F.schema_of_variant(value), scalar),
+        )
     )
 
 
@@ -70,7 +72,9 @@ def python_text(value: Column) -> Column:
 
 def joined_text(value: Column, separator: str) -> Column:
     """A scalar as text, a list joined by `separator`; NULL where the result is falsy."""
-    entries = as_list(value)
-    joined = F.array_join(F.transform(entries, python_text), separator)
-    text = F.when(entries.isNotNull(), joined).when(is_truthy(value), python_text(value))
-    return F.nullif(text, F.lit(""))
+
+    def text(bound: Column) -> Column:
+        joined = F.array_join(F.transform(as_list(bound), python_text), separator)
+        return F.coalesce(joined, F.when(is_truthy(bound), python_text(bound)))
+
+    return F.nullif(let(value, text), F.lit(""))

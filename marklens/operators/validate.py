@@ -164,7 +164,7 @@ def faq_issues(properties: Column) -> Column:
 
 def breadcrumb_issues(properties: Column) -> Column:
     return _one(
-        ~V.is_truthy(properties["itemListElement"]),
+        let(properties["itemListElement"], lambda entries: ~V.is_truthy(entries)),
         _issue(
             TYPE_RULE,
             "missing_required_property",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import keep_rows
+from ..functions.columns import built_once
 from ..operators.elements import read_document
 from ..operators.extract import all_items
 from ..operators.validate import conflict_issues, page_issues
@@ -14,6 +14,21 @@ from ..sources.pages import classify_pages
 PAGE_RESULT_COLUMNS = ["page_id", "url", "fetch_error", "items", "errors", "warnings", "info"]
 
 
+@built_once
+def _items(with_raw: bool) -> Column:
+    return all_items(F.col("document"), with_raw)
+
+
+@built_once
+def _issues(google_guidelines: bool) -> Column:
+    return page_issues(F.col("items"), google_guidelines)
+
+
+@built_once
+def _conflicts() -> Column:
+    return conflict_issues(F.col("items"))
+
+
 def _of_severity(severity: str) -> Column:
     return F.filter("issues", lambda issue: issue["severity"] == severity)
 
@@ -21,9 +36,9 @@ def _of_severity(severity: str) -> Column:
 def validate_items(pages: DataFrame, google_guidelines: bool = True) -> DataFrame:
     """Add `errors`, `warnings` and `info` to a table whose rows hold a page's `items`."""
     return (
-        pages.withColumn("issues", page_issues(F.col("items"), google_guidelines))
+        pages.withColumn("issues", _issues(google_guidelines))
         .withColumn("errors", _of_severity("error"))
-        .withColumn("warnings", F.concat(_of_severity("warning"), conflict_issues(F.col("items"))))
+        .withColumn("warnings", F.concat(_of_severity("warning"), _conflicts()))
         .withColumn("info", _of_severity("info"))
         .drop("issues")
     )
@@ -32,7 +47,7 @@ def validate_items(pages: DataFrame, google_guidelines: bool = True) -> DataFram
 def extract_pages(pages: DataFrame, mode: str = "crawl", with_raw: bool = False, links: bool = False) -> DataFrame:
     """Classified pages with their `items` (and the `hrefs` of their links where asked for)."""
     read = classify_pages(pages, mode).withColumn("document", read_document(F.col("html"), True, links))
-    found = read.withColumn("items", all_items(F.col("document"), with_raw)).withColumn(
+    found = read.withColumn("items", _items(with_raw)).withColumn(
         "fetch_error", F.coalesce("fetch_error", "document.error")
     )
     if links:
@@ -77,14 +92,3 @@ def page_counts(results: DataFrame) -> DataFrame:
         (errors > 0).alias("has_errors"),
     )
 
-
-__all__ = [
-    "PAGE_RESULT_COLUMNS",
-    "audit_pages",
-    "extract_pages",
-    "issues_table",
-    "items_table",
-    "keep_rows",
-    "page_counts",
-    "validate_items",
-]
