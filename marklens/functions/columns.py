@@ -91,6 +91,15 @@ def split_runs(ordered: Column, starts_run: Callable[[Column, Column], Column])
     return let(ordered, cut)
 
 
+def entries_of(array: Column | str) -> Column:
+    """The array as the input of explode or inline.
+
+    Of a bare column Catalyst infers that the array is not empty, and pushes that filter below the projection that
+    makes the array, so all of it would be computed twice. It infers nothing of a CASE.
+    """
+    return F.when(F.size(array) > 0, F.col(array) if isinstance(array, str) else array)
+
+
 def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on a column that is expensive to compute, computing it once.
 

@@ -47,6 +47,5 @@ def links_table(pages: DataFrame, same_domain: bool = True, host: str | None = N
     wanted = (F.lit(host) if host is not None else netloc(F.col("url"))) if same_domain else None
     return (
         page_hrefs(pages)
-        .select("page_id", F.col("url").alias("src"), link_targets(F.col("hrefs"), F.col("url"), wanted).alias("links"))
-        .select("page_id", "src", F.inline("links"))
+        .select("page_id", F.col("url").alias("src"), F.inline(link_targets(F.col("hrefs"), F.col("url"), wanted)))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import built_once
+from ..functions.columns import built_once, entries_of
 from ..operators.elements import read_document
 from ..operators.extract import all_items
 from ..operators.validate import conflict_issues, page_issues
@@ -69,7 +69,7 @@ def audit_pages(
 def items_table(results: DataFrame) -> DataFrame:
     """One row per item, numbered within its page."""
     return results.select(
-        "page_id", "url", F.posexplode("items").alias("item_ord", "item")
+        "page_id", "url", F.posexplode(entries_of("items")).alias("item_ord", "item")
     ).select("page_id", "url", "item_ord", "item.*")
 
 

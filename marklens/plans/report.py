@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.columns import entries_of
+from ..session import cut_lineage
 
 COUNTERS = [
     "total_pages",
@@ -53,7 +55,7 @@ def summary(results: DataFrame) -> DataFrame:
 
 def _counts(results: DataFrame, field: str) -> DataFrame:
     return (
-        results.select(F.explode(f"items.{field}").alias(field))
+        results.select(F.explode(entries_of(f"items.{field}")).alias(field))
         .groupBy(field)
         .agg(F.count(F.lit(1)).alias("n_items"))
         .orderBy(F.desc("n_items"), field)
@@ -92,8 +94,13 @@ def tallies(results: DataFrame) -> DataFrame:
         F.transform("items", lambda item: row("type", item["schema_type"], one)),
         F.transform("items", lambda item: row("format", item["schema_format"], one)),
     )
+    # Without any page there is still a row of zeros to report.
+    none = results.sparkSession.range(1).select(F.inline(F.array(row("pages", F.lit(""), {}))))
     return (
-        results.select(F.inline(rows)).groupBy("kind", "name").agg(*[F.sum(name).alias(name) for name in COUNTERS])
+        results.select(F.inline(rows))
+        .unionByName(none)
+        .groupBy("kind", "name")
+        .agg(*[F.sum(name).alias(name) for name in COUNTERS])
     )
 
 
@@ -166,51 +173,48 @@ SUMMARY_LINES = [
 COUNT_TITLES = {"type": "  Schema Types:", "format": "  Formats:"}
 
 
-def _summary_of_tallies(counted: DataFrame) -> DataFrame:
-    """The summary row out of `tallies`, present even without pages."""
-    pages = counted.filter("kind = 'pages'")
-    return pages.agg(
-        *[F.coalesce(F.sum(name), F.lit(0).cast("bigint")).alias(name) for name in COUNTERS]
-    ).withColumn("pass_rate", _pass_rate())
-
-
 def summary_lines(results: DataFrame) -> DataFrame:
     """Text summary as rows `section`, `ord`, `name`, `line`, to be read in that order.
 
     Section 0 holds the counters, 1 the types, 2 the formats, the last two only where there are items. Within a
     section of counts, `ord` is the negated count; equal counts follow their names.
     """
-    counted = tallies(results)
 
-    def line(section: int, order: int, text: Column) -> Column:
+    def line(section: int | Column, order: int | Column, name: Column, text: Column) -> Column:
         return F.struct(
-            F.lit(section).alias("section"),
-            F.lit(order).cast("bigint").alias("ord"),
-            F.lit("").alias("name"),
+            (section if isinstance(section, Column) else F.lit(section)).alias("section"),
+            (order if isinstance(order, Column) else F.lit(order).cast("bigint")).alias("ord"),
+            name.alias("name"),
             text.alias("line"),
         )
 
     def shown(label: str, counter: str | None, unit: str) -> Column:
         return F.lit(label) if counter is None else F.concat(F.lit(label), F.col(counter).cast("string"), F.lit(unit))
 
+    unnamed = F.lit("")
+    fixed = [line(0, 0, unnamed, F.lit(TITLE_LINE)), line(0, 1, unnamed, F.lit(""))]
+    fixed += [line(0, at, unnamed, shown(*entry)) for at, entry in enumerate(SUMMARY_LINES, start=2)]
     # Titles sort before any negated count.
     before_all = -(2**62)
-    fixed = [line(0, 0, F.lit(TITLE_LINE)), line(0, 1, F.lit(""))]
-    fixed += [line(0, at, shown(*entry)) for at, entry in enumerate(SUMMARY_LINES, start=2)]
     titles = []
     for section, title in enumerate(COUNT_TITLES.values(), start=1):
-        titles += [line(section, before_all, F.lit("")), line(section, before_all + 1, F.lit(title))]
-    has_items = F.col("total_schemas") > 0
-    frame = _summary_of_tallies(counted).select(
-        F.inline(F.when(has_items, F.array(*fixed, *titles)).otherwise(F.array(*fixed)))
+        titles += [
+            line(section, before_all, unnamed, F.lit("")),
+            line(section, before_all + 1, unnamed, F.lit(title)),
+        ]
+    count = line(
+        F.when(F.col("kind") == "type", 1).otherwise(2),
+        -F.col("total_schemas"),
+        F.col("name"),
+        F.concat(F.lit("    "), "name", F.lit(": "), F.col("total_schemas").cast("string")),
     )
-    counts = counted.filter(F.col("kind").isin(list(COUNT_TITLES))).select(
-        F.when(F.col("kind") == "type", 1).otherwise(2).alias("section"),
-        (-F.col("total_schemas")).alias("ord"),
-        "name",
-        F.concat(F.lit("    "), "name", F.lit(": "), F.col("total_schemas").cast("string")).alias("line"),
+    lines = (
+        F.when(F.col("kind") != "pages", F.array(count))
+        .when(F.col("total_schemas") > 0, F.array(*fixed, *titles))
+        .otherwise(F.array(*fixed))
     )
-    return frame.unionByName(counts).orderBy("section", "ord", "name")
+    counted = tallies(results).withColumn("pass_rate", _pass_rate())
+    return counted.select(F.inline(lines)).orderBy("section", "ord", "name")
 
 
 def page_json(results: DataFrame, pretty: bool = False) -> DataFrame:
@@ -243,8 +247,9 @@ def document_lines(results: DataFrame, pretty: bool = True) -> DataFrame:
     No line holds more than one page, type or format, so the document may be of any size: it is never gathered in
     one row or task.
     """
-    counted = tallies(results)
-    totals = _summary_of_tallies(counted)
+    # Read three times below; its rows are as few as there are types.
+    counted = cut_lineage(tallies(results))
+    totals = counted.filter("kind = 'pages'").withColumn("pass_rate", _pass_rate())
 
     def line(section: int, text: Column) -> Column:
         return F.struct(

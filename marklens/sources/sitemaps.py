@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import entries_of
 from ..rules import SITEMAP_NAMESPACE
 
 _LISTED = "sitemap array<struct<loc string>>, url array<struct<loc string>>"
@@ -36,12 +37,12 @@ def sitemap_urls(documents: DataFrame, root: str | None = None) -> DataFrame:
     )
     roots = entries if root is None else entries.filter(F.col("sitemap_url") == root)
     direct = roots.filter("n_subs <= 0").select(
-        "sitemap_url", F.lit(0).alias("sub_pos"), F.posexplode("locs").alias("url_pos", "url")
+        "sitemap_url", F.lit(0).alias("sub_pos"), F.posexplode(entries_of("locs")).alias("url_pos", "url")
     )
-    index = roots.filter("n_subs > 0").select("sitemap_url", F.posexplode("subs").alias("sub_pos", "sub_url"))
+    index = roots.filter("n_subs > 0").select("sitemap_url", F.posexplode(entries_of("subs")).alias("sub_pos", "sub_url"))
     # The join is on whole documents, not on their URLs: the lists are unfolded after it, where they are wanted.
     subs = entries.select(F.col("sitemap_url").alias("sub_url"), "locs")
     nested = index.join(subs, "sub_url").select(
-        "sitemap_url", "sub_pos", F.posexplode("locs").alias("url_pos", "url")
+        "sitemap_url", "sub_pos", F.posexplode(entries_of("locs")).alias("url_pos", "url")
     )
     return direct.unionByName(nested)
