@@ -338,8 +338,8 @@ def _reader(markup: bool, links: bool):
     @F.arrow_udf(schemas.DOCUMENT)
     def read(html: pa.Array) -> pa.Array:
         batch = _Columns()
-        for page in html:
-            batch.add(page.as_py(), markup, links)
+        for page in html.to_pylist():
+            batch.add(page, markup, links)
         return batch.to_arrow()
 
     return read
