@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .audit import PAGE_RESULT_COLUMNS, audit_pages
 
 # Up to this many URLs are sent to every executor; a URL is at most a few KB.
 BROADCAST_URLS = 20_000
+# Up to this many page ids are written into the scan's own filter, which can then skip row groups.
+PUSHED_IDS = 1_000
 
 
 def _first_fetch(pages: DataFrame, wanted: DataFrame, url: Column, small: bool) -> DataFrame:
@@ -31,8 +34,15 @@ def _first_fetch(pages: DataFrame, wanted: DataFrame, url: Column, small: bool)
 
 
 def _pick(pages: DataFrame, chosen: DataFrame, small: bool) -> DataFrame:
+    """The chosen pages. The few of a small crawl are named to the scan; HTML of others need not be read."""
     ids = chosen.select("page_id")
-    return pages.join(F.broadcast(ids) if small else ids, "page_id", "left_semi")
+    if not small:
+        return pages.join(ids, "page_id", "left_semi")
+    found = cut_lineage(ids)
+    first_ids = [row["page_id"] for row in found.head(PUSHED_IDS + 1)]
+    if len(first_ids) <= PUSHED_IDS:
+        return pages.filter(F.col("page_id").isin(first_ids))
+    return pages.join(F.broadcast(found), "page_id", "left_semi")
 
 
 def crawl_frontier(
@@ -55,7 +65,7 @@ def crawl_frontier(
     """
     spark = pages.sparkSession
     start = start_url.split("#")[0].rstrip("/")
-    host = spark.range(1).select(netloc(F.lit(start_url)).alias("host")).first()["host"]
+    host = urlsplit(start_url).netloc
     normal = normalise_url(F.col("url"))
     snapshot = pages.filter(netloc(F.col("url")) == host) if same_domain else pages
     wanted_host = host if same_domain else None
@@ -104,8 +114,9 @@ def crawl_frontier(
         if room <= 0:
             break
         fresh = frontier
-        for seen in levels:
-            fresh = fresh.join(seen.select("url"), "url", "left_anti")
+        if levels:
+            visited = reduce(DataFrame.unionByName, levels)
+            fresh = fresh.join(visited.select("url"), "url", "left_anti")
         if rules is not None:
             # No document leaves one all-NULL row, which allows everything.
             fresh = (
