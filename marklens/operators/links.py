@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import let, strip
+from ..functions.columns import built_once, let, strip
 from ..functions.urls import is_document_url, is_followed_href, netloc, resolve_url, url_parts
 from ..sources.pages import classify_pages
 from .elements import read_document
@@ -32,6 +32,11 @@ def link_targets(hrefs: Column, page_url: Column, host: Column | None) -> Column
     return F.filter(let(url_parts(page_url), resolve_all), is_kept)
 
 
+@built_once
+def _targets(same_domain: bool) -> Column:
+    return link_targets(F.col("hrefs"), F.col("url"), F.col("host") if same_domain else None)
+
+
 def page_hrefs(pages: DataFrame) -> DataFrame:
     """Crawlable pages with the raw `hrefs` of their anchors: `page_id`, `url` (normalised), `hrefs`."""
     return classify_pages(pages, "crawl").select(
@@ -39,13 +44,15 @@ def page_hrefs(pages: DataFrame) -> DataFrame:
     )
 
 
+def unfold_links(linking: DataFrame, same_domain: bool, host: str | None, *kept: str) -> DataFrame:
+    """One row per link of rows with `url` and `hrefs`: the kept columns, `link_pos` and `dst`."""
+    wanted = F.lit(host) if host is not None else netloc(F.col("url"))
+    return linking.withColumn("host", wanted).select(*kept, F.inline(_targets(same_domain)))
+
+
 def links_table(pages: DataFrame, same_domain: bool = True, host: str | None = None) -> DataFrame:
     """Links of a page table: `page_id`, `src`, `link_pos`, `dst`. Narrow: one pass, no shuffle.
 
     `same_domain` keeps links to `host`, or to the page's own host where none is given.
     """
-    wanted = (F.lit(host) if host is not None else netloc(F.col("url"))) if same_domain else None
-    return (
-        page_hrefs(pages)
-        .select("page_id", F.col("url").alias("src"), F.inline(link_targets(F.col("hrefs"), F.col("url"), wanted)))
-    )
+    return unfold_links(page_hrefs(pages), same_domain, host, "page_id", "url").withColumnRenamed("url", "src")

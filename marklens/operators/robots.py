@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import let, split_runs, strip
+from ..functions.columns import built_once, let, split_runs, strip
 from ..functions.urls import netloc, percent_decode, percent_encode
 from ..rules import USER_AGENT
 
@@ -92,12 +92,27 @@ def is_allowed(rules: Column, url: Column) -> Column:
     )
 
 
+@built_once
+def _rules_of_body(user_agent: str) -> Column:
+    return agent_rules(robots_groups(F.col("body")), user_agent)
+
+
+@built_once
+def _url_is_allowed() -> Column:
+    return is_allowed(F.col("rules"), F.col("url"))
+
+
 def robots_rules(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
     """Rules per host, `host` and `rules`, out of robots documents `host`, `status`, `body`.
 
     Only documents fetched with status 200 count. Each document is read within its row.
     """
-    return robots.filter("status = 200").select("host", agent_rules(robots_groups(F.col("body")), user_agent).alias("rules"))
+    return robots.filter("status = 200").select("host", _rules_of_body(user_agent).alias("rules"))
+
+
+def with_allowed(urls: DataFrame) -> DataFrame:
+    """Add `allowed` to rows with a `url` and the `rules` that bind it; NULL rules allow everything."""
+    return urls.withColumn("allowed", _url_is_allowed())
 
 
 def robots_allowed(urls: DataFrame, robots: DataFrame, user_agent: str = USER_AGENT, salts: int = 16) -> DataFrame:
@@ -113,8 +128,4 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, user_agent: str = USER_AG
         "rules",
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
-    return (
-        left.join(right, ["_host", "_salt"], "left")
-        .withColumn("allowed", is_allowed(F.col("rules"), F.col("url")))
-        .drop("_host", "_salt", "rules")
-    )
+    return with_allowed(left.join(right, ["_host", "_salt"], "left")).drop("_host", "_salt", "rules")

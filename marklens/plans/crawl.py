@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import netloc, normalise_url
 from ..operators.limits import first_rows
-from ..operators.links import link_targets, links_table, page_hrefs
-from ..operators.robots import is_allowed, robots_rules
+from ..operators.links import links_table, page_hrefs, unfold_links
+from ..operators.robots import robots_rules, with_allowed
 from ..rules import MAX_DEPTH, MAX_PAGES, USER_AGENT
 from ..session import cut_lineage
 from ..sources.sitemaps import sitemap_urls
@@ -89,18 +89,8 @@ def crawl_frontier(
             found = level.select("url", "place").join(edges, "url")
         else:
             chosen = _first_fetch(snapshot, level.select("url"), normal, small)
-            hrefs = page_hrefs(_pick(snapshot, chosen, small))
-            found = (
-                hrefs.join(F.broadcast(level.select("url", "place")), "url")
-                .select(
-                    "place",
-                    F.inline(
-                        link_targets(
-                            F.col("hrefs"), F.col("url"), F.lit(wanted_host) if same_domain else None
-                        )
-                    ),
-                )
-            )
+            hrefs = page_hrefs(_pick(snapshot, chosen, small)).join(F.broadcast(level.select("url", "place")), "url")
+            found = unfold_links(hrefs, same_domain, wanted_host, "place")
         return (
             found.select(normalise_url(F.col("dst")).alias("url"), F.array_append("place", F.col("link_pos")).alias("place"))
             .groupBy("url")
@@ -118,15 +108,12 @@ def crawl_frontier(
             visited = reduce(DataFrame.unionByName, levels)
             fresh = fresh.join(visited.select("url"), "url", "left_anti")
         if rules is not None:
-            # No document leaves one all-NULL row, which allows everything.
-            fresh = (
-                fresh.join(F.broadcast(rules.select("rules")), F.lit(True), "left")
-                .filter(is_allowed(F.col("rules"), F.col("url")))
-                .drop("rules")
-            )
-        level = cut_lineage(
-            first_rows(fresh, room, "place").select("url", F.lit(depth).alias("depth"), "place")
-        )
+            # Without a document the rules are NULL.
+            bound = fresh.withColumn("host", F.lit(host)).join(F.broadcast(rules), "host", "left")
+            fresh = with_allowed(bound).filter("allowed").drop("host", "rules", "allowed")
+        level = cut_lineage(fresh.select("url", F.lit(depth).alias("depth"), "place"))
+        if level.count() > room:
+            level = cut_lineage(first_rows(level, room, "place"))
         count = level.count()
         if count == 0:
             break

@@ -285,11 +285,12 @@ def document_lines(results: DataFrame, pretty: bool = True) -> DataFrame:
         ).alias("entry"),
     ).select("section", "ord", "name", F.regexp_replace("entry", r"\}$", "").alias("line"))
 
-    first_page = results.agg(F.min("page_id").alias("first_page"))
-    pages = page_json(results, pretty).crossJoin(F.broadcast(first_page)).select(
+    # Reads the page ids alone.
+    first_page = results.agg(F.min("page_id").alias("first_page")).first()["first_page"]
+    pages = page_json(results, pretty).select(
         F.lit(5).alias("section"),
         F.col("page_id").cast("bigint").alias("ord"),
         F.lit("").alias("name"),
-        F.concat(comma(F.col("page_id") == F.col("first_page")), "json").alias("line"),
+        F.concat(comma(F.col("page_id") == F.lit(first_page)), "json").alias("line"),
     )
     return frame.unionByName(counts).unionByName(pages).orderBy("section", "ord", "name")
