@@ -25,9 +25,10 @@ from .. import schemas
 # The reader travels with the query, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Cheap test for "this page may hold markup", evaluated in the JVM before any HTML reaches Python.
-MARKUP_HINT = r"(?i)application/ld\+json|itemscope|typeof|property"
-LINK_HINT = r"(?i)href"
+# Cheap test for "this page may hold markup or links", evaluated in the JVM before any HTML reaches Python.
+BLOCK_HINT = "application/ld"
+MARKUP_HINTS = ("itemscope", "typeof", "property")
+LINK_HINTS = ("href",)
 
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _MARKUP = r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+>?+|(/?)(%s)(" + _ATTRIBUTES + ")(>?))"
@@ -45,10 +46,12 @@ _NAME_ENDS = frozenset((" ", "\t", "\n", "\f", "\r", "/", ">", ""))
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BARRIER = frozenset("table td th caption template button object".split())
-_PARAGRAPH_ENDS = (
-    "address article aside blockquote details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr main menu nav ol p pre section table ul li dd dt"
-).split()
+_PARAGRAPH_ENDS = frozenset(
+    (
+        "address article aside blockquote details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+        "header hr main menu nav ol p pre section table ul li dd dt"
+    ).split()
+)
 # An end tag cannot close an open element of higher rank than its own.
 _END_RANK = defaultdict(
     lambda: 100,
@@ -134,9 +137,11 @@ class _Page:
         self.links = links
         self.markup = markup
         self.tree = markup and _is_scoped(html)
-        # Open elements: tag, nearest scope, nearest typed element, nearest vocab, own row, start of its text.
+        # Open elements: tag, nearest scope, typed element and vocab, row that waits for its text, start of that text.
         self.stack: list[tuple] = []
         self.open_tags: dict[str, int] = defaultdict(int)
+        # Text is kept only while an element that needs it is open.
+        self.listening = 0
         self.words: list[str] = []
         self.template_words: list[str] = []
         self._read(html)
@@ -146,7 +151,7 @@ class _Page:
         at = 0
         serial = 0
         while (found := next_tag(html, at)) is not None:
-            if self.tree:
+            if self.listening:
                 self._text(html[at : found.start()])
             at = found.end()
             slash, tag, attributes, end = found.groups()
@@ -167,7 +172,8 @@ class _Page:
                 at = close
             self._start(tag, attributes, serial, raw)
         if self.tree:
-            self._text(html[at:])
+            if self.listening:
+                self._text(html[at:])
             while self.stack:
                 self._pop()
 
@@ -178,7 +184,7 @@ class _Page:
 
     def _start(self, tag: str, source: str, serial: int, raw: str | None) -> None:
         wanted = (self.links and tag == "a") or (self.markup and tag == "script")
-        attributes = _attributes(source) if wanted or (self.tree and _is_scoped(source)) else {}
+        attributes = _attributes(source) if wanted or (self.tree and source and _is_scoped(source)) else {}
         if self.links and tag == "a" and "href" in attributes:
             self.hrefs.append(attributes["href"])
         if self.markup and tag == "script" and attributes.get("type") == "application/ld+json" and raw.strip():
@@ -193,11 +199,13 @@ class _Page:
             row = len(self.nodes)
             kept = [(name, attributes[name]) for name in _KEPT_ATTRIBUTES if name in attributes]
             self.nodes.append([serial, tag, kept, scope, typed, vocab, None])
+        needs_text = row is not None and self._needs_text(row)
         own = raw.strip() if raw is not None and tag in ("script", "style") else None
         if tag in _VOID or own is not None:
-            if row is not None and self._needs_text(row):
+            if needs_text:
                 self.nodes[row][6] = own or ""
             return
+        self.listening += needs_text
         words = self.template_words if tag == "template" else self.words
         self.stack.append(
             (
@@ -205,13 +213,14 @@ class _Page:
                 serial if "itemscope" in attributes else scope,
                 serial if "typeof" in attributes else typed,
                 attributes.get("vocab", vocab),
-                row,
+                row if needs_text else None,
                 len(words),
             )
         )
         self.open_tags[tag] += 1
         if raw is not None:  # title and textarea: text without markup
-            self._text(raw)
+            if self.listening:
+                self._text(raw)
             self._pop()
 
     def _needs_text(self, row: int) -> bool:
@@ -226,7 +235,8 @@ class _Page:
     def _pop(self) -> None:
         tag, _, _, _, row, begin = self.stack.pop()
         self.open_tags[tag] -= 1
-        if row is not None and self._needs_text(row):
+        if row is not None:
+            self.listening -= 1
             words = self.template_words if tag == "template" else self.words
             self.nodes[row][6] = "".join(words[begin:])
 
@@ -246,7 +256,7 @@ class _Page:
                 self._pop()
 
     def _imply_ends(self, tag: str) -> None:
-        if tag in _PARAGRAPH_ENDS:
+        if tag in _PARAGRAPH_ENDS and self.open_tags["p"]:
             self._close_down_to({"p"}, _BARRIER)
         if tag in _IMPLIED_ENDS:
             self._close_down_to(*_IMPLIED_ENDS[tag])
@@ -347,8 +357,8 @@ def _reader(markup: bool, links: bool):
 
 def read_document(html: Column, markup: bool = True, links: bool = False) -> Column:
     """The elements of a page that matter, as `schemas.DOCUMENT`; pages that hold none skip the Python stage's work."""
-    hints = [hint for hint, wanted in ((MARKUP_HINT, markup), (LINK_HINT, links)) if wanted]
-    worth_reading = html.rlike(hints[0])
-    for hint in hints[1:]:
-        worth_reading = worth_reading | html.rlike(hint)
+    folded = F.lower(html)
+    worth_reading = html.contains(BLOCK_HINT) if markup else F.lit(False)
+    for hint in (MARKUP_HINTS if markup else ()) + (LINK_HINTS if links else ()):
+        worth_reading = worth_reading | folded.contains(hint)
     return _reader(markup, links)(F.when(worth_reading, html))
