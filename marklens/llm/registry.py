@@ -1,9 +1,11 @@
 """The operators' registered queries, and the SQL of those that SQL can express."""
 
+from .rlz import op10_rlz
 from .simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op10_rlz": op10_rlz,
 }
 
 ORACLES: dict[str, str] = {}
