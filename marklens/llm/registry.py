@@ -1,10 +1,12 @@
 """The operators' registered queries, and the SQL of those that SQL can express."""
 
 from .rlz import op10_rlz
+from .sentencepiece_bpe import op4_sentencepiece
 from .simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_sentencepiece": op4_sentencepiece,
     "op10_rlz": op10_rlz,
 }
 
