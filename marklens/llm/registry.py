@@ -1,5 +1,6 @@
 """The operators' registered queries, and the SQL of those that SQL can express."""
 
+from .quality_cascade import OP6_SQL, op6_quality
 from .rlz import op10_rlz
 from .sentencepiece_bpe import op4_sentencepiece
 from .simhash import op2_simhash
@@ -7,7 +8,10 @@ from .simhash import op2_simhash
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_quality": op6_quality,
     "op10_rlz": op10_rlz,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality": OP6_SQL,
+}
