@@ -1,5 +1,6 @@
 """The operators' registered queries, and the SQL of those that SQL can express."""
 
+from .decontaminate import op7_decontaminate
 from .quality_cascade import OP6_SQL, op6_quality
 from .rlz import op10_rlz
 from .sentencepiece_bpe import op4_sentencepiece
@@ -9,6 +10,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_quality": op6_quality,
+    "op7_decontaminate": op7_decontaminate,
     "op10_rlz": op10_rlz,
 }
 
