@@ -3,11 +3,13 @@
 from .decontaminate import op7_decontaminate
 from .quality_cascade import OP6_SQL, op6_quality
 from .rlz import op10_rlz
+from .secrets import op3_secrets
 from .sentencepiece_bpe import op4_sentencepiece
 from .simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_secrets": op3_secrets,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
