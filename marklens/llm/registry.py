@@ -1,6 +1,7 @@
 """The operators' registered queries, and the SQL of those that SQL can express."""
 
 from .decontaminate import op7_decontaminate
+from .feistel import op5_feistel
 from .quality_cascade import OP6_SQL, op6_quality
 from .rlz import op10_rlz
 from .secrets import op3_secrets
@@ -11,11 +12,13 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_feistel": op5_feistel,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op10_rlz": op10_rlz,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_feistel": op5_feistel,
     "op6_quality": OP6_SQL,
 }
