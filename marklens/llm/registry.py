@@ -2,6 +2,7 @@
 
 from .decontaminate import op7_decontaminate
 from .feistel import op5_feistel
+from .html_text import op1_main_text
 from .quality_cascade import OP6_SQL, op6_quality
 from .rlz import op10_rlz
 from .secrets import op3_secrets
@@ -9,6 +10,7 @@ from .sentencepiece_bpe import op4_sentencepiece
 from .simhash import op2_simhash
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
     "op4_sentencepiece": op4_sentencepiece,
