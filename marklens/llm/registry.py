@@ -8,6 +8,8 @@ from .rlz import op10_rlz
 from .secrets import op3_secrets
 from .sentencepiece_bpe import op4_sentencepiece
 from .simhash import op2_simhash
+from .site_quality import op8_site_quality
+from .token_counts import op9_token_counts
 
 QUERIES = {
     "op1_main_text": op1_main_text,
@@ -17,6 +19,8 @@ QUERIES = {
     "op5_feistel": op5_feistel,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op8_site_quality": op8_site_quality,
+    "op9_token_counts": op9_token_counts,
     "op10_rlz": op10_rlz,
 }
 
