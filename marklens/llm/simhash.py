@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import as_bytes, connected_components, per_text, sorted_groups, table, word_bounds
+from .common import as_bytes, connected_components, per_text, sorted_groups, split_join, table, word_bounds
 
 SEED = 42
 BITS = 64
@@ -32,37 +32,55 @@ COUNTED_AT_ONCE = 65_536
 SHARD_LIMIT = 4_096
 # Distinct fingerprints a shard key should hold on average.
 SHARD_AIM = 64
+MIX = 0x9E3779B97F4A7C15
 
+# For groups of five-word shingles with a similarity of 0.8 or more. Two such texts differ in 15 % of a SimHash's bits;
+# 64 bits tell that too coarsely, so 256 are compared, and shards are made of the first 64.
+SHINGLE = 5
+WORDS = 4
+RADIUS = 42
+LEAD_RADIUS = 8
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """Unsigned 64-bit SimHash of the text's word shingles; 0 for a text without words."""
-    words = text.lower().split()  # bytes: folds A-Z alone and splits at the six ASCII white-space bytes
-    if not words:
-        return 0
-    joined = memoryview(b" ".join(words))
-    starts, ends = word_bounds(words)
-    count = max(1, len(words) - shingle + 1)
-    starts, ends = starts[:count].tolist(), ends[len(words) - count :].tolist()
+
+def fingerprint(text: bytes, shingle: int = 4, words: int = 1) -> bytes:
+    """SimHash of the text's word shingles, `words` times 64 bits, big-endian; zero for a text without words.
+
+    The first 64 bits are those of the shingles' XXH64; more are taken from the same hashes, mixed anew for each.
+    """
+    parts = text.lower().split()  # bytes: folds A-Z alone and splits at the six ASCII white-space bytes
+    if not parts:
+        return bytes(8 * words)
+    joined = memoryview(b" ".join(parts))
+    starts, ends = word_bounds(parts)
+    count = max(1, len(parts) - shingle + 1)
+    starts, ends = starts[:count].tolist(), ends[len(parts) - count :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((words, BITS), np.int64)
     for at in range(0, count, COUNTED_AT_ONCE):
         stop = min(count, at + COUNTED_AT_ONCE)
         hashes = np.fromiter(
-            (digest(joined[a:b], SEED) for a, b in zip(starts[at:stop], ends[at:stop], strict=True)), ">u8", stop - at
+            (digest(joined[a:b], SEED) for a, b in zip(starts[at:stop], ends[at:stop], strict=True)), np.uint64, stop - at
         )
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > count).view(">u8")[0])
+        for word in range(words):
+            if word:
+                hashes = hashes * np.uint64(MIX)
+                hashes = hashes ^ (hashes >> np.uint64(31))
+            bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[word] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > count).tobytes()
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, name: str = "fp") -> DataFrame:
-    """Add the fingerprint as a signed BIGINT."""
+def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """Add `fp`, the fingerprint, and `lead`, its first 64 bits as a signed number."""
 
     def rows(texts: list[bytes]) -> Iterator[tuple]:
         for value in texts:
-            number = fingerprint(value, shingle)
-            yield (number - (1 << BITS) if number >> (BITS - 1) else number,)
+            found = fingerprint(value, shingle, words)
+            yield found, int.from_bytes(found[:8], "big", signed=True)
 
-    return docs.withColumn(name, per_text("fp bigint", rows)(as_bytes(text))["fp"])
+    names = docs.columns
+    hashed = docs.withColumn("_fp", per_text("fp binary, lead bigint", rows)(as_bytes(text)))
+    return hashed.select(*[F.col(f"`{name}`") for name in names], F.col("_fp.fp").alias("fp"), F.col("_fp.lead").alias("lead"))
 
 
 class BkTree:
@@ -139,18 +157,26 @@ def _spare_blocks(radius: int, distinct: int) -> int:
 
 
 def fingerprint_links(
-    fingerprints: DataFrame, radius: int = 4, shard_limit: int = SHARD_LIMIT, spare: int | None = None
+    fingerprints: DataFrame, radius: int, lead_radius: int | None = None, shard_limit: int = SHARD_LIMIT,
+    spare: int | None = None,
 ) -> DataFrame:
-    """Edges `a`, `b` that connect all distinct values of `fp` that chains of links within the radius connect."""
-    masks = block_masks(radius, _spare_blocks(radius, fingerprints.count()) if spare is None else spare)
+    """Edges `a`, `b` that connect the distinct values of `fp` that chains of links within the radius connect.
+
+    Shards are made of `lead`. All links whose leads differ in at most `lead_radius` bits are found (by default the
+    radius, so all links); of others those that share enough blocks by chance.
+    """
+    lead_radius = radius if lead_radius is None else lead_radius
+    masks = block_masks(lead_radius, _spare_blocks(lead_radius, fingerprints.count()) if spare is None else spare)
     keyed = fingerprints.select(
         "fp",
         F.explode(
-            F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
+            F.array(
+                *[F.struct(F.lit(i).alias("t"), F.col("lead").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]
+            )
         ).alias("key"),
     ).select("fp", "key.t", "key.k")
     shared = keyed.groupBy("t", "k").count().filter("count > 1")
-    chunked = keyed.join(shared, ["t", "k"]).select(
+    chunked = split_join(keyed, shared, ["t", "k"]).select(
         "t", "k", "fp", F.ceil(F.col("count") / shard_limit).cast("int").alias("chunks")
     )
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
@@ -162,22 +188,27 @@ def fingerprint_links(
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values in sorted_groups(batches, keys, "fp"):
-            links = forest([int(v) & ((1 << BITS) - 1) for v in values], radius)
+            size = len(values[0])
+            links = forest([int.from_bytes(value, "big") for value in values], radius)
             if links:
-                ends = np.array(links, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+                ends = [pa.array([end[side].to_bytes(size, "big") for end in links], pa.binary()) for side in (0, 1)]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    return units.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(link, "a binary, b binary").distinct()
+
 
-    return units.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(link, "a bigint, b bigint").distinct()
+def _rooted(hashed: DataFrame, radius: int, lead_radius: int | None, shard_limit: int, spare: int | None) -> DataFrame:
+    """`fp` and `root` of every distinct fingerprint: the least fingerprint that its links reach."""
+    distinct = cut_lineage(hashed.select("fp", "lead").distinct())
+    roots = connected_components(fingerprint_links(distinct, radius, lead_radius, shard_limit, spare))
+    return distinct.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")
+    )
 
 
 def near_duplicates(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text: str = "text",
-    shingle: int = 4,
-    radius: int = 4,
-    shard_limit: int = SHARD_LIMIT,
-    spare: int | None = None,
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, words: int = 1,
+    lead_radius: int | None = None, shard_limit: int = SHARD_LIMIT, spare: int | None = None,
 ) -> DataFrame:
     """One row per input row: the id, `fp`, and `component_id`, the least id its links reach, itself included.
 
@@ -185,20 +216,39 @@ def near_duplicates(
     repeated. A NULL id takes part but is never the least; a component of NULL ids alone has a NULL `component_id`.
     An empty input gives an empty result.
     """
-    hashed = cut_lineage(with_fingerprints(docs.select(F.col(id_column), F.col(text)), text, shingle).drop(text))
-    distinct = cut_lineage(hashed.groupBy("fp").agg(F.min(id_column).alias("least")))
-    roots = connected_components(fingerprint_links(distinct.select("fp"), radius, shard_limit, spare))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+    hashed = cut_lineage(with_fingerprints(docs.select(F.col(id_column), F.col(text)), text, shingle, words).drop(text))
+    rooted = cut_lineage(_rooted(hashed, radius, lead_radius, shard_limit, spare))
+    least = hashed.groupBy("fp").agg(F.min(id_column).alias("least"))
+    components = rooted.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(components, "root").select("fp", "component_id")
+    return split_join(hashed.select(id_column, "fp"), named, ["fp"]).select(id_column, "fp", "component_id")
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
+    words: int = WORDS, lead_radius: int | None = LEAD_RADIUS, shard_limit: int = SHARD_LIMIT, spare: int | None = None,
+) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns: that of the least id, then the least text hash.
+
+    Of repeated rows one stays. A NULL id comes last. Texts without words are one group.
+    """
+    names = docs.columns
+    # A row's key: its id and text. Rows that share it are copies of one row.
+    key = {"_k1": F.xxhash64(id_column, text), "_k2": F.hash(text)}
+    keyed = docs.withColumns(key)
+    hashed = cut_lineage(
+        with_fingerprints(keyed.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"), "_k1", "_k2"), "_text", shingle, words)
+        .drop("_text")
     )
-    components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return hashed.join(rooted.join(components, "root").select("fp", "component_id"), "fp").select(
-        id_column, "fp", "component_id"
+    rooted = cut_lineage(_rooted(hashed, radius, lead_radius, shard_limit, spare))
+    order = F.struct(F.col("_id").isNull(), "_id", "_k1", "_k2")
+    least = hashed.groupBy("fp").agg(F.min(order).alias("least"))
+    kept = rooted.join(least, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
+    return split_join(keyed, kept.distinct(), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(
+        *[F.col(f"`{name}`") for name in names]
     )
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
