@@ -273,6 +273,32 @@ def oddities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(source, 5, key, "https://odd.example.com/e/", _page(name, _by_variant(key % 8, bodies), ""))
 
 
+DEEP = 1_500
+
+
+@_spread_out
+def hard_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family 8, from `part`: JSON-LD blocks that are valid but awkward, alone and beside others, six variants."""
+    source = _columns(spark, sf_dir, "part", "p_partkey", "p_name")
+    name = F.col("p_name")
+    quoted = F.to_json(F.struct(name.alias("name"))).substr(F.lit(2), F.length(F.to_json(F.struct(name.alias("name")))) - 2)
+    product = _text('{"@type":"Product",', quoted)
+    deep = _text(product, ',"part":', "[" * DEEP, "1", "]" * DEEP, "}")
+    micro = _text('<div itemscope itemtype="https://schema.org/Person"><b itemprop="name">', name, "</b></div>")
+    escaped = '<script type="application&#x2F;ld&#43;json">'
+    bodies = [
+        _script(_text(product, ',"price":1e400,"weight":-1e999}')),
+        _script(deep),
+        _text(_script(_text(product, "}")), _script(F.lit('{"@type": "Product"')), _script(_text(product, ',"sku":1}')), micro),
+        _text(escaped, product, "}</script>"),
+        _script(_text(product, ',"sku":', "9" * 1_200, "}")),
+        _text(_script(F.lit("[" * 150_000)), micro),
+    ]
+    return _corpus(
+        source, 8, F.col("p_partkey"), "https://hard.example.com/p/", _page(name, "", _by_variant(F.col("p_partkey") % 6, bodies))
+    )
+
+
 @_spread_out
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 6, from `part`: product pages with failed, missing and non-HTML responses among them."""
@@ -360,20 +386,23 @@ ROBOTS_BODIES = [
 
 
 def host_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One robots document per host of `pages`, by the length of its name; every third one was not found."""
+    """Robots documents of the hosts of `pages`, by the length of the host's name; every third one was not found.
+
+    Hosts whose name has an even length were asked twice: a second document, later in order, would forbid everything.
+    """
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
     kind = F.length("host") % 3
-    return (
-        table(spark, sf_dir, "pages")
-        .select(host.alias("host"))
-        .distinct()
-        .select(
-            "host",
-            F.when(kind == 2, 404).otherwise(200).alias("status"),
-            F.get(F.array(*map(F.lit, ROBOTS_BODIES)), kind).alias("body"),
-        )
+    hosts = table(spark, sf_dir, "pages").select(host.alias("host")).distinct()
+    documents = hosts.select(
+        "host",
+        F.when(kind == 2, 404).otherwise(200).alias("status"),
+        F.get(F.array(*map(F.lit, ROBOTS_BODIES)), kind).alias("body"),
     )
+    again = documents.filter((F.length("host") % 2 == 0) & (F.col("status") == 200)).withColumn("body", F.lit(LATER_ROBOTS))
+    return documents.unionByName(again)
+
 
+LATER_ROBOTS = "user-agent: *\nDisallow: /\n"
 
 LISTED_PER_SITEMAP = 5
 SITEMAPS_PER_INDEX = 10
@@ -413,4 +442,5 @@ def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             "</s:sitemapindex>",
         ).alias("xml"),
     )
-    return leaves.unionByName(indexes)
+    # Some sitemaps were fetched twice.
+    return leaves.unionByName(leaves.filter(key % 9 == 2)).unionByName(indexes)

@@ -25,6 +25,7 @@ FAMILIES = {
     "oddity": ("events", "event_id", 8, 5, "https://odd.example.com/e/"),
 }
 MARKUP = list(FAMILIES)
+FAMILIES["hard"] = ("part", "p_partkey", 6, 8, "https://hard.example.com/p/")
 LOG_URL = "'https://log.example.com/p/' || p_partkey"
 LOG_RAW_URL = LOG_URL + " || CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '#top' END"
 LOG_READ = "p_partkey % 50 NOT IN (0, 1, 2, 3, 4, 5)"
@@ -51,6 +52,16 @@ ITEMS = [
     ("article", 3, 0, "json-ld", "'Event'", CTX, False, 2),
     ("article", 4, 0, "json-ld", "'FAQPage'", CTX, False, 1),
     ("article", 5, 0, "json-ld", "'BreadcrumbList'", CTX, False, 1),
+    ("hard", 0, 0, "json-ld", "'Product'", "NULL", False, 3),
+    ("hard", 1, 0, "json-ld", "'Product'", "NULL", False, 2),
+    ("hard", 2, 0, "json-ld", "'Product'", "NULL", False, 1),
+    ("hard", 2, 1, "json-ld", "'MalformedJSON-LD'", "NULL", False, 0),
+    ("hard", 2, 2, "json-ld", "'Product'", "NULL", False, 2),
+    ("hard", 2, 3, "microdata", "'Person'", "NULL", False, 1),
+    ("hard", 3, 0, "json-ld", "'Product'", "NULL", False, 1),
+    ("hard", 4, 0, "json-ld", "'Product'", "NULL", False, 2),
+    ("hard", 5, 0, "json-ld", "'MalformedJSON-LD'", "NULL", False, 0),
+    ("hard", 5, 1, "microdata", "'Person'", "NULL", False, 1),
     ("listing", 0, 0, "microdata", "'Organization'", "NULL", False, 2),
     ("listing", 1, 0, "microdata", "'Product'", "NULL", False, 3),
     ("listing", 1, 1, "microdata", "'Offer'", "NULL", False, 2),
@@ -322,6 +333,7 @@ def _issues(families: list[str], where: str = "TRUE") -> str:
 
 ORACLES["jsonld_items"] = _items(["product", "article", "oddity"])
 ORACLES["jsonld_graph_context"] = _items(["product"], "is_graph_item")
+ORACLES["jsonld_hard_blocks"] = _items(["hard"])
 ORACLES["microdata_items"] = _items(["listing"])
 ORACLES["rdfa_items"] = _items(["profile"])
 ORACLES["all_items"] = _items(MARKUP)

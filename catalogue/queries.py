@@ -84,6 +84,12 @@ def jsonld_raw(spark, sf_dir):
     )
 
 
+@query
+def jsonld_hard_blocks(spark, sf_dir):
+    """Blocks with overflowing or very long numbers, deep nesting, an escaped type, and broken ones among good items."""
+    return _items(C.hard_json(spark, sf_dir))
+
+
 @query
 def microdata_items(spark, sf_dir):
     return _items(C.listings(spark, sf_dir))

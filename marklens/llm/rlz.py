@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import as_bytes, per_text, table
+from .common import as_bytes, packed, per_text, split_join, table, unpacked
 
 WINDOW = 35
 GRAM = 8
@@ -154,7 +154,7 @@ def _matched_pieces(chosen: DataFrame, window: int, gram: int) -> DataFrame:
             columns: list[list] = [[] for _ in range(6)]
             owner: list[int] = []
             for at, (value, starts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                pieces = Pieces(value, window, gram)
+                pieces = Pieces(unpacked(value), window, gram)
                 wanted = np.searchsorted(pieces.starts, np.sort(np.array(starts, np.int64)))
                 owner += [at] * len(wanted)
                 hashes = pieces.hashes.view(np.int64)
@@ -194,20 +194,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
     pieces = _anchors(keyed, text, window, gram)
     repeated = pieces.groupBy("anchor").agg(F.sum("weight").alias("occurs")).filter("occurs > 1").select("anchor")
     chosen = (
-        pieces.select("t1", "t2", "anchor", "start").join(repeated, "anchor")
+        split_join(pieces.select("t1", "t2", "anchor", "start"), repeated, ["anchor"])
         .groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
     )
-    texts = keyed.select("t1", "t2", as_bytes(text).alias("bytes"))
-    matched = cut_lineage(
-        _matched_pieces(texts.join(chosen, ["t1", "t2"]).select("t1", "t2", "bytes", "starts"), window, gram)
-    )
+    texts = keyed.select("t1", "t2", packed(text).alias("packed"))
+    met = split_join(texts, chosen, ["t1", "t2"]).select("t1", "t2", "packed", "starts")
+    matched = cut_lineage(_matched_pieces(met, window, gram))
     # A phrase of the reference: one content of a block. `sole` is it where no other place has it.
     place = F.struct("t1", "t2", "start")
     phrases = matched.groupBy("anchor", "content").agg(
         F.sum("weight").alias("occurs"), F.min(place).alias("first")
     )
     blocks = phrases.groupBy("anchor").agg(F.max(F.col("occurs") == 1).alias("open"))
-    judged = matched.join(phrases, ["anchor", "content"]).withColumn("whole", (F.col("occurs") > 1) & (F.col("weight") == 1))
+    judged = split_join(matched, phrases, ["anchor", "content"]).withColumn("whole", (F.col("occurs") > 1) & (F.col("weight") == 1))
     factors = judged.filter("whole").select("t1", "t2", F.struct("start", "size").alias("span"))
     # Windows of boundary pieces, and of one place of each whole factor they might continue in.
     windows = cut_lineage(
@@ -220,7 +219,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
         windows.groupBy("anchor", "hash").agg(F.sum(F.when(F.col("whole"), 2).otherwise(1)).alias("occurs"))
         .filter("occurs > 1").select("anchor", "hash")
     )
-    checked = windows.filter(~F.col("whole")).join(found, ["anchor", "hash"]).select(
+    checked = split_join(windows.filter(~F.col("whole")), found, ["anchor", "hash"]).select(
         "t1", "t2", F.struct((F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("size")).alias("span")
     )
     return factors.unionByName(checked).groupBy("t1", "t2").agg(F.collect_set("span").alias("spans"))
@@ -235,12 +234,12 @@ def without_repeats(
     windows are judged on the input. Of copies all go, none is kept. Texts that are NULL, empty or shorter than a
     window lose nothing and match nothing. An empty input gives an empty result.
     """
-    keyed = with_text_key(docs.select(F.col(id_column), F.col(text)), text)
+    keyed = with_text_key(docs.select(F.col(id_column), F.col(text)), text).withColumn("packed", packed(text)).drop(text)
     spans = repeated_spans(docs, text, window, gram)
 
     def rows(pairs: list[dict]) -> Iterator[tuple]:
         for pair in pairs:
-            words = pair["text"].split()
+            words = unpacked(pair["packed"]).split()
             covered = np.zeros(len(words) + 1, np.int64)
             if pair["spans"]:
                 bounds = np.array([(s["start"], s["start"] + s["size"] + window - 1) for s in pair["spans"]])
@@ -253,9 +252,9 @@ def without_repeats(
                 left = b" ".join(words)
             yield len(words), len(words) - len(kept), left.decode("utf-8", "replace")
 
-    pair = F.struct(as_bytes(text).alias("text"), F.col("spans").alias("spans"))
+    pair = F.struct("packed", "spans")
     result = per_text("n_words bigint, n_removed bigint, kept string", rows)(pair)
-    return keyed.join(spans, ["t1", "t2"], "left").select(id_column, result.alias("r")).select(id_column, "r.*")
+    return split_join(keyed, spans, ["t1", "t2"], "left").select(id_column, result.alias("r")).select(id_column, "r.*")
 
 
 def op10_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Cheap test for "this page may hold markup or links", evaluated in the JVM before any HTML reaches Python.
 BLOCK_HINT = "application/ld"
+ESCAPED_TYPE = r"(?is)<script\b[^>]*\btype\s*=[^>]*&"
 MARKUP_HINTS = ("itemscope", "typeof", "property")
 LINK_HINTS = ("href",)
 
@@ -98,21 +99,101 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
+# What the JVM's JSON reader and a VARIANT take; a block beyond that is fitted, never refused.
+MOST_DEPTH = 500
+MOST_BYTES = 8 << 20
+MOST_DIGITS = 300
+# Stands where a text or value was too large for a VARIANT.
+LEFT_OUT = "[too large: {} characters left out]"
+
+
+def _finite(number: float) -> float:
+    return number if abs(number) <= 1e308 else (1e308 if number > 0 else -1e308)
+
+
+def _whole(digits: str) -> int | float:
+    return int(digits) if len(digits) <= MOST_DIGITS else _finite(float("-inf" if digits[0] == "-" else "inf"))
+
+
 def _json_decoder() -> json.JSONDecoder:
-    return json.JSONDecoder(parse_constant=lambda _: 1e308)
+    """Numbers that no double holds, and NaN and infinities, stay numbers that are not zero."""
+    return json.JSONDecoder(
+        parse_constant=lambda name: -1e308 if name[0] == "-" else 1e308,
+        parse_float=lambda text: _finite(float(text)),
+        parse_int=_whole,
+    )
+
+
+def _within_depth(value):
+    """The value with what lies deeper than `MOST_DEPTH` as JSON text."""
+    pending = [(value, 1)]
+    while pending:
+        held, depth = pending.pop()
+        for key, inner in held.items() if isinstance(held, dict) else enumerate(held):
+            if isinstance(inner, (dict, list)):
+                if depth >= MOST_DEPTH:
+                    held[key] = json.dumps(inner)
+                else:
+                    pending.append((inner, depth + 1))
+    return value
+
+
+def _fitted(value, size: int) -> list[str]:
+    """A block as JSON texts of which each fits a VARIANT: entries apart, and what is large by itself left out."""
+    graph = value.get("@graph") if isinstance(value, dict) else None
+    if isinstance(value, list):
+        return [text for entry in value if isinstance(entry, dict) for text in _fitted([entry], len(json.dumps(entry)))] if (
+            len(value) > 1
+        ) else [_shrunk(value, size)]
+    if isinstance(graph, list) and len(graph) > 1:
+        rest = {key: value[key] for key in ("@context",) if key in value}
+        return [text for entry in graph if isinstance(entry, dict) for text in _fitted({**rest, "@graph": [entry]}, len(json.dumps(entry)))]
+    return [_shrunk(value, size)]
+
+
+def _shrunk(value, size: int) -> str:
+    """One item whose largest members are left out, if need be all of them but type and context."""
+    if size <= MOST_BYTES:
+        return json.dumps(value)
+    inner = value
+    while isinstance(inner, list) or isinstance(inner.get("@graph"), list):
+        inner = (inner if isinstance(inner, list) else inner["@graph"])[0]
+        if not isinstance(inner, dict):
+            return json.dumps([])
+    for most in (MOST_BYTES >> 4, 1 << 10):
+        for key, member in inner.items():
+            length = len(json.dumps(member))
+            if length > most:
+                inner[key] = LEFT_OUT.format(length)
+        text = json.dumps(value)
+        if len(text) <= MOST_BYTES:
+            return text
+    kept = {key: inner[key] for key in ("@type", "@context", "@id", "name") if key in inner}
+    kept["members"] = LEFT_OUT.format(len(text))
+    inner.clear()
+    inner.update(kept)
+    return json.dumps(value)
 
 
-def _strict_json(text: str, decoder: json.JSONDecoder) -> str | None:
-    """The block as plain JSON, NULL if it does not parse.
+def _strict_json(text: str, decoder: json.JSONDecoder) -> list[str]:
+    """The block as plain JSON that later stages can read, in one or more parts; empty if it is not JSON.
 
     Later stages need last-wins duplicate keys and no NaN or Infinity, which JSON in the wild has and the JVM parser
-    refuses; an infinite number stays a number that is not zero.
+    refuses. A block too deeply nested to be read at all counts as not JSON; other blocks of the page are not touched.
     """
     try:
         value = decoder.decode(text)
-    except ValueError:
-        return None
-    return json.dumps(value)
+        if text.count("[") + text.count("{") > MOST_DEPTH and isinstance(value, (dict, list)):
+            value = _within_depth(value)
+        plain = json.dumps(value)
+        return [plain] if len(plain) <= MOST_BYTES or not isinstance(value, (dict, list)) else _fitted(value, len(plain))
+    except (ValueError, RecursionError, MemoryError):
+        return []
+
+
+def _held(text: str) -> str:
+    """A text as a VARIANT can hold it."""
+    return text if len(text) <= MOST_BYTES else text[: MOST_BYTES >> 3] + LEFT_OUT.format(len(text) - (MOST_BYTES >> 3))
 
 
 def _raw_end(html: str, tag: str, at: int) -> int:
@@ -188,8 +269,8 @@ class _Page:
         if self.links and tag == "a" and "href" in attributes:
             self.hrefs.append(attributes["href"])
         if self.markup and tag == "script" and attributes.get("type") == "application/ld+json" and raw.strip():
-            block = _strict_json(raw, self.decoder)
-            self.scripts.append((serial, raw if block is None else None, block))
+            parts = _strict_json(raw, self.decoder)
+            self.scripts += [(serial, None, part) for part in parts] or [(serial, _held(raw), None)]
         if not self.tree:
             return
         self._imply_ends(tag)
@@ -197,13 +278,13 @@ class _Page:
         row = None
         if attributes and not attributes.keys().isdisjoint(("itemscope", "itemprop", "typeof", "property")):
             row = len(self.nodes)
-            kept = [(name, attributes[name]) for name in _KEPT_ATTRIBUTES if name in attributes]
+            kept = [(name, _held(attributes[name])) for name in _KEPT_ATTRIBUTES if name in attributes]
             self.nodes.append([serial, tag, kept, scope, typed, vocab, None])
         needs_text = row is not None and self._needs_text(row)
         own = raw.strip() if raw is not None and tag in ("script", "style") else None
         if tag in _VOID or own is not None:
             if needs_text:
-                self.nodes[row][6] = own or ""
+                self.nodes[row][6] = _held(own or "")
             return
         self.listening += needs_text
         words = self.template_words if tag == "template" else self.words
@@ -238,7 +319,7 @@ class _Page:
         if row is not None:
             self.listening -= 1
             words = self.template_words if tag == "template" else self.words
-            self.nodes[row][6] = "".join(words[begin:])
+            self.nodes[row][6] = _held("".join(words[begin:]))
 
     def _close_down_to(self, targets, barriers) -> None:
         """End the outermost open target that no barrier hides, with all it holds."""
@@ -358,7 +439,8 @@ def _reader(markup: bool, links: bool):
 def read_document(html: Column, markup: bool = True, links: bool = False) -> Column:
     """The elements of a page that matter, as `schemas.DOCUMENT`; pages that hold none skip the Python stage's work."""
     folded = F.lower(html)
-    worth_reading = html.contains(BLOCK_HINT) if markup else F.lit(False)
+    # A type written with character references is only seen once it is read.
+    worth_reading = html.contains(BLOCK_HINT) | (html.contains("&") & html.rlike(ESCAPED_TYPE)) if markup else F.lit(False)
     for hint in (MARKUP_HINTS if markup else ()) + (LINK_HINTS if links else ()):
         worth_reading = worth_reading | folded.contains(hint)
     return _reader(markup, links)(F.when(worth_reading, html))

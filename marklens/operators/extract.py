@@ -53,8 +53,9 @@ def _jsonld_item(entry: Column, context: Column, in_graph: bool, with_raw: bool)
     )
 
 
-def _malformed_item(text: Column) -> Column:
-    return _item(JSON_LD, F.lit(MALFORMED), F.create_map().cast("map<string,variant>"), V.to_variant(text), _nothing())
+def _malformed_item(text: Column, with_raw: bool) -> Column:
+    raw = V.to_variant(text) if with_raw else _no_raw()
+    return _item(JSON_LD, F.lit(MALFORMED), F.create_map().cast("map<string,variant>"), raw, _nothing())
 
 
 def _block_items(block: Column, with_raw: bool) -> Column:
@@ -83,14 +84,18 @@ def _block_items(block: Column, with_raw: bool) -> Column:
 
 
 def jsonld_items(scripts: Column, with_raw: bool = False) -> Column:
-    """Items of the page's ld+json scripts; a block that is no JSON becomes one marker item."""
+    """Items of the page's ld+json scripts; a block that is no JSON becomes one marker item.
+
+    Only the reader decides what is no JSON: it sends such a block as `text`. A block sent as `json` is valid, so one
+    that the JVM should still refuse is an object of which nothing is known, not a malformed one.
+    """
 
     def script_items(script: Column) -> Column:
-        return let(
-            F.try_parse_json(script["json"]),
-            lambda block: F.when(
-                block.isNull(), F.array(_malformed_item(F.coalesce(script["text"], script["json"])))
-            ).otherwise(_block_items(block, with_raw)),
+        return F.when(script["json"].isNull(), F.array(_malformed_item(script["text"], with_raw))).otherwise(
+            let(
+                F.coalesce(F.try_parse_json(script["json"]), F.parse_json(F.lit("{}"))),
+                lambda block: _block_items(block, with_raw),
+            )
         )
 
     return F.flatten(F.transform(scripts, script_items)).cast(schemas.ITEMS)

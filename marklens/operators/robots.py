@@ -105,9 +105,11 @@ def _url_is_allowed() -> Column:
 def robots_rules(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
     """Rules per host, `host` and `rules`, out of robots documents `host`, `status`, `body`.
 
-    Only documents fetched with status 200 count. Each document is read within its row.
+    Only documents fetched with status 200 count. Of several for one host the one whose text comes first in order
+    counts, whatever the rows' order. Each document is read within its row.
     """
-    return robots.filter("status = 200").select("host", _rules_of_body(user_agent).alias("rules"))
+    chosen = robots.filter("status = 200").groupBy("host").agg(F.min("body").alias("body"))
+    return chosen.select("host", _rules_of_body(user_agent).alias("rules"))
 
 
 def with_allowed(urls: DataFrame) -> DataFrame:
@@ -115,17 +117,16 @@ def with_allowed(urls: DataFrame) -> DataFrame:
     return urls.withColumn("allowed", _url_is_allowed())
 
 
-def robots_allowed(urls: DataFrame, robots: DataFrame, user_agent: str = USER_AGENT, salts: int = 16) -> DataFrame:
+def robots_allowed(urls: DataFrame, robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
     """Add `allowed` to a table with a `url`, by the robots document of each URL's host.
 
-    One host may own a large part of all URLs, so the join key carries a salt: URLs of a host spread over `salts`
-    tasks, and the few rule rows are copied to each.
+    One host may own a large part of all URLs. The rule rows are few, and Spark broadcasts them if they are small as
+    measured; if not, it splits the hot host, which it does only between two shuffles of the join's own: the second key
+    keeps the shuffle of the aggregated rules from being reused.
     """
     host = netloc(F.col("url"))
-    left = urls.withColumns({"_host": host, "_salt": F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int")})
+    left = urls.withColumns({"_host": host, "_deal": F.xxhash64(host)})
     right = robots_rules(robots, user_agent).select(
-        F.col("host").alias("_host"),
-        "rules",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+        F.col("host").alias("_host"), "rules", F.xxhash64("host").alias("_deal")
     )
-    return with_allowed(left.join(right, ["_host", "_salt"], "left")).drop("_host", "_salt", "rules")
+    return with_allowed(left.join(right, ["_host", "_deal"], "left")).drop("_host", "_deal", "rules")

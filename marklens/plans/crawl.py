@@ -72,8 +72,8 @@ def crawl_frontier(
     small = max_pages <= BROADCAST_URLS
     rules = None
     if robots is not None:
-        # Rules of the start host alone bind the whole crawl: at most one row.
-        rules = robots_rules(robots.filter(F.col("host") == host), user_agent).limit(1)
+        # Rules of the start host alone bind the whole crawl: one row at most, since rules are one per host.
+        rules = robots_rules(robots.filter(F.col("host") == host), user_agent)
 
     edges = None
     if not small and max_depth > 0:

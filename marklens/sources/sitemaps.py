@@ -26,9 +26,11 @@ def sitemap_urls(documents: DataFrame, root: str | None = None) -> DataFrame:
 
     `documents` holds `url`, `status` and `xml`. With `root` only that sitemap is read, else every document is taken
     as one that was asked for. An index is expanded one level into documents of the same table, and its own URLs are
-    then ignored; documents that were not fetched with status 200 list nothing.
+    then ignored; documents that were not fetched with status 200 list nothing. Of several documents with one URL the
+    one whose text comes first in order counts.
     """
-    listed = documents.filter("status = 200").select("url", _listed(F.col("xml")).alias("doc"))
+    fetched = documents.filter("status = 200").groupBy("url").agg(F.min("xml").alias("xml"))
+    listed = fetched.select("url", _listed(F.col("xml")).alias("doc"))
     entries = listed.select(
         F.col("url").alias("sitemap_url"),
         F.filter(_locations(F.col("doc.sitemap")), lambda loc: loc != "").alias("subs"),
