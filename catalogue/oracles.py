@@ -514,10 +514,21 @@ _SUMMARY = """SELECT CAST(count(*) AS BIGINT) AS total_pages,
        CAST(count(*) FILTER (n_errors > 0) AS BIGINT) AS pages_with_errors,
        CAST(sum(n_items) AS BIGINT) AS total_schemas, CAST(sum(n_errors) AS BIGINT) AS total_errors,
        CAST(sum(n_warnings) AS BIGINT) AS total_warnings, CAST(sum(n_info) AS BIGINT) AS total_info,
-       round(100.0 * count(*) FILTER (n_errors = 0) / count(*), 1) AS pass_rate
+       CASE WHEN count(*) = 0 THEN 0.0 ELSE (passing * 1000 // count(*) + CASE
+         WHEN 2 * (passing * 1000 % count(*)) > count(*) THEN 1
+         WHEN 2 * (passing * 1000 % count(*)) = count(*) THEN passing * 1000 // count(*) % 2
+         ELSE 0 END) / 10.0 END AS pass_rate
 FROM page_counts"""
+# Whole tenths of a per cent by integer division, a tie to the even one.
+_SUMMARY = _SUMMARY.replace("passing", "(count(*) FILTER (n_errors = 0))")
 
 ORACLES["summary"] = _with([*MARKUP, "log"], f", {_PAGE_COUNTS} {_SUMMARY}", LOG_RAW_URL, "sitemap")
+ORACLES["summary_filtered"] = _with(
+    [*MARKUP, "log"],
+    f""", {_PAGE_COUNTS.replace("page_counts", "all_counts")},
+    page_counts AS (SELECT page_id, url, n_items, n_errors, 0 AS n_warnings, 0 AS n_info FROM all_counts
+                    WHERE n_errors > 0 AND {_of_type("Product", "Organization")}) {_SUMMARY}""",
+)
 ORACLES["summary_tallies"] = _with(
     MARKUP,
     """SELECT 'pages' AS kind, '' AS name, CAST((SELECT count(*) FROM pages_all) AS BIGINT) AS total_pages,
@@ -692,7 +703,7 @@ FROM (SELECT * FROM reached WHERE depth <= 3 ORDER BY depth, k LIMIT 100) first_
 ORACLES["crawl_report"] = f"""WITH RECURSIVE {_reached("starts_with(CAST(child AS VARCHAR), '13')")}
 SELECT CAST(k * 10 + 7 AS BIGINT) AS page_id, {_GRAPH} || k AS url, CAST(depth AS INTEGER) AS depth,
        CAST(1 AS INTEGER) AS n_items
-FROM (SELECT * FROM reached ORDER BY depth, k LIMIT 15000) first_pages
+FROM reached first_pages
 JOIN customer ON c_custkey = k AND c_custkey % 17 <> 5"""
 
 # --- streaming ----------------------------------------------------------------------------------

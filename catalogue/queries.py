@@ -245,6 +245,13 @@ def summary(spark, sf_dir):
     return m.summary(m.audit_pages(pages, "sitemap"))
 
 
+@query
+def summary_filtered(spark, sf_dir):
+    """Counters of what a filter by severity and type leaves."""
+    results = m.audit_pages(C.markup_and_log(spark, sf_dir))
+    return m.summary(m.filter_pages(results, severity="error", schema_types="Product, Organization"))
+
+
 @query
 def summary_tallies(spark, sf_dir):
     return tallies(m.audit_pages(C.all_markup(spark, sf_dir))).select("kind", "name", "total_pages", "total_schemas")
@@ -391,7 +398,7 @@ def crawl_capped(spark, sf_dir):
 def crawl_report(spark, sf_dir):
     """Page results of a crawl that robots rules bind."""
     results = m.crawl_pages(
-        C.link_graph(spark, sf_dir), C.GRAPH_START, max_pages=15_000, max_depth=30, robots=C.crawl_robots(spark)
+        C.link_graph(spark, sf_dir), C.GRAPH_START, max_pages=10**9, max_depth=30, robots=C.crawl_robots(spark)
     )
     return results.select("page_id", "url", "depth", F.size("items").alias("n_items"))
 
@@ -401,7 +408,7 @@ def crawl_report(spark, sf_dir):
 
 @query
 def stream_issues(spark, sf_dir):
-    """Issues of the given pages and their sources, audited as a stream until all files are taken in."""
+    """Issues of pages that hold a document as markup, audited as a stream until all files are taken in."""
     folder = scratch_folder(spark)
     stream = (
         spark.readStream.schema("doc_id bigint, text string")

@@ -17,32 +17,37 @@ from ..session import cut_lineage
 from ..sources.sitemaps import sitemap_urls
 from .audit import PAGE_RESULT_COLUMNS, audit_pages
 
-# Up to this many URLs are sent to every executor; a URL is at most a few KB.
-BROADCAST_URLS = 20_000
+# A crawl of at most this many pages looks up the pages of each level; a larger one reads all links of its host once.
+# Both visit the same URLs; the bound only weighs scans of a few pages against one scan of all.
+LOOKED_UP_PAGES = 20_000
+# Up to this many bytes, as measured, a side of a join is sent to every executor.
+BROADCAST_BYTES = 8 << 20
 # Up to this many page ids are written into the scan's own filter, which can then skip row groups.
 PUSHED_IDS = 1_000
 
 
-def _first_fetch(pages: DataFrame, wanted: DataFrame, url: Column, small: bool) -> DataFrame:
-    """`page_id` and `url` of one page per wanted URL: the lowest id, should a URL have been fetched repeatedly.
+def _sent(df: DataFrame, *texts: str) -> DataFrame:
+    """The table, to be broadcast if its rows and the bytes of its text columns are few; `df` is a checkpoint."""
+    measures = [F.count(F.lit(1)) * 64] + [F.coalesce(F.sum(F.octet_length(t)), F.lit(0)) for t in texts]
+    size = sum(df.agg(*measures).first())
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
-    Reads two columns of the snapshot and combines on the map side, so a URL with very many copies is no hot key.
+
+def _url_index(pages: DataFrame, url: Column) -> DataFrame:
+    """`url` and `page_id` of one page per URL: the lowest id, should a URL have been fetched repeatedly.
+
+    Reads two columns and combines on the map side before anything is joined, so a URL with very many copies is no hot
+    key.
     """
-    keys = pages.select(F.col("page_id"), url.alias("url"))
-    matched = keys.join(F.broadcast(wanted) if small else wanted, "url", "left_semi")
-    return matched.groupBy("url").agg(F.min("page_id").alias("page_id"))
-
-
-def _pick(pages: DataFrame, chosen: DataFrame, small: bool) -> DataFrame:
-    """The chosen pages. The few of a small crawl are named to the scan; HTML of others need not be read."""
-    ids = chosen.select("page_id")
-    if not small:
-        return pages.join(ids, "page_id", "left_semi")
-    found = cut_lineage(ids)
-    first_ids = [row["page_id"] for row in found.head(PUSHED_IDS + 1)]
+    return cut_lineage(pages.groupBy(url.alias("url")).agg(F.min("page_id").alias("page_id")))
+
+
+def _pick(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pages of the given ids (a checkpoint). Few are named to the scan; HTML of others need not be read."""
+    first_ids = [row["page_id"] for row in ids.select("page_id").head(PUSHED_IDS + 1)]
     if len(first_ids) <= PUSHED_IDS:
         return pages.filter(F.col("page_id").isin(first_ids))
-    return pages.join(F.broadcast(found), "page_id", "left_semi")
+    return pages.join(_sent(ids.select("page_id")), "page_id", "left_semi")
 
 
 def crawl_frontier(
@@ -69,27 +74,28 @@ def crawl_frontier(
     normal = normalise_url(F.col("url"))
     snapshot = pages.filter(netloc(F.col("url")) == host) if same_domain else pages
     wanted_host = host if same_domain else None
-    small = max_pages <= BROADCAST_URLS
     rules = None
     if robots is not None:
         # Rules of the start host alone bind the whole crawl: one row at most, since rules are one per host.
         rules = robots_rules(robots.filter(F.col("host") == host), user_agent)
 
-    edges = None
-    if not small and max_depth > 0:
-        chosen = snapshot.groupBy(normal.alias("url")).agg(F.min("page_id").alias("page_id")).select("page_id")
-        edges = cut_lineage(
-            links_table(snapshot, same_domain, wanted_host)
-            .join(chosen, "page_id", "left_semi")
-            .select(F.col("src").alias("url"), "link_pos", "dst")
-        )
+    looked_up = max_pages <= LOOKED_UP_PAGES
+    index = edges = None
+    if max_depth > 0:
+        index = _url_index(snapshot, normal)
+        if not looked_up:
+            edges = cut_lineage(
+                links_table(snapshot, same_domain, wanted_host)
+                .join(index.select("page_id"), "page_id", "left_semi")
+                .select(F.col("src").alias("url"), "link_pos", "dst")
+            )
 
     def links_from(level: DataFrame) -> DataFrame:
         if edges is not None:
             found = level.select("url", "place").join(edges, "url")
         else:
-            chosen = _first_fetch(snapshot, level.select("url"), normal, small)
-            hrefs = page_hrefs(_pick(snapshot, chosen, small)).join(F.broadcast(level.select("url", "place")), "url")
+            chosen = cut_lineage(index.join(_sent(level.select("url", "place"), "url"), "url"))
+            hrefs = page_hrefs(_pick(snapshot, chosen)).join(_sent(chosen.select("url", "place"), "url"), "url")
             found = unfold_links(hrefs, same_domain, wanted_host, "place")
         return (
             found.select(normalise_url(F.col("dst")).alias("url"), F.array_append("place", F.col("link_pos")).alias("place"))
@@ -119,7 +125,8 @@ def crawl_frontier(
             break
         levels.append(level)
         room -= count
-        frontier = links_from(level)
+        if depth < max_depth and room > 0:
+            frontier = links_from(level)
     if not levels:
         return frontier.limit(0).select("url", F.lit(0).alias("depth"), "place")
     return reduce(DataFrame.unionByName, levels)
@@ -137,19 +144,25 @@ def crawl_pages(
     with_raw: bool = False,
 ) -> DataFrame:
     """Page results of the pages a crawl reaches, with the `depth` each was reached at."""
-    visited = crawl_frontier(pages, start_url, max_pages, max_depth, same_domain, robots, user_agent)
-    small = max_pages <= BROADCAST_URLS
-    normal = normalise_url(F.col("url"))
-    chosen = _first_fetch(pages, visited.select("url"), normal, small)
-    if small:
-        results = audit_pages(_pick(pages, chosen, True), "crawl", google_guidelines, with_raw)
-    else:
-        # Too many URLs to send around: audit in place and shuffle the slim results instead of the HTML.
-        results = audit_pages(pages, "crawl", google_guidelines, with_raw).join(
-            chosen.select("page_id"), "page_id", "left_semi"
-        )
-    places = visited.select("url", "depth")
-    return results.join(F.broadcast(places) if small else places, "url").select(*PAGE_RESULT_COLUMNS, "depth")
+    visited = cut_lineage(crawl_frontier(pages, start_url, max_pages, max_depth, same_domain, robots, user_agent))
+    if same_domain:
+        pages = pages.filter(netloc(F.col("url")) == urlsplit(start_url).netloc)
+    chosen = _url_index(pages, normalise_url(F.col("url"))).join(_sent(visited.select("url", "depth"), "url"), "url")
+    return _audited(pages, chosen.select("page_id", "depth"), "crawl", google_guidelines, with_raw).select(
+        *PAGE_RESULT_COLUMNS, "depth"
+    )
+
+
+def _audited(pages: DataFrame, chosen: DataFrame, mode: str, google_guidelines: bool, with_raw: bool) -> DataFrame:
+    """Page results of the chosen page ids, with the other columns of `chosen`.
+
+    Few ids select their pages before any HTML is read. If they are too many to be sent around, the pages are audited
+    where they are and the slim results are shuffled instead of the HTML.
+    """
+    chosen = cut_lineage(chosen)
+    sent = _sent(chosen)
+    picked = pages if sent is chosen else _pick(pages, chosen)
+    return audit_pages(picked, mode, google_guidelines, with_raw).join(sent, "page_id")
 
 
 def crawl_sitemap(
@@ -167,15 +180,14 @@ def crawl_sitemap(
     listed = cut_lineage(
         sitemap_urls(documents, root).groupBy("sitemap_url", "url").agg(F.count(F.lit(1)).alias("listings"))
     )
-    wanted = listed.select("url").distinct()
-    small = len(wanted.select(F.lit(1)).head(BROADCAST_URLS + 1)) <= BROADCAST_URLS
-    chosen = _first_fetch(pages, wanted, F.col("url"), small)
-    if small:
-        results = audit_pages(_pick(pages, chosen, True), "sitemap", google_guidelines, with_raw)
-    else:
-        results = audit_pages(pages, "sitemap", google_guidelines, with_raw).join(
-            chosen.select("page_id"), "page_id", "left_semi"
-        )
+    # Pages of hosts that no sitemap names are left out first.
+    hosts = cut_lineage(listed.select(netloc(F.col("url")).alias("_host")).distinct())
+    near = (
+        pages.withColumn("_host", netloc(F.col("url"))).join(_sent(hosts, "_host"), "_host", "left_semi").drop("_host")
+    )
+    wanted = cut_lineage(listed.select("url").distinct())
+    chosen = _url_index(near, F.col("url")).join(_sent(wanted, "url"), "url", "left_semi")
+    results = _audited(near, chosen.select("page_id"), "sitemap", google_guidelines, with_raw)
     return results.join(listed, "url").select(
         *PAGE_RESULT_COLUMNS,
         "sitemap_url",

@@ -41,8 +41,9 @@ def _page_measures() -> dict[str, Column]:
 
 
 def _pass_rate() -> Column:
+    """In per cent, to one decimal; a tie goes to the even digit."""
     passing = F.col("total_pages") - F.col("pages_with_errors")
-    return F.coalesce(F.round(F.lit(100.0) * F.try_divide(passing, F.col("total_pages")), 1), F.lit(0.0))
+    return F.coalesce(F.bround(F.lit(100.0) * F.try_divide(passing, F.col("total_pages")), 1), F.lit(0.0))
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -60,7 +60,8 @@ def test_crawl_matches_brute_force(spark, seed, max_pages, max_depth):
 @pytest.mark.parametrize("max_pages", [9, 40])
 def test_large_crawls_give_the_same_result(spark, monkeypatch, max_pages):
     """The way for crawls too large to broadcast, and the limit that does not pass through one task."""
-    monkeypatch.setattr(crawl, "BROADCAST_URLS", 0)
+    monkeypatch.setattr(crawl, "LOOKED_UP_PAGES", 0)
+    monkeypatch.setattr(crawl, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(limits, "SMALL_LIMIT", 0)
     links, status = random_graph(7)
     robots = spark.createDataFrame([("h", 200, "User-agent: *\nDisallow: /p1")], "host string, status int, body string")
@@ -87,7 +88,8 @@ def test_crawl_across_domains(spark):
 @pytest.mark.parametrize("limit", [0, 20_000])
 def test_url_fetched_many_times_is_crawled_once(spark, monkeypatch, limit):
     """A third of the snapshot is one URL; its lowest page id counts."""
-    monkeypatch.setattr(crawl, "BROADCAST_URLS", limit)
+    monkeypatch.setattr(crawl, "LOOKED_UP_PAGES", limit)
+    monkeypatch.setattr(crawl, "BROADCAST_BYTES", limit)
     hot = spark.range(1, 2_001).select(
         F.col("id").alias("page_id"), F.lit("http://h/hot/").alias("url"),
         F.concat(F.lit('<a href="/n'), F.col("id").cast("string"), F.lit('">')).alias("html"),
@@ -163,7 +165,8 @@ def test_sitemap_that_is_no_xml_lists_nothing(documents):
 
 @pytest.mark.parametrize("limit", [0, 20_000])
 def test_sitemap_crawl(spark, monkeypatch, documents, limit):
-    monkeypatch.setattr(crawl, "BROADCAST_URLS", limit)
+    monkeypatch.setattr(crawl, "LOOKED_UP_PAGES", limit)
+    monkeypatch.setattr(crawl, "BROADCAST_BYTES", limit)
     rows = [
         (1, "http://h/a", 200, "text/html", '<script type="application/ld+json">{"@type": "Product"}</script>', None),
         (2, "http://h/b", 404, "text/html", "", None),
