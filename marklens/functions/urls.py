@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..rules import SKIPPED_EXTENSIONS, SKIPPED_HREF_PREFIXES
+from ..rules import (
+    DATE_SHAPE, SKIPPED_EXTENSIONS, SKIPPED_HREF_PREFIXES, URL_ENDING_SHAPE, URL_LABEL_SHAPE, URL_QUAD_SHAPE, URL_SHAPE,
+)
 from .columns import let, strip
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -126,29 +128,27 @@ def is_http_url(value: Column) -> Column:
     The host is checked label by label: a nested repetition over labels would recurse once per label in the JVM
     matcher and could overflow its stack on hostile input.
     """
-    shape = r"(?idU)^https?://([A-Z0-9.\-]+)(?::\d+)?(?:/?|[/?]\S+)$"
-    label = r"(?iu)^[A-Z0-9](?:[A-Z0-9\-]{0,61}[A-Z0-9])?$"
 
     def domain(host: Column) -> Column:
         labels = F.split(F.regexp_replace(host, r"\.$", ""), r"\.", -1)
         return let(
             labels,
             lambda parts: (F.size(parts) > 1)
-            & F.element_at(parts, -1).rlike(r"(?iu)^[A-Z]{2,6}$")
-            & F.forall(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: p.rlike(label)),
+            & F.element_at(parts, -1).rlike(URL_ENDING_SHAPE)
+            & F.forall(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: p.rlike(URL_LABEL_SHAPE)),
         )
 
-    return value.rlike(shape) & let(
-        F.regexp_extract(value, shape, 1),
+    return value.rlike(URL_SHAPE) & let(
+        F.regexp_extract(value, URL_SHAPE, 1),
         lambda host: (F.lower(host) == "localhost")
-        | host.rlike(r"(?U)^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
+        | host.rlike(URL_QUAD_SHAPE)
         | domain(host),
     )
 
 
 def is_iso_date(value: Column) -> Column:
     """Shape of an ISO 8601 date, or date and time to the minute or second; the calendar is not checked."""
-    return value.rlike(r"(?dU)^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2})?(?:[+\-]\d{2}:?\d{2}|Z)?)?$")
+    return value.rlike(DATE_SHAPE)
 
 
 def percent_decode(text: Column) -> Column:

@@ -44,14 +44,12 @@ def validate_items(pages: DataFrame, google_guidelines: bool = True) -> DataFram
     )
 
 
-def extract_pages(pages: DataFrame, mode: str = "crawl", with_raw: bool = False, links: bool = False) -> DataFrame:
-    """Classified pages with their `items` (and the `hrefs` of their links where asked for)."""
-    read = classify_pages(pages, mode).withColumn("document", read_document(F.col("html"), True, links))
+def extract_pages(pages: DataFrame, mode: str = "crawl", with_raw: bool = False) -> DataFrame:
+    """Classified pages with their `items`."""
+    read = classify_pages(pages, mode).withColumn("document", read_document(F.col("html")))
     found = read.withColumn("items", _items(with_raw)).withColumn(
         "fetch_error", F.coalesce("fetch_error", "document.error")
     )
-    if links:
-        found = found.withColumn("hrefs", F.col("document.hrefs"))
     return found.drop("html", "document")
 
 

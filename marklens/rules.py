@@ -86,6 +86,15 @@ ARTICLE_TYPES = ["Article", "NewsArticle", "BlogPosting"]
 NAME_EXEMPT_TYPES = ["ListItem", "SearchAction", "SiteNavigationElement", "ImageObject", "VideoObject"]
 CONFLICT_TYPES = ["Product", "Organization", "WebSite", "LocalBusiness"]
 
+# --- fixed values: shapes -----------------------------------------------------------------------
+
+# Host and rest of an absolute URL, one label of a host, and the last one.
+URL_SHAPE = r"(?idU)^https?://([A-Z0-9.\-]+)(?::\d+)?(?:/?|[/?]\S+)$"
+URL_LABEL_SHAPE = r"(?iu)^[A-Z0-9](?:[A-Z0-9\-]{0,61}[A-Z0-9])?$"
+URL_ENDING_SHAPE = r"(?iu)^[A-Z]{2,6}$"
+URL_QUAD_SHAPE = r"(?U)^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
+DATE_SHAPE = r"(?dU)^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2})?(?:[+\-]\d{2}:?\d{2}|Z)?)?$"
+
 # --- fixed values: links ------------------------------------------------------------------------
 
 SKIPPED_HREF_PREFIXES = ["#", "mailto:", "tel:", "javascript:"]

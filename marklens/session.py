@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -28,13 +29,26 @@ def _shared_folder(spark: SparkSession) -> str | None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder for written intermediates: under the shared one, or a local one where none is named (tests)."""
+    """Name of a new folder for written intermediates, under the shared one.
+
+    Where none is named, a local run takes this machine's temporary folder; on a cluster that is an error, since other
+    machines would not see what is written there.
+    """
     shared = _shared_folder(spark)
     if shared is None:
-        return tempfile.mkdtemp(prefix="marklens-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = os.path.join(tempfile.gettempdir(), "marklens")
     return f"{shared.rstrip('/')}/marklens-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediates once what was made of it is written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to reliable storage and read on from there, so a lost executor costs one stage, not the loop."""
     context = df.sparkSession.sparkContext

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 
 from .. import schemas
 from ..plans.report import document_lines, page_json, report_rows, summary, summary_lines
+from ..session import cut_lineage
 
 
-def write_csv(results: DataFrame, path: str, ordered: bool = True, mode: str = "errorifexists") -> None:
-    """Flat report as CSV with a header per part file; `ordered` sorts by page and report order."""
-    rows = report_rows(results)
+def write_csv(results: DataFrame, path: str, ordered: bool = False, mode: str = "errorifexists") -> None:
+    """Flat report as CSV with a header per part file, each page's rows together and in report order.
+
+    `ordered` sorts all rows by page. Sorting samples its input first, so the page results are then kept once before.
+    """
+    rows = report_rows(cut_lineage(results) if ordered else results)
     if ordered:
         rows = rows.orderBy("page_id", "row_ord")
     (
@@ -23,14 +27,21 @@ def write_csv(results: DataFrame, path: str, ordered: bool = True, mode: str = "
 
 
 def write_json_lines(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Pages as one JSON object per line under `pages`, the counters under `summary`: the sink for large runs."""
+    """Pages as one JSON object per line under `pages`, the counters under `summary`: the sink for large runs.
+
+    Both are made of page results that are computed once.
+    """
+    results = cut_lineage(results)
     page_json(results).select("json").write.mode(mode).text(f"{path}/pages")
     summary(results).write.mode(mode).json(f"{path}/summary")
 
 
 def write_json_document(results: DataFrame, path: str, pretty: bool = True, mode: str = "errorifexists") -> None:
-    """The report as one JSON document: the part files, joined in name order, are the document."""
-    document_lines(results, pretty).select("line").write.mode(mode).text(path)
+    """The report as one JSON document: the part files, joined in name order, are the document.
+
+    Tallies, sampling and output read page results that are computed once.
+    """
+    document_lines(cut_lineage(results), pretty).select("line").write.mode(mode).text(path)
 
 
 def write_text(results: DataFrame, path: str, mode: str = "errorifexists") -> None:

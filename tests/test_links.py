@@ -172,3 +172,12 @@ def test_robots_join_keeps_every_url_of_a_hot_host(spark):
     rows = robots_allowed(urls, robots).collect()
     assert len(rows) == 3_000
     assert {r["id"] for r in rows if not r["allowed"]} == {i for i in range(3_000) if i % 3 < 2 and str(i).startswith("1")}
+
+
+def test_one_robots_document_counts_per_host(spark):
+    urls = spark.createDataFrame([("http://h/a",), ("http://h/b",)], "url string")
+    documents = [("h", 200, "User-agent: *\nDisallow: /a"), ("h", 200, "User-agent: *\nDisallow: /b"), ("h", 404, "Disallow")]
+    for order in (documents, documents[::-1]):
+        robots = spark.createDataFrame(order, "host string, status int, body string")
+        assert {(r["url"], r["allowed"]) for r in robots_allowed(urls, robots).collect()} == {("http://h/a", False), ("http://h/b", True)}
+        assert robots_allowed(urls, robots).count() == 2

@@ -114,6 +114,13 @@ def test_summary(results):
     assert [tuple(r) for r in format_counts(results).collect()] == [("json-ld", 4)]
 
 
+def test_pass_rate_rounds_ties_to_even(results):
+    """1 of 80 pages passes: 1.25 per cent."""
+    bad, good = results.filter("page_id = 2"), results.filter("page_id = 1")
+    failing = bad.crossJoin(bad.sparkSession.range(79)).drop("id")
+    assert summary(failing.unionByName(good)).first()["pass_rate"] == 1.2
+
+
 def test_report_rows(results):
     rows = [r for r in report_rows(results).orderBy("page_id", "row_ord").collect() if r["page_id"] in (2, 8, 9)]
     assert [(r["page_id"], r["severity"], r["issue_type"], r["message"], r["schema_type"]) for r in rows] == [
@@ -146,7 +153,7 @@ def test_text(results, tmp_path):
 
 
 def test_csv(results, tmp_path):
-    write_csv(results, str(tmp_path / "csv"))
+    write_csv(results, str(tmp_path / "csv"), ordered=True)
     rows = []
     for file in sorted(glob.glob(str(tmp_path / "csv" / "part-*"))):
         with open(file, encoding="utf8", newline="") as handle:

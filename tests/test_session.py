@@ -4,7 +4,9 @@ import os
 import subprocess
 import sys
 
-from marklens.session import configure
+import pytest
+
+from marklens.session import configure, remove_folder, scratch_folder
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SCRIPT = """
@@ -36,3 +38,31 @@ def test_configure_leaves_sizes_to_the_cluster(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     assert configure(spark).conf.get("spark.sql.shuffle.partitions") == before
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+class Cluster:
+    """As much of a session as tells where it runs."""
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_folder(Cluster)
+
+
+def test_intermediates_can_be_deleted(spark):
+    folder = scratch_folder(spark)
+    spark.range(3).write.parquet(folder)
+    remove_folder(spark, folder)
+    assert not os.path.exists(folder.removeprefix("file:"))

@@ -42,13 +42,13 @@ CASES = {
     "faq_truthy": ([("FAQPage", {"name": "n", "mainEntity": v}) for v in ("x", 1, -0.5, True, [0], {"a": None})], True),
     "breadcrumb_bare": ([("BreadcrumbList", {})], True),
     "breadcrumb_list": ([("BreadcrumbList", {"name": "n", "itemListElement": [1]})], True),
-    "bad_url": ([("Product", {"name": "W", "image": "https://e.com/i", "price": 1, "url": "not-a-url"})], True),
+    "bad_url": ([("Product", {"name": "W", "image": "https://e.com/i", "price": 1, "url": "no address"})], True),
     "good_url": ([("Product", {"name": "W", "image": "https://e.com/i", "price": 1, "url": "https://example.com/widget"})], True),
     "url_names": (
         [("Person", {"name": "n", "URL": "x", "Logo": "y", "sameAs": "z", "thumbnailUrl": "z", "href": " ", "link": 5, "target": ["x"], "image": {"url": "x"}})],
         True,
     ),
-    "bad_date": ([("Article", {**ARTICLE, "name": "n", "datePublished": "January 1, 2026"})], True),
+    "bad_date": ([("Article", {**ARTICLE, "name": "n", "datePublished": "3rd of May"})], True),
     "good_date": ([("Article", {**ARTICLE, "name": "n"})], True),
     "date_names": ([("Person", {"name": "n", "datepublished": "x", "expires": " ", "endDate": 2020, "startDate": "2026"})], True),
     "odd_type": ([("RandomCustomType", {"name": "n"})], True),
@@ -163,8 +163,8 @@ def test_messages(issues):
     def messages(case):
         return [row["message"] for row in issues[case]]
 
-    assert messages("bad_url") == ["Property 'url' has invalid URL: 'not-a-url'"]
-    assert messages("bad_date") == ["Property 'datePublished' value 'January 1, 2026' is not ISO 8601 format"]
+    assert messages("bad_url") == ["Property 'url' has invalid URL: 'no address'"]
+    assert messages("bad_date") == ["Property 'datePublished' value '3rd of May' is not ISO 8601 format"]
     assert "Google rich results require 'headline' for Article" in messages("article_bare")
     assert messages("odd_type") == ["Schema type 'RandomCustomType' is not a recognized Google rich result type"]
     assert "Schema 'Product' has no properties" in messages("empty")
