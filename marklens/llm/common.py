@@ -67,9 +67,9 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     """Join on keys of which one may hold very many rows.
 
     Spark splits a hot key only between two shuffles of the join's own. A side that was just aggregated by the same
-    keys would not be shuffled again; one more key, made of the others, sees to it that it is.
+    keys would not be shuffled again; one more key, a bit made of the others, sees to it that it is.
     """
-    deal = F.xxhash64(*keys)
+    deal = F.pmod(F.xxhash64(*keys), F.lit(2)).cast("boolean")
     joined = left.withColumn("_deal", deal).join(right.withColumn("_deal", deal), [*keys, "_deal"], how)
     return joined.drop("_deal")
 

@@ -6,10 +6,10 @@ into equal pieces wherever they stand: each window of `window` words has as its
 reference, the anchor is the block of the index that holds them, and the index is sharded by anchor, so a document
 meets every block in which one of its windows could be found and no other.
 
-1. Anchors that occur once in the corpus have no match; their pieces are literals. Two columns are shuffled for this.
-2. The other pieces are read again. A piece whose whole content occurs again is a factor that needs no further look.
+1. Anchors that occur once in the corpus have no match; their pieces are literals. One column is shuffled for this.
+2. Of the other pieces, one whose whole content occurs again is a factor that needs no further look.
 3. Greedy factors end where the text they follow ends, and that is inside a piece. Those pieces, the factor
-   boundaries, are checked window by window against all phrases of their block.
+   boundaries, are read again and checked window by window against all phrases of their block.
 4. Per text, factors and boundary windows join into spans, and words that a span covers are removed.
 
 Counting combines on the map side and joins on anchors or texts can be split, so a passage in a third of all
@@ -120,8 +120,8 @@ def with_text_key(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"t1": F.xxhash64(text), "t2": F.hash(text)})
 
 
-def _anchors(keyed: DataFrame, text: str, window: int, gram: int) -> DataFrame:
-    """`t1`, `t2`, `anchor`, `start`, `weight` of every piece; the weight is 2 where a piece matches itself."""
+def _pieces(keyed: DataFrame, text: str, window: int, gram: int) -> DataFrame:
+    """The pieces of each text; `weight` is 2 where a piece matches itself."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,91 +129,85 @@ def _anchors(keyed: DataFrame, text: str, window: int, gram: int) -> DataFrame:
             counts = [len(p.starts) for p in pieces]
             if not sum(counts):
                 continue
-            owner = np.repeat(np.arange(batch.num_rows), counts)
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(owner)),
-                    batch.column(1).take(pa.array(owner)),
+                    batch.column(0).take(owner),
+                    batch.column(1).take(owner),
                     _signed(np.concatenate([p.anchors for p in pieces])),
+                    _signed(np.concatenate([p.contents for p in pieces])),
                     pa.array(np.concatenate([p.starts for p in pieces]).astype(np.int32)),
+                    pa.array(np.concatenate([p.sizes for p in pieces]).astype(np.int32)),
                     pa.array(1 + np.concatenate([p.inner for p in pieces]).astype(np.int32)),
                 ],
-                ["t1", "t2", "anchor", "start", "weight"],
+                ["t1", "t2", "anchor", "content", "start", "size", "weight"],
             )
 
     return keyed.select("t1", "t2", as_bytes(text)).mapInArrow(
-        rows, "t1 bigint, t2 int, anchor bigint, start int, weight int"
+        rows, "t1 bigint, t2 int, anchor bigint, content bigint, start int, size int, weight int"
     )
 
 
-def _matched_pieces(chosen: DataFrame, window: int, gram: int) -> DataFrame:
-    """The pieces at `starts` of each text, with their content hash and a hash per window."""
+def _window_hashes(chosen: DataFrame, window: int, gram: int) -> DataFrame:
+    """A hash per window of the chosen pieces of each text, given as `packed` and `pieces` (start, whole)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            owner: list[int] = []
-            for at, (value, starts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            owner, anchors, starts, whole, hashes = [], [], [], [], []
+            for at, (value, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 pieces = Pieces(unpacked(value), window, gram)
-                wanted = np.searchsorted(pieces.starts, np.sort(np.array(starts, np.int64)))
-                owner += [at] * len(wanted)
-                hashes = pieces.hashes.view(np.int64)
-                columns[0].append(pieces.anchors[wanted])
-                columns[1].append(pieces.contents[wanted])
-                columns[2].append(pieces.starts[wanted])
-                columns[3].append(pieces.sizes[wanted])
-                columns[4].append(pieces.inner[wanted])
-                columns[5] += [hashes[pieces.starts[w] : pieces.starts[w] + pieces.sizes[w]] for w in wanted]
+                signed_anchors, signed_hashes = pieces.anchors.view(np.int64), pieces.hashes.view(np.int64)
+                for piece in wanted:
+                    index = np.searchsorted(pieces.starts, piece["start"])
+                    owner.append(at)
+                    anchors.append(signed_anchors[index])
+                    starts.append(piece["start"])
+                    whole.append(piece["whole"])
+                    hashes.append(signed_hashes[piece["start"] : piece["start"] + pieces.sizes[index]])
             if not owner:
                 continue
-            anchors, contents, starts, sizes, inner = map(np.concatenate, columns[:5])
-            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            offsets = pa.array(np.append(0, np.cumsum([len(h) for h in hashes])).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(owner)),
                     batch.column(1).take(pa.array(owner)),
-                    _signed(anchors),
-                    _signed(contents),
-                    pa.array(starts.astype(np.int32)),
-                    pa.array(sizes.astype(np.int32)),
-                    pa.array(1 + inner.astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(columns[5]))),
+                    pa.array(anchors, pa.int64()),
+                    pa.array(starts, pa.int32()),
+                    pa.array(whole, pa.bool_()),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(hashes))),
                 ],
-                ["t1", "t2", "anchor", "content", "start", "size", "weight", "hashes"],
+                ["t1", "t2", "anchor", "start", "whole", "hashes"],
             )
 
-    return chosen.mapInArrow(
-        rows,
-        "t1 bigint, t2 int, anchor bigint, content bigint, start int, size int, weight int, hashes array<bigint>",
+    return chosen.select("t1", "t2", "packed", "pieces").mapInArrow(
+        rows, "t1 bigint, t2 int, anchor bigint, start int, whole boolean, hashes array<bigint>"
     )
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """`t1`, `t2` and `spans`: per text with a repeated window, runs of such windows as (first window, count)."""
     keyed = with_text_key(docs.select(F.col(text)), text)
-    pieces = _anchors(keyed, text, window, gram)
+    pieces = _pieces(keyed, text, window, gram)
     repeated = pieces.groupBy("anchor").agg(F.sum("weight").alias("occurs")).filter("occurs > 1").select("anchor")
-    chosen = (
-        split_join(pieces.select("t1", "t2", "anchor", "start"), repeated, ["anchor"])
-        .groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
-    )
-    texts = keyed.select("t1", "t2", packed(text).alias("packed"))
-    met = split_join(texts, chosen, ["t1", "t2"]).select("t1", "t2", "packed", "starts")
-    matched = cut_lineage(_matched_pieces(met, window, gram))
-    # A phrase of the reference: one content of a block. `sole` is it where no other place has it.
+    matched = cut_lineage(split_join(pieces, repeated, ["anchor"]))
+    # A phrase of the reference: one content of a block, and the first place that has it.
     place = F.struct("t1", "t2", "start")
     phrases = matched.groupBy("anchor", "content").agg(
-        F.sum("weight").alias("occurs"), F.min(place).alias("first")
+        F.sum("weight").alias("occurs"), F.max("weight").alias("most"), F.min(place).alias("first")
     )
-    blocks = phrases.groupBy("anchor").agg(F.max(F.col("occurs") == 1).alias("open"))
-    judged = split_join(matched, phrases, ["anchor", "content"]).withColumn("whole", (F.col("occurs") > 1) & (F.col("weight") == 1))
+    # Blocks with a boundary piece: one that stands alone, or whose match is within itself.
+    blocks = phrases.filter("occurs = 1 OR most > 1").select("anchor").distinct()
+    judged = split_join(matched, phrases, ["anchor", "content"]).withColumn("whole", F.expr("occurs > 1 AND weight = 1"))
     factors = judged.filter("whole").select("t1", "t2", F.struct("start", "size").alias("span"))
-    # Windows of boundary pieces, and of one place of each whole factor they might continue in.
-    windows = cut_lineage(
-        judged.filter(~F.col("whole") | (F.col("first") == place))
-        .join(blocks.filter("open").select("anchor").unionByName(
-            matched.filter("weight > 1").select("anchor")).distinct(), "anchor")
-        .select("t1", "t2", "anchor", "start", "whole", F.posexplode("hashes").alias("at", "hash"))
+    # Boundary pieces, and one place of each whole factor of their blocks, in which they might continue.
+    chosen = (
+        split_join(judged.filter(~F.col("whole") | (F.col("first") == place)), blocks, ["anchor"])
+        .groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "whole")).alias("pieces"))
+    )
+    # Copies of a text have the same windows; one of them is read.
+    texts = keyed.select("t1", "t2", packed(text).alias("packed")).groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
+    windows = cut_lineage(_window_hashes(texts.join(chosen, ["t1", "t2"]), window, gram)).select(
+        "t1", "t2", "anchor", "start", "whole", F.posexplode("hashes").alias("at", "hash")
     )
     found = (
         windows.groupBy("anchor", "hash").agg(F.sum(F.when(F.col("whole"), 2).otherwise(1)).alias("occurs"))
