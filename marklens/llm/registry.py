@@ -25,6 +25,5 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op5_feistel": op5_feistel,
     "op6_quality": OP6_SQL,
 }

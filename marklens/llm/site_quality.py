@@ -59,9 +59,9 @@ class Classifier:
 
     def __init__(self, examples: list[tuple[list[float], int]]) -> None:
         """Without examples of both classes every text gets the share of good ones, 1/2 if there are none at all."""
-        values = np.array([x for x, _ in examples]).reshape(len(examples), -1)
+        width = len(features(b""))
+        values = np.array([x for x, _ in examples], float).reshape(len(examples), width)
         wanted = np.array([y for _, y in examples], float)
-        width = values.shape[1] if examples else len(features(b""))
         self.mean, self.scale = np.zeros(width), np.ones(width)
         self.weights = np.zeros(width)
         self.prior = float((wanted.sum() + 1) / (len(wanted) + 2))
