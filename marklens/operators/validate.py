@@ -18,6 +18,8 @@ UNTYPED = 0
 
 ISSUES = schemas.ISSUES
 
+# --- fixed values: the issue types, severities, message texts and paths that the rules below give ---
+
 
 def _text(value: str | Column | None) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("string")

@@ -51,12 +51,12 @@ def is_html_response() -> Column:
     )
 
 
-def classify_pages(pages: DataFrame, mode: str = "crawl") -> DataFrame:
+def classify_pages(pages: DataFrame, mode: str = "crawl", *kept: str) -> DataFrame:
     """Pages that are reported on: `page_id`, `url`, `html` (NULL unless it is to be read) and `fetch_error`.
 
     Transport errors become rows with a `fetch_error`, and responses that are not HTML are dropped. Responses other
     than 200 are dropped in a crawl and become rows with a `fetch_error` in a sitemap run. A crawl knows pages by
-    their normalised URL.
+    their normalised URL. Columns named in `kept` are passed on.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
@@ -74,4 +74,5 @@ def classify_pages(pages: DataFrame, mode: str = "crawl") -> DataFrame:
         url.alias("url"),
         F.when(is_html_response(), F.col("html")).alias("html"),
         error.alias("fetch_error"),
+        *kept,
     )

@@ -100,6 +100,17 @@ def test_links(spark):
     assert {r["dst"] for r in links_table(pages, host="other").collect()} == {"https://other/f"}
 
 
+def test_links_against_the_fetched_url(spark):
+    """As the standard library resolves them."""
+    hrefs = ["b", "../c", "/d", "?q", "./", "e/f#g"]
+    html = "".join(f'<a href="{h}">x</a>' for h in hrefs)
+    bases = ["https://h.com/a/", "https://h.com/a", "https://h.com/a/x#y"]
+    pages = fetched_pages(spark.createDataFrame([(i, b, html) for i, b in enumerate(bases)], "page_id bigint, url string, html string"))
+    rows = links_table(pages, strict_base=True).orderBy("page_id", "link_pos").collect()
+    want = [(i, urllib.parse.urljoin(b, h).split("#")[0]) for i, b in enumerate(bases) for h in hrefs]
+    assert [(r["page_id"], r["dst"]) for r in rows] == want
+
+
 ROBOTS = [
     "",
     "User-agent: *\nDisallow: /",
