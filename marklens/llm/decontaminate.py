@@ -1,6 +1,6 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are compared as lower-case words joined by one space. An item of m characters may differ in
+Texts and items are compared as lower-case words between single spaces. An item of m characters may differ in
 `error_rate * m` edits. Cut into one piece more than it has edits to spend, it leaves at least one piece untouched
 wherever it occurs, so exact finds of pieces (one Aho-Corasick pass per text) show every place worth a look; there
 Myers' bit-parallel distance decides. No find is skipped, and texts are read whole.
@@ -28,7 +28,9 @@ _WORDS = re.compile(r"[^\W_]+")
 
 
 def normal(text: str) -> str:
-    return " ".join(_WORDS.findall(text.lower()))
+    """Lower-case words, each between two spaces, so that what is compared begins and ends with a word; "" without any."""
+    words = _WORDS.findall(text.lower())
+    return f" {' '.join(words)} " if words else ""
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
