@@ -74,6 +74,13 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return joined.drop("_deal")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, for work that holds several times a batch's size."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def word_bounds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Where each word starts and ends when the words are joined by one space."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -126,11 +133,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (
-            both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            split_join(both.filter("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
             .filter("a <> b").distinct()
         )
         below = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(below, "a")
+        linked = split_join(large, below, ["a"])
         small = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             below.select("a", F.col("m").alias("b"))
         )
