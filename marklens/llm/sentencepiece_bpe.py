@@ -5,8 +5,9 @@ must give the two again. So a text is read from left to right with the longest p
 compatible with the one before is replaced by the next shorter one, and where none is left the last piece is taken
 back. A bitfield of positions that led nowhere keeps this linear.
 
-Pieces hold white-space marks only at their front, so nothing merges across the end of a word. If a model is like that
-(it is checked), texts are cut there and recent words are kept in a bounded table; otherwise texts are read whole.
+Pieces hold white-space marks only at their front, so nothing merges across the end of a word, nor across a line end that
+is no piece. If a model is like that (it is checked), texts are cut there and recent words are kept in a bounded table;
+otherwise texts are read whole.
 """
 
 from __future__ import annotations
@@ -51,6 +52,9 @@ class Bpe:
         if model.normalize("a  b ") != f"{SPACE}a{SPACE}{SPACE}b{SPACE}" or len(self.byte_of) != 256:
             raise ValueError("only models with a leading mark, kept white space and byte pieces are supported")
         self.words_apart = all(SPACE not in piece.lstrip(SPACE) for piece in self.ids)
+        # Line ends without a piece of their own stand between what is around them, so texts can be cut there too.
+        apart = "".join(c for c in "\n\r\t" if c not in self.ids)
+        self.part_pattern = f"{SPACE}+[^{SPACE}{apart}]*|[^{SPACE}{apart}]+" + (f"|[{apart}]" if apart else "")
         self._build()
 
     def _build(self) -> None:
@@ -59,20 +63,19 @@ class Bpe:
         shared = Counter(self.scores.values())
         self.characters = frozenset(piece for piece in self.ids if len(piece) == 1)
         # Two pieces that share a score are ordered by place alone; only full merging tells what that gives.
-        self.rank = {i: levels[self.scores[piece]] for piece, i in self.ids.items()}
+        self.rank = [levels[self.scores[p]] if p in self.ids else 0 for p in self.pieces]
         self.by_place = {i for piece, i in self.ids.items() if len(piece) > 1 and shared[self.scores[piece]] > 1}
-        self.halves: dict[int, tuple[int, int]] = {}
+        # The two pieces that a piece was last merged of; a character is its own.
+        self.left_half, self.right_half = list(range(len(self.pieces))), list(range(len(self.pieces)))
         self.pair_rank: dict[int, int] = {}
         self.automaton = ahocorasick.Automaton()
         reachable = set()
         for piece, i in self.ids.items():
             last: list[tuple[str, str]] = []
-            if len(piece) == 1:
-                self.halves[i] = (i, i)
-            elif self.merged(piece, last) == [piece]:
-                self.halves[i] = (self.ids[last[-1][0]], self.ids[last[-1][1]])
-            else:
-                continue
+            if len(piece) > 1:
+                if self.merged(piece, last) != [piece]:
+                    continue
+                self.left_half[i], self.right_half[i] = (self.ids[half] for half in last[-1])
             reachable.add(piece)
             self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
@@ -82,6 +85,8 @@ class Bpe:
                 if left is not None and right is not None:
                     self.pair_rank[left << 20 | right] = self.rank[i]
         self.length = list(map(len, self.pieces))
+        self.numbers = list(map(str, range(len(self.pieces))))
+        self.byte_pieces = frozenset(self.byte_of)
         self.shorter = [-1] * len(self.pieces)
         for piece in reachable:
             beginnings = (piece[:n] for n in range(len(piece) - 1, 0, -1))
@@ -148,55 +153,60 @@ class Bpe:
 
         At equal rank the leftmost merge comes first: one across the boundary before one right of it, after one left.
         """
-        rank, halves, pair_rank = self.rank, self.halves, self.pair_rank
-        earliest = float("inf")
+        rank, left_half, right_half, merge = self.rank, self.left_half, self.right_half, self.pair_rank.get
+        earliest = 1 << 40
         while True:
-            across = pair_rank.get(left << 20 | right)
-            if across is not None and across < earliest:
+            if merge(left << 20 | right, earliest) < earliest:
                 return False
-            parts_left, parts_right = halves[left][1] != left, halves[right][0] != right
-            if parts_left and (not parts_right or rank[left] > rank[right]):
-                earliest = rank[left]
-                left = halves[left][1]
-            elif parts_right:
-                earliest = rank[right] + 1
-                right = halves[right][0]
+            inner_left, inner_right = right_half[left], left_half[right]
+            if inner_left != left and (inner_right == right or rank[left] > rank[right]):
+                earliest, left = rank[left], inner_left
+            elif inner_right != right:
+                earliest, right = rank[right] + 1, inner_right
             else:
                 return True
 
-    def split(self, text: str) -> list[int]:
-        """Ids of a text of known characters."""
+    def split(self, text: str) -> list[int] | None:
+        """Ids of a text of known characters; None if one is unknown."""
         lengths, shorter, compatible = self.length, self.shorter, self.compatible
-        size = len(text)
-        longest = [0] * size
-        for end, number in self.automaton.iter(text):
-            longest[end - lengths[number] + 1] = number  # a later end is a longer match
-        failed = bytearray(size // 8 + 1)
+        # Each step of the automaton's search gives the longest piece that begins where the one before ended.
+        longest = self.automaton.iter_long(text)
+        size, at, last = len(text), 0, -1
+        failed: bytearray | None = None
         chosen: list[int] = []
-        at = 0
-        piece = longest[0] if size else 0
         while at < size:
-            end = at + lengths[piece]
-            if not failed[end >> 3] >> (end & 7) & 1 and (
-                not chosen or compatible.get(chosen[-1] << 20 | piece) or self._fits(chosen[-1], piece)
-            ):
+            end, piece = next(longest, (-1, 0))
+            end += 1
+            if end - lengths[piece] != at:
+                return None
+            if failed is None and (last < 0 or compatible.get(last << 20 | piece)):
                 chosen.append(piece)
-                at = end
-                if at < size:
-                    piece = longest[at]
+                at, last = end, piece
                 continue
-            piece = shorter[piece]
-            while piece < 0:  # no way on from here: mark it, take the last piece back and try a shorter one
-                failed[at >> 3] |= 1 << (at & 7)
-                last = chosen.pop()
-                at -= lengths[last]
-                piece = shorter[last]
+            moved = False
+            while (failed is not None and failed[end >> 3] >> (end & 7) & 1) or not (last < 0 or self._fits(last, piece)):
+                moved = True
+                piece = shorter[piece]
+                while piece < 0:  # no way on from here: mark it, take the last piece back and try a shorter one
+                    if failed is None:
+                        failed = bytearray(size // 8 + 1)
+                    failed[at >> 3] |= 1 << (at & 7)
+                    taken = chosen.pop()
+                    at -= lengths[taken]
+                    last = chosen[-1] if chosen else -1
+                    piece = shorter[taken]
+                end = at + lengths[piece]
+            chosen.append(piece)
+            at, last = end, piece
+            if moved and at < size:
+                longest = self.automaton.iter_long(text, at)
         return chosen
 
     def encode_part(self, text: str) -> list[int]:
         """Ids of prepared text; a character without a piece becomes its bytes and stands between what is around it."""
-        if self.characters.issuperset(text):
-            return self.split(text)
+        known = self.split(text)
+        if known is not None:
+            return known
         ids: list[int] = []
         run: list[str] = []
         for character in text:
@@ -211,7 +221,7 @@ class Bpe:
     def parts(self, text: str) -> list[str]:
         """A text that is not empty as it is merged, cut where no merge can cross."""
         prepared = SPACE + text.replace(" ", SPACE)
-        return _WORD.findall(prepared) if self.words_apart else [prepared]
+        return re.findall(self.part_pattern, prepared) if self.words_apart else [prepared]
 
     def encode(self, text: str) -> list[int]:
         """Ids without begin and end ids; none for an empty text."""
@@ -221,7 +231,7 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: byte pieces joined to characters, marks to spaces, the leading mark dropped."""
-        if self.byte_of.keys().isdisjoint(ids):
+        if self.byte_pieces.isdisjoint(ids):
             joined = "".join([self.pieces[number] for number in ids]).replace(SPACE, " ")
             return joined[1:] if ids and self.pieces[ids[0]].startswith(SPACE) else joined
         text: list[str] = []
@@ -245,7 +255,7 @@ class Bpe:
         if found is None:
             ids = self.encode_part(part)
             space = " " if self.pieces[ids[0]].startswith(SPACE) else ""
-            found = (",".join(map(str, ids)), len(ids), space + self.decode(ids))
+            found = (",".join([self.numbers[i] for i in ids]), len(ids), space + self.decode(ids))
         if len(self.known) >= WORDS_KEPT:
             self.known_before.clear()
             self.known, self.known_before = self.known_before, self.known
@@ -255,14 +265,16 @@ class Bpe:
     def results(self, text: str) -> list[tuple[str, int, str]]:
         """The result of each part of a text, recent ones looked up."""
         found = []
+        recent = self.known.get
         for part in self.parts(text):
-            found.append(self.known.get(part) or self.part_result(part))
+            result = recent(part)
+            if result is None:
+                result = self.part_result(part)
+                recent = self.known.get
+            found.append(result)
         return found
 
 
-_WORD = re.compile(rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-
-
 def _on_workers(model_file: str) -> Callable[[], Bpe]:
     """The model's tables, built once by the driver (their size is the model's) and kept by each Python worker."""
     tables = SparkSession.active().sparkContext.broadcast(vars(Bpe(model_file)))
