@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import as_bytes, packed, per_text, split_join, table, unpacked
+from .common import as_bytes, packed, per_text, slices, split_join, table, unpacked
 
 WINDOW = 35
 GRAM = 8
@@ -124,7 +124,7 @@ def _pieces(keyed: DataFrame, text: str, window: int, gram: int) -> DataFrame:
     """The pieces of each text; `weight` is 2 where a piece matches itself."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pieces = [Pieces(value, window, gram) for value in batch.column(2).to_pylist()]
             counts = [len(p.starts) for p in pieces]
             if not sum(counts):
@@ -152,7 +152,7 @@ def _window_hashes(chosen: DataFrame, window: int, gram: int) -> DataFrame:
     """A hash per window of the chosen pieces of each text, given as `packed` and `pieces` (start, whole)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             owner, anchors, starts, whole, hashes = [], [], [], [], []
             for at, (value, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 pieces = Pieces(unpacked(value), window, gram)
