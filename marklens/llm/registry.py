@@ -4,7 +4,7 @@ from .decontaminate import op7_decontaminate
 from .feistel import op5_feistel
 from .html_text import op1_main_text
 from .quality_cascade import OP6_SQL, op6_quality
-from .rlz import op10_rlz
+from .rlz import OP10_SQL, op10_rlz
 from .secrets import op3_secrets
 from .sentencepiece_bpe import op4_sentencepiece
 from .simhash import op2_simhash
@@ -26,4 +26,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op6_quality": OP6_SQL,
+    "op10_rlz": OP10_SQL,
 }

@@ -254,3 +254,25 @@ def without_repeats(
 def op10_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = without_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# Windows as texts, counted over all documents; words at the positions that a repeated one covers are left out.
+OP10_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(words[i:i + 34], ' ') AS gram
+  FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM split)
+), repeated AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY gram) AS found FROM windows) WHERE found > 1
+), removed AS (
+  SELECT r, list(i) AS places
+  FROM (SELECT DISTINCT r, i + o AS i FROM repeated, (SELECT unnest(range(0, 35)) AS o)) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words
+    ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM split LEFT JOIN removed USING (r)
+"""
