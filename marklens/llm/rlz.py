@@ -149,7 +149,7 @@ def _pieces(keyed: DataFrame, text: str, window: int, gram: int) -> DataFrame:
 
 
 def _window_hashes(chosen: DataFrame, window: int, gram: int) -> DataFrame:
-    """A hash per window of the chosen pieces of each text, given as `packed` and `pieces` (start, whole)."""
+    """A hash per window of the chosen pieces of each text, given as `packed`, `copies` and `pieces` (start, whole)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -171,16 +171,17 @@ def _window_hashes(chosen: DataFrame, window: int, gram: int) -> DataFrame:
                 [
                     batch.column(0).take(pa.array(owner)),
                     batch.column(1).take(pa.array(owner)),
+                    batch.column(4).take(pa.array(owner)),
                     pa.array(anchors, pa.int64()),
                     pa.array(starts, pa.int32()),
                     pa.array(whole, pa.bool_()),
                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(hashes))),
                 ],
-                ["t1", "t2", "anchor", "start", "whole", "hashes"],
+                ["t1", "t2", "copies", "anchor", "start", "whole", "hashes"],
             )
 
-    return chosen.select("t1", "t2", "packed", "pieces").mapInArrow(
-        rows, "t1 bigint, t2 int, anchor bigint, start int, whole boolean, hashes array<bigint>"
+    return chosen.select("t1", "t2", "packed", "pieces", "copies").mapInArrow(
+        rows, "t1 bigint, t2 int, copies int, anchor bigint, start int, whole boolean, hashes array<bigint>"
     )
 
 
@@ -204,13 +205,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
         split_join(judged.filter(~F.col("whole") | (F.col("first") == place)), blocks, ["anchor"])
         .groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "whole")).alias("pieces"))
     )
-    # Copies of a text have the same windows; one of them is read.
-    texts = keyed.select("t1", "t2", packed(text).alias("packed")).groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
+    # Copies of a text have the same windows; one of them is read, and its windows count for all. Two are enough to repeat.
+    copies = F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies")
+    texts = keyed.select("t1", "t2", packed(text).alias("packed")).groupBy("t1", "t2").agg(F.first("packed").alias("packed"), copies)
     windows = cut_lineage(_window_hashes(texts.join(chosen, ["t1", "t2"]), window, gram)).select(
-        "t1", "t2", "anchor", "start", "whole", F.posexplode("hashes").alias("at", "hash")
+        "t1", "t2", "copies", "anchor", "start", "whole", F.posexplode("hashes").alias("at", "hash")
     )
     found = (
-        windows.groupBy("anchor", "hash").agg(F.sum(F.when(F.col("whole"), 2).otherwise(1)).alias("occurs"))
+        windows.groupBy("anchor", "hash").agg(F.sum(F.when(F.col("whole"), 2).otherwise(F.col("copies"))).alias("occurs"))
         .filter("occurs > 1").select("anchor", "hash")
     )
     checked = split_join(windows.filter(~F.col("whole")), found, ["anchor", "hash"]).select(

@@ -57,6 +57,16 @@ def test_passages_in_other_surroundings(docs_of):
     assert results(docs_of(texts)) == dict(enumerate(expected(texts, 35)))
 
 
+def test_copies_of_repetitive_texts_with_other_ends(docs_of):
+    """Windows that are unique within a text occur again in its copies, also where their piece matches itself."""
+    words = "abcdefghijkl"
+    texts = [" ".join([w] * 60 + [end]) for w in words for end in ("x", "y", "z")]
+    texts += [" ".join([start] + [w] * 50 + [end]) for w in words for start, end in (("p", "q"), ("r", "s"))]
+    texts = texts * 2 + texts[::3]
+    texts += [" ".join(["m"] * 60 + [end]) for end in "uvw"]
+    assert results(docs_of(texts)) == dict(enumerate(expected(texts, 35)))
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = odd_docs.select("doc_id", "text").collect()
     want = sorted(((r["doc_id"], *w) for r, w in zip(rows, expected([r["text"] for r in rows], 35))), key=str)
