@@ -6,7 +6,10 @@ one above, by pseudo-counts estimated from how much sites differ beyond chance,
 prior of its host, and a host with few that of the whole corpus. A document's odds are then the odds of its own text
 times the odds of its site relative to the corpus; its own share in its site's sums is taken out first.
 
-Only slim rows are shuffled: texts become one number in the first stage. Sums combine on the map side, and the joins
+Toxicity is a target of its own: a second logistic classifier, on hashed words, reads each text in the same stage. A
+document is kept if it is likely good and not likely toxic.
+
+Only slim rows are shuffled: texts become two numbers in the first stage. Sums combine on the map side, and the joins
 back can be split, so one host may own any share of all documents.
 """
 
@@ -15,6 +18,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,12 @@ LEAST_PSEUDO, MOST_PSEUDO = 2.0, 200.0
 RIDGE = 1.0
 ROUNDS = 25
 _UPPER, _LOWER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
+# Buckets of hashed words; a text's set of them is a bit each, so a sampled text is at most 32 KB to the driver.
+BUCKETS = 1 << 18
+WORD_RIDGE = 1.0
+# Deviate at which a word's evidence counts as sure, and the power by which weaker evidence is held back.
+SURE, EASE = 4.0, 8
+_WORDS = bytes(c + 32 if c in _UPPER else c if c in _LOWER + _DIGITS or c > 127 else 32 for c in range(256))
 _SYMBOLS, _STOPS = b"#*$%&|<>{}[]\\^~=_@+", b".,;:!?"
 
 
@@ -84,30 +95,130 @@ class Classifier:
         return 1 / (1 + np.exp(-logits))
 
 
+def word_buckets(text: bytes) -> np.ndarray:
+    """Buckets of the text's words, each once, in order. Words are runs of letters, digits and bytes beyond ASCII, A-Z folded."""
+    words = set(text.translate(_WORDS).split())
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % BUCKETS).astype(np.int64)
+
+
+class WordClassifier:
+    """Logistic regression on the presence of words, by Newton steps that conjugate gradients solve."""
+
+    def __init__(self, examples: list[tuple[np.ndarray, int]]) -> None:
+        """`examples` are buckets and 0 or 1. Of one class alone, every text gets its smoothed share."""
+        wanted = np.array([y for _, y in examples], float)
+        share = float((wanted.sum() + 1) / (len(wanted) + 2))
+        self.bias, self.weights = float(np.log(share / (1 - share))), np.zeros(BUCKETS, np.float32)
+        if not examples or wanted.min() == wanted.max():
+            return
+        owner = np.repeat(np.arange(len(examples)), [len(x) for x, _ in examples])
+        used, place = np.unique(np.concatenate([x for x, _ in examples]), return_inverse=True)
+        width = len(used)
+        # Labels are noisy, and a rare word can explain a wrong one: the weaker its evidence, by the deviate of its
+        # smoothed log odds ratio, the more a word's weight is held back.
+        with_word = np.bincount(place, wanted[owner], width) + 1
+        without = np.bincount(place, 1 - wanted[owner], width) + 1
+        ratio = np.log(with_word / (wanted.sum() + 2)) - np.log(without / (len(wanted) - wanted.sum() + 2))
+        deviate = np.abs(ratio) / np.sqrt(1 / with_word + 1 / without)
+        penalty = np.append(WORD_RIDGE * (SURE / np.maximum(deviate, 0.1)) ** EASE, 1e-6)
+
+        def logits(weights: np.ndarray) -> np.ndarray:
+            return np.bincount(owner, weights[place], len(examples)) + weights[-1]
+
+        def back(values: np.ndarray) -> np.ndarray:
+            return np.append(np.bincount(place, values[owner], width), values.sum())
+
+        def loss(weights: np.ndarray) -> float:
+            scores = logits(weights)
+            return float((np.logaddexp(0, scores) - wanted * scores).sum() + (penalty * weights**2).sum() / 2)
+
+        weights = np.append(np.zeros(width), self.bias)
+        for _ in range(ROUNDS):
+            chance = 1 / (1 + np.exp(-np.clip(logits(weights), -30, 30)))
+            rest = back(wanted - chance) - penalty * weights
+            if np.abs(rest).max() < 1e-4:
+                break
+            spread = chance * (1 - chance)
+            scale = 1 / (back(spread) + penalty)
+            step, target = np.zeros(width + 1), 1e-6 * float(rest @ rest)
+            eased = scale * rest
+            way, size = eased, float(rest @ eased)
+            for _ in range(100):
+                bent = back(spread * logits(way)) + penalty * way
+                length = size / float(way @ bent)
+                step, rest = step + length * way, rest - length * bent
+                if float(rest @ rest) < target:
+                    break
+                eased = scale * rest
+                before, size = size, float(rest @ eased)
+                way = eased + size / before * way
+            now = loss(weights)
+            for _ in range(20):
+                if loss(weights + step) <= now:
+                    weights = weights + step
+                    break
+                step = step / 2
+        self.bias = float(weights[-1])
+        self.weights[used] = weights[:-1]
+
+    def chance(self, buckets: np.ndarray) -> float:
+        logit = self.bias + float(self.weights[buckets].sum(dtype=float))
+        return float(1 / (1 + np.exp(-min(12.0, max(-12.0, logit)))))
+
+
+def _bits(buckets: np.ndarray) -> bytes:
+    present = np.zeros(BUCKETS, bool)
+    present[buckets] = True
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(present).tobytes())
+
+
+def _buckets(bits: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8)))
+
+
+def trained_toxicity(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic",
+    sample_rows: int = SAMPLE_ROWS,
+) -> WordClassifier | None:
+    """A word classifier trained on at most `sample_rows` labelled rows; None if `labels` has no such column or examples."""
+    if label not in labels.columns:
+        return None
+    joined = _labelled(docs, labels, id_column, text, label, sample_rows)
+    bits = per_text("x binary", lambda texts: ((_bits(word_buckets(t)),) for t in texts))(F.col("text"))["x"]
+    rows = joined.select(F.col(id_column).alias("id"), "label", bits.alias("x")).orderBy("id", "label", "x").limit(sample_rows)
+    examples = [(_buckets(row["x"]), int(row["label"])) for row in rows.collect()]
+    return WordClassifier(examples) if examples else None
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, sample_rows: int) -> DataFrame:
+    """Id, `text` and `label` of the documents of at most `sample_rows` labels, those of the least hash of the id."""
+    chosen = labels.select(F.col(id_column), F.col(label).alias("label")).filter(
+        F.col("label").isNotNull() & F.col(id_column).isNotNull()
+    ).orderBy(F.xxhash64(id_column), id_column).limit(sample_rows)
+    return docs.select(F.col(id_column), as_bytes(text).alias("text")).join(F.broadcast(chosen), id_column)
+
+
 def trained_classifier(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
 ) -> Classifier:
     """A classifier trained on at most `sample_rows` labelled rows, those of the least hash of the id."""
-    chosen = labels.select(F.col(id_column), F.col(label).alias("label")).filter(
-        F.col("label").isNotNull() & F.col(id_column).isNotNull()
-    ).orderBy(F.xxhash64(id_column), id_column).limit(sample_rows)
-    joined = docs.select(F.col(id_column), as_bytes(text).alias("text")).join(F.broadcast(chosen), id_column)
+    joined = _labelled(docs, labels, id_column, text, label, sample_rows)
     vector = per_text("x array<double>", lambda texts: ((features(t),) for t in texts))(F.col("text"))["x"]
     # A row per labelled document, of eleven numbers; documents that share an id are cut to the same bound.
     rows = joined.select(F.col(id_column).alias("id"), "label", vector.alias("x")).orderBy("id", "label", "x").limit(sample_rows)
     return Classifier([(list(row["x"]), int(row["label"])) for row in rows.collect()])
 
 
-def text_chance(text: Column, model: Classifier) -> Column:
-    """Posterior of quality from the text alone. `text` holds bytes."""
+def text_chances(text: Column, model: Classifier, toxicity: WordClassifier | None) -> Column:
+    """Posteriors of quality, `chance`, and of toxicity, `toxic`, from the text alone. `text` holds bytes."""
 
     def rows(texts: list[bytes]) -> Iterator[tuple]:
         if texts:
-            for chance in model.chances(np.array([features(value) for value in texts])):
-                yield (float(chance),)
+            for value, chance in zip(texts, model.chances(np.array([features(value) for value in texts])), strict=True):
+                yield float(chance), toxicity.chance(word_buckets(value)) if toxicity else None
 
-    return per_text("chance double", rows)(text)["chance"]
+    return per_text("chance double, toxic double", rows)(text)
 
 
 def _odds(chance: Column) -> Column:
@@ -134,8 +245,12 @@ def _pseudo_count(sites: DataFrame, total: float) -> float:
 def site_quality(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source",
     path: str = "lang", label: str = "quality", sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5,
+    toxic_label: str = "toxic", toxic_threshold: float = 0.5,
 ) -> DataFrame:
-    """One row per input row: the id, `text_chance`, `host_chance`, `path_chance`, `quality_chance`, `kept`.
+    """One row per input row: the id, `text_chance`, `host_chance`, `path_chance`, `quality_chance`, `toxic_chance`, `toxic`, `kept`.
+
+    `toxic` says that `toxic_chance` is at least its threshold; `kept`, that the quality is and the text is not toxic.
+    Without toxicity labels `toxic_chance` is NULL and no row is toxic.
 
     NULL hosts and paths count as one nameless site each; NULL texts are judged as empty ones. Without labels the
     classifier says nothing and every row has the prior. Repeated rows count as often as they occur. An empty input
@@ -143,13 +258,17 @@ def site_quality(
     """
     model = trained_classifier(docs, labels, id_column, text, label, sample_rows)
 
+    toxicity = trained_toxicity(docs, labels, id_column, text, toxic_label, sample_rows)
+
     def named(column: str) -> Column:
         return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
     scored = cut_lineage(
         docs.select(
             F.col(id_column), named(host).alias("_host"), named(path).alias("_path"),
-            text_chance(as_bytes(text), model).alias("text_chance"),
+            text_chances(as_bytes(text), model, toxicity).alias("_chances"),
+        ).select(
+            id_column, "_host", "_path", F.col("_chances.chance").alias("text_chance"), F.col("_chances.toxic").alias("toxic_chance")
         )
     )
 
@@ -181,9 +300,10 @@ def site_quality(
             1 / (1 + F.exp(-(_odds(own) + _odds(F.col("path_chance")) - F.lit(float(np.log(prior / (1 - prior))))))),
         )
     )
+    toxic = F.coalesce(F.col("toxic_chance") >= toxic_threshold, F.lit(False))
     return judged.select(
-        id_column, "text_chance", "host_chance", "path_chance", "quality_chance",
-        (F.col("quality_chance") >= threshold).alias("kept"),
+        id_column, "text_chance", "host_chance", "path_chance", "quality_chance", "toxic_chance", toxic.alias("toxic"),
+        ((F.col("quality_chance") >= threshold) & ~toxic).alias("kept"),
     )
 
 

@@ -73,6 +73,28 @@ def test_site_decides_where_the_text_does_not(spark):
     assert {round(r["quality_chance"], 2) for r in scored.collect()} == {0.5}
 
 
+def test_toxic_texts_of_good_quality_are_not_kept(spark):
+    """Toxic rows are labelled good and look like the others but for a word; some labels are wrong."""
+    rnd = random.Random(8)
+    rows, labels = [], []
+    for i in range(800):
+        toxic = i % 8 < 2
+        words = rnd.choices(WORDS, k=rnd.randint(20, 120))
+        if toxic:
+            words.insert(rnd.randrange(len(words)), rnd.choice(["Idiot,", "scum", "trash."]))
+        rows.append((i, " ".join(words) + ".", "h", "p", toxic))
+        if i % 2:
+            labels.append((i, 1, int(toxic or i % 100 == 99)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, is_toxic boolean")
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    held_out = Q.site_quality(docs, labels).join(docs, "doc_id").filter("doc_id % 2 = 0").collect()
+    assert all(r["toxic"] == (r["toxic_chance"] >= 0.5) for r in held_out)
+    assert np.mean([r["toxic"] == r["is_toxic"] for r in held_out]) > 0.97
+    assert all(r["kept"] == (not r["toxic"]) for r in held_out)
+    blind = Q.site_quality(docs, labels.drop("toxic")).collect()
+    assert all(r["toxic_chance"] is None and r["kept"] for r in blind)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(3, 1), (5, 0), (None, 1), (6, None), (99, 1)], "doc_id bigint, quality int")
     docs = odd_docs.withColumn("source", F.when(F.col("doc_id") > 2, F.col("source")))
