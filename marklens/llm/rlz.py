@@ -1,5 +1,6 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of the whole corpus.
+"""Substring dedup by pieces and windows counted over the whole corpus.
 
+The name says relative Lempel-Ziv; no greedy parsing is done here, and a factor below is a piece that occurs again whole.
 The reference is every document. It is cut into pieces where the text itself says so, which makes equal passages fall
 into equal pieces wherever they stand: each window of `window` words has as its anchor the least hash among its
 `gram`-word sequences, and a piece is a run of consecutive windows with one anchor. Pieces are the phrases of the
