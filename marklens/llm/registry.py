@@ -3,7 +3,9 @@
 from .decontaminate import op7_decontaminate
 from .feistel import op5_feistel
 from .html_text import op1_main_text
+from .pair_bitmaps import op13_pair_bitmaps
 from .quality_cascade import OP6_SQL, op6_quality
+from .radix import OP12_SQL, op12_radix
 from .rlz import OP10_SQL, op10_rlz
 from .secrets import op3_secrets
 from .sentencepiece_bpe import op4_sentencepiece
@@ -22,9 +24,12 @@ QUERIES = {
     "op8_site_quality": op8_site_quality,
     "op9_token_counts": op9_token_counts,
     "op10_rlz": op10_rlz,
+    "op12_radix": op12_radix,
+    "op13_pair_bitmaps": op13_pair_bitmaps,
 }
 
 ORACLES: dict[str, str] = {
     "op6_quality": OP6_SQL,
     "op10_rlz": OP10_SQL,
+    "op12_radix": OP12_SQL,
 }
