@@ -17,6 +17,7 @@ Texts are tokenized once and never shuffled; what is shuffled is the index, a fe
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -40,10 +41,9 @@ SPACE = "▁"
 # bounds a task's memory; any numbers give the same results.
 BLOCK_POSTINGS = 4_000_000
 BLOCK_DOCUMENTS = 65_536
-# Characters tokenized at a time, and after how many a long text is cut. A cut is a single space between two visible
-# ASCII characters: no token of either tokenizer reaches from before such a space into it or beyond.
-CHARACTERS_AT_ONCE = 1_000_000
-SEGMENT = 65_536
+# Characters read at a time. Texts are cut at every single space between two visible ASCII characters: no token of either
+# tokenizer reaches from before such a space into it or beyond, so both have a token that ends there.
+CHARACTERS_AT_ONCE = 3_000_000
 CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
 
@@ -75,78 +75,85 @@ class Aligner:
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
             for i, piece in enumerate(pieces)
         ]
-        # Long texts may be cut before a space if no piece of the second tokenizer goes on after one.
+        # Texts may be cut before a space if no piece of the second tokenizer goes on after one.
         self.cuts = not any(SPACE in piece.lstrip(SPACE) for piece in pieces)
         self.a_lengths = np.array([*map(len, self.a_bytes)], np.int64)
         self.b_lengths = np.array([*map(len, self.b_bytes)], np.int64)
+        # Ids in decimal, one cell each with room for a separator.
         size = max(len(self.a_bytes), len(self.b_bytes))
-        digits = np.array([b"%d" % i for i in range(size)], "S")
-        self.width = digits.dtype.itemsize + 1
-        self.cells = np.zeros((size, self.width), np.uint8)
-        self.cells[:, :-1] = digits.view(np.uint8).reshape(size, -1)
+        decimal = np.array([b"%d" % i for i in range(size)], "S")
+        self.cells = np.zeros((size, decimal.dtype.itemsize + 1), np.uint8)
+        self.cells[:, :-1] = decimal.view(np.uint8).reshape(size, -1)
         self.digits = np.count_nonzero(self.cells, axis=1)
 
-    def segments(self, text: str) -> list[str]:
-        """The text without the spaces it is cut at; each segment is tokenized as a text of its own."""
-        found, begin = [], 0
-        while self.cuts and len(text) - begin > SEGMENT and (space := CUT.search(text, begin + SEGMENT)):
-            found.append(text[begin : space.start()])
-            begin = space.end()
-        return [*found, text[begin:]]
-
-    def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers per text; none where either does not give back a space and the text."""
-        parts = [self.segments(text) if text else [] for text in texts]
-        flat = [*chain.from_iterable(parts)]
-        a_flat = iter([found.ids for found in self.a.encode_batch([" " + part for part in flat], add_special_tokens=False)])
-        b_flat = iter(self.b.encode(flat, num_threads=1) if flat else [])
-        a_ids, b_ids = [], []
-        for text, of_text in zip(texts, parts, strict=True):
-            a = [*chain.from_iterable(next(a_flat) for _ in of_text)]
-            b = [*chain.from_iterable(next(b_flat) for _ in of_text)]
-            whole = b" " + text.encode() if text else b""
-            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-            a_ids.append(a if same else [])
-            b_ids.append(b if same else [])
-        return a_ids, b_ids
+    def parts(self, text: str) -> list[str]:
+        """The text without the spaces it is cut at; each part is tokenized as a text of its own. Empty: none."""
+        if not text:
+            return []
+        return CUT.split(text) if self.cuts else [text]
 
-    def linked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """Per text the tokens of each kind, the groups and their digest; per link its text and pair (A * size of B + B)."""
-        a_lists, b_lists = self.tokens(texts)
-        n_a, n_b = (np.array([*map(len, lists)], np.int64) for lists in (a_lists, b_lists))
-        a = np.fromiter(chain.from_iterable(a_lists), np.int64, n_a.sum())
-        b = np.fromiter(chain.from_iterable(b_lists), np.int64, n_b.sum())
-        # Texts follow each other at the same bytes on both sides, so one search links all of them.
+    def groups(self, a_ids: list[list[int]], b_ids: list[list[int]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Per part, whose tokens cover the same bytes, its groups as text and its links; and the links' pairs.
+
+        A pair is A * size of B + B. Parts follow each other at the same bytes on both sides, so one search links all.
+        """
+        n_a, n_b = (np.array([*map(len, lists)], np.int64) for lists in (a_ids, b_ids))
+        a = np.fromiter(chain.from_iterable(a_ids), np.int64, n_a.sum())
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, n_b.sum())
         a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
         at = np.searchsorted(b_ends, a_ends)
         a_last = np.flatnonzero(b_ends[at] == a_ends) if len(a) else np.zeros(0, np.int64)
         b_last = at[a_last]
-        owner = np.repeat(np.arange(len(texts)), n_a)[a_last]
-        n_groups = np.bincount(owner, minlength=len(texts))
-        digests = self._digests(a, b, a_last, b_last, n_a, n_b)
-        return n_a, n_b, n_groups, digests, owner, a[a_last] * len(self.b_bytes) + b[b_last]
-
-    def _digests(self, a, b, a_last, b_last, n_a, n_b) -> list[str]:
-        """Digest of `a1,a2|b1;a3|b2,b3` per text: ids as cells of digits and a separator, laid out for all texts at once."""
-        a_group = np.searchsorted(a_last, np.arange(len(a)))
-        b_group = np.searchsorted(b_last, np.arange(len(b)))
-        a_place = np.arange(len(a)) + np.append(0, b_last + 1)[a_group]
-        b_place = np.arange(len(b)) + (a_last + 1)[b_group]
-        separators = np.empty(len(a) + len(b), np.uint8)
-        separators[:] = ord(",")
-        separators[a_place[a_last]] = ord("|")
-        separators[b_place[b_last]] = ord(";")
-        ids = np.empty(len(separators), np.int64)
+        # Each group's tokens of A come before its tokens of B.
+        a_place = np.arange(len(a)) + np.append(0, b_last + 1)[np.searchsorted(a_last, np.arange(len(a)))]
+        b_place = np.arange(len(b)) + (a_last + 1)[np.searchsorted(b_last, np.arange(len(b)))]
+        ids, separators = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
         ids[a_place], ids[b_place] = a, b
+        separators[a_place[a_last]], separators[b_place[b_last]] = ord("|"), ord(";")
         cells = self.cells[ids]
         cells[np.arange(len(ids)), self.digits[ids]] = separators
-        written = memoryview(cells[cells != 0].tobytes())
-        sizes = np.append(0, np.cumsum(self.digits[ids] + 1))
-        bounds = sizes[np.append(0, np.cumsum(n_a + n_b))].tolist()
-        return [
-            hashlib.sha256(written[begin : end - 1]).hexdigest() if end > begin else ""
-            for begin, end in zip(bounds, bounds[1:])
+        written = cells[cells != 0].tobytes()
+        ends = np.append(0, np.cumsum(self.digits[ids] + 1))[np.append(0, np.cumsum(n_a + n_b))].tolist()
+        n_links = np.bincount(np.repeat(np.arange(len(a_ids)), n_a)[a_last], minlength=len(a_ids))
+        return [written[i:j] for i, j in zip(ends, ends[1:])], n_links, a[a_last] * len(self.b_bytes) + b[b_last]
+
+    def linked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Per text the tokens of each kind, the groups and their digest; per link its text and pair.
+
+        A text has no tokens where either tokenizer does not give back a space and the text. Equal parts are read once.
+        """
+        number_of: dict[str, int] = {}
+        codes = [[number_of.setdefault(part, len(number_of)) for part in self.parts(text)] for text in texts]
+        distinct = [*number_of]
+        a_ids = [found.ids for found in self.a.encode_batch_fast([" " + part for part in distinct], add_special_tokens=False)]
+        b_ids = self.b.encode(distinct, num_threads=1) if distinct else []
+        joined = [
+            (b"".join([self.a_bytes[i] for i in a]), b"".join([self.b_bytes[i] for i in b])) for a, b in zip(a_ids, b_ids, strict=True)
         ]
+        changed = {n for n, part in enumerate(distinct) if not joined[n][0] == joined[n][1] == b" " + part.encode()}
+        if changed:
+            for at, (text, own) in enumerate(zip(texts, codes, strict=True)):
+                if not changed.isdisjoint(own) and any(
+                    b"".join([joined[n][side] for n in own]) != b" " + text.encode() for side in (0, 1)
+                ):
+                    codes[at] = []
+            used = {*chain.from_iterable(codes)}
+            a_ids, b_ids = ([ids if n in used else [] for n, ids in enumerate(lists)] for lists in (a_ids, b_ids))
+        written, n_links, pairs = self.groups(a_ids, b_ids)
+        digests = [hashlib.sha256(b"".join([written[n] for n in own])[:-1]).hexdigest() if own else "" for own in codes]
+        # What was found per part, gathered for the parts of all texts.
+        part_of = np.fromiter(chain.from_iterable(codes), np.int64)
+        text_of = np.repeat(np.arange(len(texts)), [*map(len, codes)])
+
+        def per_text(numbers) -> np.ndarray:
+            return np.bincount(text_of, np.array(numbers, np.int64)[part_of], len(texts)).astype(np.int64)
+
+        counts = n_links[part_of]
+        first = np.repeat((np.cumsum(n_links) - n_links)[part_of] - (np.cumsum(counts) - counts), counts)
+        return (
+            per_text([*map(len, a_ids)]), per_text([*map(len, b_ids)]), per_text(n_links), digests,
+            np.repeat(text_of, counts), pairs[first + np.arange(len(first))],
+        )
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -240,6 +247,7 @@ def indexed(
 
         arrow = to_arrow_schema(schema)
         aligner = _aligner(a_file, b_file)
+        gc.disable()  # millions of small lists and no cycles: looking for some would take a quarter of the time
         number = TaskContext.get().partitionId() << 32
         block = _Block()
 
@@ -280,6 +288,7 @@ def indexed(
                     block, number = _Block(), number + 1
         if block.documents:
             yield from closed()
+        gc.enable()
 
     read = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     both = cut_lineage(read.mapInArrow(rows, schema))

@@ -4,6 +4,7 @@ from .decontaminate import op7_decontaminate
 from .feistel import op5_feistel
 from .html_text import op1_main_text
 from .pair_bitmaps import op13_pair_bitmaps
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_cascade import OP6_SQL, op6_quality
 from .radix import OP12_SQL, op12_radix
 from .rlz import OP10_SQL, op10_rlz
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_site_quality": op8_site_quality,
     "op9_token_counts": op9_token_counts,
     "op10_rlz": op10_rlz,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_radix": op12_radix,
     "op13_pair_bitmaps": op13_pair_bitmaps,
 }
@@ -31,5 +33,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_quality": OP6_SQL,
     "op10_rlz": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_radix": OP12_SQL,
 }
