@@ -32,55 +32,43 @@ COUNTED_AT_ONCE = 65_536
 SHARD_LIMIT = 4_096
 # Distinct fingerprints a shard key should hold on average.
 SHARD_AIM = 64
-MIX = 0x9E3779B97F4A7C15
+SHINGLE = 4
+RADIUS = 4
 
-# For groups of five-word shingles with a similarity of 0.8 or more. Two such texts differ in 15 % of a SimHash's bits;
-# 64 bits tell that too coarsely, so 256 are compared, and shards are made of the first 64.
-SHINGLE = 5
-WORDS = 4
-RADIUS = 42
-LEAD_RADIUS = 8
 
-
-def fingerprint(text: bytes, shingle: int = 4, words: int = 1) -> bytes:
-    """SimHash of the text's word shingles, `words` times 64 bits, big-endian; zero for a text without words.
-
-    The first 64 bits are those of the shingles' XXH64; more are taken from the same hashes, mixed anew for each.
-    """
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
+    """SimHash of the text's word shingles, 64 bits, big-endian; zero for a text without words."""
     parts = text.lower().split()  # bytes: folds A-Z alone and splits at the six ASCII white-space bytes
     if not parts:
-        return bytes(8 * words)
+        return bytes(8)
     joined = memoryview(b" ".join(parts))
     starts, ends = word_bounds(parts)
     count = max(1, len(parts) - shingle + 1)
     starts, ends = starts[:count].tolist(), ends[len(parts) - count :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros((words, BITS), np.int64)
+    ones = np.zeros(BITS, np.int64)
     for at in range(0, count, COUNTED_AT_ONCE):
         stop = min(count, at + COUNTED_AT_ONCE)
         hashes = np.fromiter(
             (digest(joined[a:b], SEED) for a, b in zip(starts[at:stop], ends[at:stop], strict=True)), np.uint64, stop - at
         )
-        for word in range(words):
-            if word:
-                hashes = hashes * np.uint64(MIX)
-                hashes = hashes ^ (hashes >> np.uint64(31))
-            bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones[word] += bits.sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > count).tobytes()
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """Add `fp`, the fingerprint, and `lead`, its first 64 bits as a signed number."""
+def with_fingerprints(docs: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
+    """`row` (struct of all columns), `id`, `fp`, the fingerprint, and `lead`, the same as a signed number."""
 
     def rows(texts: list[bytes]) -> Iterator[tuple]:
         for value in texts:
-            found = fingerprint(value, shingle, words)
-            yield found, int.from_bytes(found[:8], "big", signed=True)
+            found = fingerprint(value, shingle)
+            yield found, int.from_bytes(found, "big", signed=True)
 
-    names = docs.columns
-    hashed = docs.withColumn("_fp", per_text("fp binary, lead bigint", rows)(as_bytes(text)))
-    return hashed.select(*[F.col(f"`{name}`") for name in names], F.col("_fp.fp").alias("fp"), F.col("_fp.lead").alias("lead"))
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    hashed = docs.select(
+        row.alias("row"), F.col(id_column).alias("id"), per_text("fp binary, lead bigint", rows)(as_bytes(text)).alias("found")
+    )
+    return hashed.select("row", "id", "found.fp", "found.lead")
 
 
 class BkTree:
@@ -157,16 +145,10 @@ def _spare_blocks(radius: int, distinct: int) -> int:
 
 
 def fingerprint_links(
-    fingerprints: DataFrame, radius: int, lead_radius: int | None = None, shard_limit: int = SHARD_LIMIT,
-    spare: int | None = None,
+    fingerprints: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, spare: int | None = None
 ) -> DataFrame:
-    """Edges `a`, `b` that connect the distinct values of `fp` that chains of links within the radius connect.
-
-    Shards are made of `lead`. All links whose leads differ in at most `lead_radius` bits are found (by default the
-    radius, so all links); of others those that share enough blocks by chance.
-    """
-    lead_radius = radius if lead_radius is None else lead_radius
-    masks = block_masks(lead_radius, _spare_blocks(lead_radius, fingerprints.count()) if spare is None else spare)
+    """Edges `a`, `b` that connect the distinct values of `fp` that chains of links within the radius connect."""
+    masks = block_masks(radius, _spare_blocks(radius, fingerprints.count()) if spare is None else spare)
     keyed = fingerprints.select(
         "fp",
         F.explode(
@@ -197,18 +179,26 @@ def fingerprint_links(
     return units.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(link, "a binary, b binary").distinct()
 
 
-def _rooted(hashed: DataFrame, radius: int, lead_radius: int | None, shard_limit: int, spare: int | None) -> DataFrame:
+def _rooted(hashed: DataFrame, radius: int, shard_limit: int, spare: int | None) -> DataFrame:
     """`fp` and `root` of every distinct fingerprint: the least fingerprint that its links reach."""
     distinct = cut_lineage(hashed.select("fp", "lead").distinct())
-    roots = connected_components(fingerprint_links(distinct, radius, lead_radius, shard_limit, spare))
-    return distinct.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root")
+    roots = connected_components(fingerprint_links(distinct, radius, shard_limit, spare))
+    return cut_lineage(
+        distinct.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+        .select("fp", F.coalesce("root", "fp").alias("root"))
     )
 
 
+def _named(rooted: DataFrame, least: DataFrame) -> DataFrame:
+    """`fp` and `least`, the least value that its component has in `least` (`fp`, `least`)."""
+    components = rooted.join(least, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    # A component may hold very many fingerprints.
+    return split_join(rooted, components, ["root"]).select("fp", "least")
+
+
 def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, words: int = 1,
-    lead_radius: int | None = None, shard_limit: int = SHARD_LIMIT, spare: int | None = None,
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
+    shard_limit: int = SHARD_LIMIT, spare: int | None = None,
 ) -> DataFrame:
     """One row per input row: the id, `fp`, and `component_id`, the least id its links reach, itself included.
 
@@ -216,36 +206,32 @@ def near_duplicates(
     repeated. A NULL id takes part but is never the least; a component of NULL ids alone has a NULL `component_id`.
     An empty input gives an empty result.
     """
-    hashed = cut_lineage(with_fingerprints(docs.select(F.col(id_column), F.col(text)), text, shingle, words).drop(text))
-    rooted = cut_lineage(_rooted(hashed, radius, lead_radius, shard_limit, spare))
-    least = hashed.groupBy("fp").agg(F.min(id_column).alias("least"))
-    components = rooted.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(components, "root").select("fp", "component_id")
-    return split_join(hashed.select(id_column, "fp"), named, ["fp"]).select(id_column, "fp", "component_id")
+    hashed = cut_lineage(with_fingerprints(docs.select(F.col(id_column), F.col(text)), id_column, text, shingle).drop("row"))
+    rooted = _rooted(hashed, radius, shard_limit, spare)
+    named = _named(rooted, hashed.groupBy("fp").agg(F.min("id").alias("least")))
+    return split_join(hashed.select("id", "fp"), named, ["fp"]).select(
+        F.col("id").alias(id_column), "fp", F.col("least").alias("component_id")
+    )
 
 
 def without_near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
-    words: int = WORDS, lead_radius: int | None = LEAD_RADIUS, shard_limit: int = SHARD_LIMIT, spare: int | None = None,
+    shard_limit: int = SHARD_LIMIT, spare: int | None = None,
 ) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns: that of the least id, then the least text hash.
+    """One document of each component, with all its columns: that of the least id, then the least text hash.
 
-    Of repeated rows one stays. A NULL id comes last. Texts without words are one group.
+    Of rows equal in id and text one stays. A NULL id comes last. Texts without words are one component.
     """
-    names = docs.columns
     # A row's key: its id and text. Rows that share it are copies of one row.
-    key = {"_k1": F.xxhash64(id_column, text), "_k2": F.hash(text)}
-    keyed = docs.withColumns(key)
-    hashed = cut_lineage(
-        with_fingerprints(keyed.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"), "_k1", "_k2"), "_text", shingle, words)
-        .drop("_text")
-    )
-    rooted = cut_lineage(_rooted(hashed, radius, lead_radius, shard_limit, spare))
-    order = F.struct(F.col("_id").isNull(), "_id", "_k1", "_k2")
-    least = hashed.groupBy("fp").agg(F.min(order).alias("least"))
-    kept = rooted.join(least, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
-    return split_join(keyed, kept.distinct(), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(
-        *[F.col(f"`{name}`") for name in names]
+    key = F.struct(F.col(id_column).isNull().alias("nameless"), F.col(id_column).alias("id"), F.xxhash64(id_column, text).alias("k1"), F.hash(text).alias("k2"))
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    keyed = docs.select(row.alias("row"), key.alias("key")).select("row", "key", "key.k1", "key.k2")
+    hashed = cut_lineage(with_fingerprints(docs.select(key.alias("key"), F.col(text).alias("text")), "key", "text", shingle).select(F.col("id").alias("key"), "fp", "lead"))
+    least = hashed.groupBy("fp").agg(F.min("key").alias("least"))
+    kept = _rooted(hashed, radius, shard_limit, spare).join(least, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    chosen = kept.select("least.k1", "least.k2").distinct()
+    return split_join(keyed, chosen, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(
+        *[F.col(f"row.`{name}`") for name in docs.columns]
     )
 
 
