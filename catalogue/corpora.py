@@ -299,6 +299,31 @@ def hard_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LARGE_JSON, LARGE_TEXT, LARGEST_TEXT = 17_000_000, 20_000_000, 68_000_000
+
+
+def large_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family 9, from `region`: pages with a text too large for one block, one property or one VARIANT, three variants."""
+    name = F.col("r_name")
+
+    def repeated(size: int) -> Column:
+        return _text(F.repeat(_text(name, " "), F.ceil(F.lit(size) / (F.length(name) + 1)).cast("int")), "end")
+
+    graph = _text(
+        '{"@graph":[{"@type":"Article","description":"', repeated(LARGE_JSON), '","name":"', name, '"},{"@type":"Person","name":"x"}]}'
+    )
+    scoped = '<div itemscope itemtype="https://schema.org/Article"><b itemprop="name">'
+    typed = '<div typeof="Article"><b property="name">'
+    bodies = [
+        _script(graph),
+        _text(scoped, name, '</b><p itemprop="description">', repeated(LARGE_TEXT), "</p></div>"),
+        _text(typed, name, '</b><p property="description">', repeated(LARGEST_TEXT), "</p></div>"),
+    ]
+    source = _columns(spark, sf_dir, "region", "r_regionkey", "r_name")
+    key = F.col("r_regionkey")
+    return _corpus(source, 9, key, "https://large.example.com/r/", _page(name, "", _by_variant(key % 3, bodies)))
+
+
 @_spread_out
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 6, from `part`: product pages with failed, missing and non-HTML responses among them."""

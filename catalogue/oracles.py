@@ -334,6 +334,18 @@ def _issues(families: list[str], where: str = "TRUE") -> str:
 ORACLES["jsonld_items"] = _items(["product", "article", "oddity"])
 ORACLES["jsonld_graph_context"] = _items(["product"], "is_graph_item")
 ORACLES["jsonld_hard_blocks"] = _items(["hard"])
+ORACLES["large_values"] = """
+WITH pages AS (
+  SELECT CAST(r_regionkey * 10 + 9 AS BIGINT) AS page_id, r_regionkey % 3 AS variant, r_name,
+    repeat(r_name || ' ', CAST(ceil([17000000, 20000000, 68000000][1 + r_regionkey % 3] / (length(r_name) + 1.0)) AS BIGINT)) || 'end' AS text
+  FROM region
+)
+SELECT page_id, CAST(0 AS INTEGER) AS item_ord, ['json-ld', 'microdata', 'rdfa'][1 + variant] AS schema_format,
+  'Article' AS schema_type, r_name AS name, CAST(2 AS BIGINT) AS n_properties, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5
+FROM pages
+UNION ALL
+SELECT page_id, 1, 'json-ld', 'Person', 'x', 1, NULL, NULL FROM pages WHERE variant = 0
+"""
 ORACLES["microdata_items"] = _items(["listing"])
 ORACLES["rdfa_items"] = _items(["profile"])
 ORACLES["all_items"] = _items(MARKUP)

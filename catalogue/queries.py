@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import marklens as m
 from marklens.functions import variants as V
+from marklens.functions.overflow import text_of
 from marklens.functions.urls import is_document_url, netloc, normalise_url, url_path
 from marklens.operators.elements import read_document
 from marklens.plans.report import tallies
@@ -90,6 +91,18 @@ def jsonld_hard_blocks(spark, sf_dir):
     return _items(C.hard_json(spark, sf_dir))
 
 
+@query
+def large_values(spark, sf_dir):
+    """Texts of up to 68,000,000 characters, whole, beside the other properties and items of their pages."""
+    items = m.items_table(m.audit_pages(C.large_pages(spark, sf_dir)))
+    text = text_of(F.lit("description"), F.col("properties")["description"], F.col("overflow"))
+    return items.select(
+        "page_id", "item_ord", "schema_format", "schema_type", V.as_text(F.col("properties")["name"]).alias("name"),
+        F.size("properties").cast("bigint").alias("n_properties"), F.char_length(text).cast("bigint").alias("n_chars"),
+        F.md5(text).alias("text_md5"),
+    )
+
+
 @query
 def microdata_items(spark, sf_dir):
     return _items(C.listings(spark, sf_dir))

@@ -21,6 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.overflow import BEGINNING, SEGMENT
 
 # The reader travels with the query, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -99,12 +100,15 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-# What the JVM's JSON reader and a VARIANT take; a block beyond that is fitted, never refused.
+# What the JVM's JSON reader and a VARIANT take. A block of this many bytes of JSON has no text that the JVM's reader
+# refuses (20,000,000 characters), and as a VARIANT it takes less than three times as many (128 MiB are allowed).
 MOST_DEPTH = 500
-MOST_BYTES = 8 << 20
+MOST_BYTES = 16 << 20
 MOST_DIGITS = 300
-# Stands where a text or value was too large for a VARIANT.
-LEFT_OUT = "[too large: {} characters left out]"
+# Of a larger item, members of more JSON than this go into its overflow.
+MOST_MEMBER = 1 << 10
+# All texts of a page's elements together; nested elements hold their texts each.
+MOST_TEXT = 1 << 30
 
 
 def _finite(number: float) -> float:
@@ -138,45 +142,54 @@ def _within_depth(value):
     return value
 
 
-def _fitted(value, size: int) -> list[str]:
-    """A block as JSON texts of which each fits a VARIANT: entries apart, and what is large by itself left out."""
-    graph = value.get("@graph") if isinstance(value, dict) else None
+def _items_apart(value):
+    """Each item of a block, as a block of its own and as the object itself."""
     if isinstance(value, list):
-        return [text for entry in value if isinstance(entry, dict) for text in _fitted([entry], len(json.dumps(entry)))] if (
-            len(value) > 1
-        ) else [_shrunk(value, size)]
-    if isinstance(graph, list) and len(graph) > 1:
-        rest = {key: value[key] for key in ("@context",) if key in value}
-        return [text for entry in graph if isinstance(entry, dict) for text in _fitted({**rest, "@graph": [entry]}, len(json.dumps(entry)))]
-    return [_shrunk(value, size)]
-
-
-def _shrunk(value, size: int) -> str:
-    """One item whose largest members are left out, if need be all of them but type and context."""
-    if size <= MOST_BYTES:
-        return json.dumps(value)
-    inner = value
-    while isinstance(inner, list) or isinstance(inner.get("@graph"), list):
-        inner = (inner if isinstance(inner, list) else inner["@graph"])[0]
-        if not isinstance(inner, dict):
-            return json.dumps([])
-    for most in (MOST_BYTES >> 4, 1 << 10):
-        for key, member in inner.items():
-            length = len(json.dumps(member))
-            if length > most:
-                inner[key] = LEFT_OUT.format(length)
-        text = json.dumps(value)
-        if len(text) <= MOST_BYTES:
-            return text
-    kept = {key: inner[key] for key in ("@type", "@context", "@id", "name") if key in inner}
-    kept["members"] = LEFT_OUT.format(len(text))
-    inner.clear()
-    inner.update(kept)
-    return json.dumps(value)
-
-
-def _strict_json(text: str, decoder: json.JSONDecoder) -> list[str]:
-    """The block as plain JSON that later stages can read, in one or more parts; empty if it is not JSON.
+        for entry in value:
+            if isinstance(entry, dict):
+                yield from _items_apart(entry)
+    elif isinstance(value.get("@graph"), list):
+        context = {key: value[key] for key in ("@context",) if key in value}
+        for entry in value["@graph"]:
+            if isinstance(entry, dict):
+                yield {**context, "@graph": [entry]}, entry
+    else:
+        yield value, value
+
+
+def _kind_of(member, inner: bool = False):
+    """What stands for a large member: of its kind, and as true as it, with the types of a list's objects."""
+    if isinstance(member, str):
+        return member[:BEGINNING]
+    if isinstance(member, dict):
+        named = member.get("@type")
+        kept = {"@type": named if named is None or isinstance(named, str) and len(named) <= BEGINNING else 0} if "@type" in member else {}
+        return kept if inner else kept or {"": 0}
+    if isinstance(member, list):
+        return [] if inner else [_kind_of(entry, True) for entry in member]
+    return member
+
+
+def _parts(value) -> list[tuple[str, dict | None]]:
+    """A large block as one part per item: its JSON, and its overflow if it is too large for a VARIANT itself."""
+    parts = []
+    for block, item in _items_apart(value):
+        overflow = {}
+        text = json.dumps(block)
+        if len(text) > MOST_BYTES:
+            for key in [key for key in item if not key.startswith("@") or key == "@id"]:
+                member = item[key] if isinstance(item[key], str) else json.dumps(item[key])
+                if len(member) > MOST_MEMBER:
+                    segments = [member[at : at + SEGMENT] for at in range(0, len(member), SEGMENT)]
+                    overflow[key] = {"json": not isinstance(item[key], str), "segments": segments}
+                    item[key] = _kind_of(item[key])
+            text = json.dumps(block)
+        parts.append((text, overflow or None))
+    return parts
+
+
+def _strict_json(text: str, decoder: json.JSONDecoder) -> list[tuple[str, dict | None]]:
+    """The block as plain JSON that later stages can read, in one or more parts with their overflow; empty if it is not JSON.
 
     Later stages need last-wins duplicate keys and no NaN or Infinity, which JSON in the wild has and the JVM parser
     refuses. A block too deeply nested to be read at all counts as not JSON; other blocks of the page are not touched.
@@ -186,16 +199,11 @@ def _strict_json(text: str, decoder: json.JSONDecoder) -> list[str]:
         if text.count("[") + text.count("{") > MOST_DEPTH and isinstance(value, (dict, list)):
             value = _within_depth(value)
         plain = json.dumps(value)
-        return [plain] if len(plain) <= MOST_BYTES or not isinstance(value, (dict, list)) else _fitted(value, len(plain))
+        return [(plain, None)] if len(plain) <= MOST_BYTES or not isinstance(value, (dict, list)) else _parts(value)
     except (ValueError, RecursionError, MemoryError):
         return []
 
 
-def _held(text: str) -> str:
-    """A text as a VARIANT can hold it."""
-    return text if len(text) <= MOST_BYTES else text[: MOST_BYTES >> 3] + LEFT_OUT.format(len(text) - (MOST_BYTES >> 3))
-
-
 def _raw_end(html: str, tag: str, at: int) -> int:
     """Where the content of a script, style, title or textarea stops: its end tag, or the end of the document."""
     name_length = len(tag)
@@ -223,6 +231,7 @@ class _Page:
         self.open_tags: dict[str, int] = defaultdict(int)
         # Text is kept only while an element that needs it is open.
         self.listening = 0
+        self.kept = 0
         self.words: list[str] = []
         self.template_words: list[str] = []
         self._read(html)
@@ -270,7 +279,7 @@ class _Page:
             self.hrefs.append(attributes["href"])
         if self.markup and tag == "script" and attributes.get("type") == "application/ld+json" and raw.strip():
             parts = _strict_json(raw, self.decoder)
-            self.scripts += [(serial, None, part) for part in parts] or [(serial, _held(raw), None)]
+            self.scripts += [(serial, None, *part) for part in parts] or [(serial, raw, None, None)]
         if not self.tree:
             return
         self._imply_ends(tag)
@@ -278,13 +287,13 @@ class _Page:
         row = None
         if attributes and not attributes.keys().isdisjoint(("itemscope", "itemprop", "typeof", "property")):
             row = len(self.nodes)
-            kept = [(name, _held(attributes[name])) for name in _KEPT_ATTRIBUTES if name in attributes]
+            kept = [(name, attributes[name]) for name in _KEPT_ATTRIBUTES if name in attributes]
             self.nodes.append([serial, tag, kept, scope, typed, vocab, None])
         needs_text = row is not None and self._needs_text(row)
         own = raw.strip() if raw is not None and tag in ("script", "style") else None
         if tag in _VOID or own is not None:
             if needs_text:
-                self.nodes[row][6] = _held(own or "")
+                self.nodes[row][6] = own or ""
             return
         self.listening += needs_text
         words = self.template_words if tag == "template" else self.words
@@ -319,7 +328,10 @@ class _Page:
         if row is not None:
             self.listening -= 1
             words = self.template_words if tag == "template" else self.words
-            self.nodes[row][6] = _held("".join(words[begin:]))
+            self.nodes[row][6] = text = "".join(words[begin:])
+            self.kept += len(text)
+            if self.kept > MOST_TEXT:
+                raise ValueError(f"texts of nested elements take more than {MOST_TEXT} characters")
 
     def _close_down_to(self, targets, barriers) -> None:
         """End the outermost open target that no barrier hides, with all it holds."""
@@ -356,6 +368,9 @@ class _Page:
                 return
 
 
+_OVERFLOW = pa.map_(pa.string(), pa.struct([("json", pa.bool_()), ("segments", pa.list_(pa.string()))]))
+
+
 class _Columns:
     """Collects the pages of one Arrow batch as flat columns and offsets."""
 
@@ -395,8 +410,13 @@ class _Columns:
 
         text, number = pa.string(), pa.int32()
         scripts = pa.StructArray.from_arrays(
-            [column(self.scripts, 0, number), column(self.scripts, 1, text), column(self.scripts, 2, text)],
-            ["pos", "text", "json"],
+            [
+                column(self.scripts, 0, number),
+                column(self.scripts, 1, text),
+                column(self.scripts, 2, text),
+                pa.array([script[3] and [*script[3].items()] for script in self.scripts], _OVERFLOW),
+            ],
+            ["pos", "text", "json", "overflow"],
         )
         attrs = pa.MapArray.from_arrays(
             pa.array(self.offsets["attrs"], number), column(self.attrs, 0, text), column(self.attrs, 1, text)

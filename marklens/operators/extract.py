@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import variants as V
 from ..functions.columns import let, none_if_empty, split_runs
+from ..functions.overflow import BEGINNING, MOST_BYTES, MOST_MEMBER, bytes_of, large_value, no_overflow
 from ..rules import JSON_LD, MALFORMED, MICRODATA, RDFA, UNKNOWN
 
 
@@ -19,7 +20,9 @@ def _no_items() -> Column:
     return F.array().cast(schemas.ITEMS)
 
 
-def _item(kind: str, name: Column, properties: Column, raw: Column, context: Column, in_graph: bool = False) -> Column:
+def _item(
+    kind: str, name: Column, properties: Column, raw: Column, context: Column, overflow: Column, in_graph: bool = False
+) -> Column:
     return F.struct(
         F.lit(kind).alias("schema_format"),
         name.alias("schema_type"),
@@ -27,6 +30,7 @@ def _item(kind: str, name: Column, properties: Column, raw: Column, context: Col
         raw.alias("raw"),
         context.alias("context"),
         F.lit(in_graph).alias("is_graph_item"),
+        overflow.alias("overflow"),
     )
 
 
@@ -41,7 +45,7 @@ def _no_raw() -> Column:
 # --- JSON-LD ------------------------------------------------------------------------------------
 
 
-def _jsonld_item(entry: Column, context: Column, in_graph: bool, with_raw: bool) -> Column:
+def _jsonld_item(entry: Column, context: Column, overflow: Column, in_graph: bool, with_raw: bool) -> Column:
     kept = F.map_filter(V.as_object(entry), lambda name, _: ~name.startswith("@") | (name == "@id"))
     return _item(
         JSON_LD,
@@ -49,17 +53,24 @@ def _jsonld_item(entry: Column, context: Column, in_graph: bool, with_raw: bool)
         kept,
         entry if with_raw else _no_raw(),
         context,
+        overflow,
         in_graph,
     )
 
 
 def _malformed_item(text: Column, with_raw: bool) -> Column:
-    raw = V.to_variant(text) if with_raw else _no_raw()
-    return _item(JSON_LD, F.lit(MALFORMED), F.create_map().cast("map<string,variant>"), raw, _nothing())
+    """The text is the item's raw; one too large for that is its overflow, without a name."""
+    large = F.octet_length(text) > MOST_BYTES
+    raw = V.to_variant(F.when(large, F.left(text, F.lit(BEGINNING))).otherwise(text)) if with_raw else _no_raw()
+    overflow = F.when(large, F.create_map(F.lit(""), large_value(text, F.lit(False)))) if with_raw else no_overflow()
+    return _item(JSON_LD, F.lit(MALFORMED), F.create_map().cast("map<string,variant>"), raw, _nothing(), overflow)
 
 
-def _block_items(block: Column, with_raw: bool) -> Column:
-    """Items of one parsed block: an object, each object of a list, or each object of an object's @graph list."""
+def _block_items(block: Column, overflow: Column, with_raw: bool) -> Column:
+    """Items of one parsed block: an object, each object of a list, or each object of an object's @graph list.
+
+    A block with overflow has one item.
+    """
 
     def object_items(top: Column) -> Column:
         def with_context(context: Column) -> Column:
@@ -68,9 +79,9 @@ def _block_items(block: Column, with_raw: bool) -> Column:
                 lambda graph: F.when(
                     graph.isNotNull(),
                     F.transform(
-                        F.filter(graph, V.is_object), lambda entry: _jsonld_item(entry, context, True, with_raw)
+                        F.filter(graph, V.is_object), lambda entry: _jsonld_item(entry, context, overflow, True, with_raw)
                     ),
-                ).otherwise(F.array(_jsonld_item(top, context, False, with_raw))),
+                ).otherwise(F.array(_jsonld_item(top, context, overflow, False, with_raw))),
             )
 
         return let(V.joined_text(V.member(top, "@context"), " "), with_context)
@@ -94,7 +105,7 @@ def jsonld_items(scripts: Column, with_raw: bool = False) -> Column:
         return F.when(script["json"].isNull(), F.array(_malformed_item(script["text"], with_raw))).otherwise(
             let(
                 F.coalesce(F.try_parse_json(script["json"]), F.parse_json(F.lit("{}"))),
-                lambda block: _block_items(block, with_raw),
+                lambda block: _block_items(block, script["overflow"], with_raw),
             )
         )
 
@@ -128,21 +139,54 @@ def _member(scope: Column, name: Column, pos: Column, value: Column) -> Column:
     )
 
 
-def _property_map(members: Column) -> Column:
-    """Members of one scope, sorted by name and position: a single value stays a text, repeats become a list."""
-
-    def entry(run: Column) -> Column:
-        values = F.transform(run, lambda m: m["value"])
-        value = F.when(F.size(run) == 1, V.to_variant(values[0])).otherwise(V.to_variant(values))
-        return F.struct(run[0]["pos"].alias("pos"), run[0]["name"].alias("key"), value.alias("value"))
-
+def _runs(members: Column) -> Column:
+    """Members of one scope, sorted by name and position, as runs of one name, in document order of their firsts."""
     runs = split_runs(members, lambda before, now: before["name"] != now["name"])
     # Position leads, so properties come in document order; names are unique, so values are never compared.
     firsts = F.array_sort(
         F.transform(runs, lambda run: F.struct(run[0]["pos"].alias("pos"), run.alias("run")))
     )
-    entries = F.transform(firsts, lambda first: entry(first["run"]))
-    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"])))
+    return F.transform(firsts, lambda first: first["run"])
+
+
+def _values(run: Column) -> Column:
+    return F.transform(run, lambda m: m["value"])
+
+
+def _property_map(runs: Column) -> Column:
+    """A single value stays a text, repeats become a list."""
+
+    def entry(run: Column) -> Column:
+        values = _values(run)
+        value = F.when(F.size(run) == 1, V.to_variant(values[0])).otherwise(V.to_variant(values))
+        return F.struct(run[0]["name"].alias("key"), value.alias("value"))
+
+    return F.map_from_entries(F.transform(runs, entry))
+
+
+def _is_large(run: Column) -> Column:
+    return bytes_of(_values(run)) > MOST_MEMBER
+
+
+def _beginnings(runs: Column) -> Column:
+    """The runs, with the values of large ones cut to what stands for them."""
+
+    def cut(run: Column) -> Column:
+        short = F.transform(run, lambda m: m.withField("value", F.left(m["value"], F.lit(BEGINNING))))
+        return F.when(_is_large(run), short).otherwise(run)
+
+    return F.transform(runs, cut)
+
+
+def _overflow_map(runs: Column) -> Column:
+    """The whole values of large runs: a single one as it is, repeats as a JSON list."""
+
+    def entry(run: Column) -> Column:
+        values, single = _values(run), F.size(run) == 1
+        text = F.when(single, values[0]).otherwise(F.to_json(values))
+        return F.struct(run[0]["name"].alias("key"), large_value(text, ~single).alias("value"))
+
+    return F.map_from_entries(F.transform(F.filter(runs, _is_large), entry))
 
 
 def _scoped_items(rows: Column, kind: str, name_of, raw_of, with_raw: bool) -> Column:
@@ -157,14 +201,26 @@ def _scoped_items(rows: Column, kind: str, name_of, raw_of, with_raw: bool) -> C
     def build(run: Column) -> Column:
         header = run[0]
         members = F.slice(run, F.lit(2), F.greatest(F.size(run) - 1, F.lit(1)))
+
+        def item(runs: Column, overflow: Column) -> Column:
+            return let(
+                _property_map(runs),
+                lambda properties: _item(
+                    kind,
+                    name_of(header),
+                    properties,
+                    F.to_variant_object(raw_of(header, properties)) if with_raw else _no_raw(),
+                    header["context"],
+                    overflow,
+                ),
+            )
+
+        fits = bytes_of(_values(members)) <= MOST_BYTES
         return let(
-            _property_map(members),
-            lambda properties: _item(
-                kind,
-                name_of(header),
-                properties,
-                F.to_variant_object(raw_of(header, properties)) if with_raw else _no_raw(),
-                header["context"],
+            _runs(members),
+            lambda runs: let(
+                F.when(fits, runs).otherwise(_beginnings(runs)),
+                lambda short: item(short, F.when(~fits, _overflow_map(runs))),
             ),
         )
 

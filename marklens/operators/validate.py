@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules, schemas
 from ..functions import variants as V
 from ..functions.columns import comma_parts, first_comma_part, is_blank, let, texts
+from ..functions.overflow import text_of
 from ..functions.urls import is_http_url, is_iso_date
 
 # Order in which the checks report, within one item.
@@ -59,20 +60,22 @@ def _each(entries: Column, issue: Callable[..., Column]) -> Column:
 
 def _shape_issues(
     properties: Column,
+    overflow: Column,
     is_watched: Callable[[Column], Column],
     is_valid: Callable[[Column], Column],
     issue: Callable[[Column, Column], Column],
 ) -> Column:
-    """Watched text properties, not blank, whose value has the wrong shape."""
+    """Watched text properties, not blank, whose value has the wrong shape; large values are read whole."""
     watched = F.map_entries(F.map_filter(properties, lambda name, value: is_watched(name) & V.is_text(value)))
-    named = F.transform(watched, lambda e: F.struct(e["key"].alias("name"), V.as_text(e["value"]).alias("text")))
+    named = F.transform(watched, lambda e: F.struct(e["key"].alias("name"), text_of(e["key"], e["value"], overflow).alias("text")))
     wrong = F.filter(named, lambda e: ~is_blank(e["text"]) & ~is_valid(e["text"]))
     return _each(wrong, lambda e: issue(e["name"], e["text"]))
 
 
-def url_issues(name: Column, properties: Column) -> Column:
+def url_issues(name: Column, properties: Column, overflow: Column) -> Column:
     return _shape_issues(
         properties,
+        overflow,
         lambda prop: F.lower(prop).isin(rules.URL_PROPERTIES),
         is_http_url,
         lambda prop, value: _issue(
@@ -86,9 +89,10 @@ def url_issues(name: Column, properties: Column) -> Column:
     )
 
 
-def date_issues(name: Column, properties: Column) -> Column:
+def date_issues(name: Column, properties: Column, overflow: Column) -> Column:
     return _shape_issues(
         properties,
+        overflow,
         lambda prop: prop.isin(rules.DATE_PROPERTIES),
         is_iso_date,
         lambda prop, value: _issue(
@@ -263,7 +267,7 @@ def guideline_issues(name: Column, properties: Column) -> Column:
 
 def item_issues(item: Column, google_guidelines: bool = True) -> Column:
     """All issues of one item, in rule order."""
-    name, properties = item["schema_type"], item["properties"]
+    name, properties, overflow = item["schema_type"], item["properties"], item["overflow"]
     malformed = _issue(
         UNTYPED, "malformed_json_ld", "error", "JSON-LD block contains invalid JSON", None, rules.MALFORMED
     )
@@ -291,8 +295,8 @@ def item_issues(item: Column, google_guidelines: bool = True) -> Column:
                 name,
             ),
         ),
-        url_issues(name, properties),
-        date_issues(name, properties),
+        url_issues(name, properties, overflow),
+        date_issues(name, properties, overflow),
     ]
     if google_guidelines:
         checks.append(guideline_issues(name, properties))

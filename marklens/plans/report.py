@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import entries_of
+from ..functions.overflow import item_json, quoted
+from ..rules import JSON_LD
 from ..session import cut_lineage
 
 COUNTERS = [
@@ -219,16 +221,18 @@ def summary_lines(results: DataFrame) -> DataFrame:
 
 
 def page_json(results: DataFrame, pretty: bool = False) -> DataFrame:
-    """One JSON object per page: `page_id`, `url`, `json`."""
-    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
+    """One JSON object per page: `page_id`, `url`, `json`.
+
+    Values too large for a VARIANT are written whole from their overflow; a page that has some is one line.
+    """
+    options = {"ignoreNullFields": "false"}
 
     def issues(column: str) -> Column:
         fields = ["issue_type", "severity", "message", "path", "schema_ref"]
         return F.transform(column, lambda i: F.struct(*[i[name].alias(name) for name in fields])).alias(column)
 
-    found = F.transform(
-        "items",
-        lambda item: F.struct(
+    def shown(item: Column) -> Column:
+        return F.struct(
             item["schema_format"].alias("schema_format"),
             item["schema_type"].alias("schema_type"),
             item["properties"].alias("properties"),
@@ -236,10 +240,23 @@ def page_json(results: DataFrame, pretty: bool = False) -> DataFrame:
             F.col("url").alias("source_url"),
             item["context"].alias("context"),
             item["is_graph_item"].alias("is_graph_item"),
-        ),
-    ).alias("structured_data")
-    page = F.struct("url", found, issues("errors"), issues("warnings"), issues("info"), "fetch_error")
-    return results.select("page_id", "url", F.to_json(page, options).alias("json"))
+        )
+
+    def whole_item(item: Column) -> Column:
+        return F.when(item["overflow"].isNull(), F.to_json(shown(item), options)).otherwise(
+            item_json(item, F.col("url"), JSON_LD)
+        )
+
+    rest = [issues("errors"), issues("warnings"), issues("info"), F.col("fetch_error")]
+    page = F.struct("url", F.transform("items", shown).alias("structured_data"), *rest)
+    whole = F.concat(
+        F.lit('{"url":'), quoted(F.col("url")),
+        F.lit(',"structured_data":['), F.array_join(F.transform("items", whole_item), ","),
+        F.lit("],"), F.substring(F.to_json(F.struct(*rest), options), F.lit(2), F.lit(2**31 - 1)),
+    )
+    has_overflow = F.exists("items", lambda item: item["overflow"].isNotNull())
+    json = F.when(has_overflow, whole).otherwise(F.to_json(page, options | {"pretty": str(pretty).lower()}))
+    return results.select("page_id", "url", json.alias("json"))
 
 
 def document_lines(results: DataFrame, pretty: bool = True) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .functions.overflow import OVERFLOW
+
 # One fetched page per row. `page_id` is unique per row; a URL may occur in several rows.
 FETCHED_PAGES = "page_id BIGINT, url STRING, status INT, content_type STRING, html STRING, fetch_error STRING"
 
 # What one pass over a page's HTML keeps (see operators.elements).
-SCRIPT = "struct<pos:int,text:string,json:string>"
+SCRIPT = f"struct<pos:int,text:string,json:string,overflow:{OVERFLOW}>"
 NODE = (
     "struct<pos:int,tag:string,attrs:map<string,string>,scope:int,typed:int,vocab:string,text:string>"
 )
@@ -14,7 +16,7 @@ DOCUMENT = f"struct<error:string,scripts:array<{SCRIPT}>,nodes:array<{NODE}>,hre
 
 ITEM = (
     "struct<schema_format:string,schema_type:string,properties:map<string,variant>,"
-    "raw:variant,context:string,is_graph_item:boolean>"
+    f"raw:variant,context:string,is_graph_item:boolean,overflow:{OVERFLOW}>"
 )
 ITEMS = f"array<{ITEM}>"
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marklens import issues_table, rules, schemas
+from marklens.functions.overflow import no_overflow
 from marklens.functions.urls import is_http_url, is_iso_date
 from marklens.plans.audit import validate_items
 
@@ -87,6 +88,7 @@ def issues(spark):
                 F.lit(None).cast("variant").alias("raw"),
                 F.lit(None).cast("string").alias("context"),
                 F.lit(False).alias("is_graph_item"),
+                no_overflow().alias("overflow"),
             ),
         ).cast(schemas.ITEMS)
         results = validate_items(source.withColumn("items", items), guidelines)
