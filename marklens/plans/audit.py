@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import built_once, entries_of
+from ..functions.urls import cut_fragment
 from ..operators.elements import read_document
 from ..operators.extract import all_items
 from ..operators.validate import conflict_issues, page_issues
@@ -44,13 +45,14 @@ def validate_items(pages: DataFrame, google_guidelines: bool = True) -> DataFram
     )
 
 
-def extract_pages(pages: DataFrame, mode: str = "crawl", with_raw: bool = False) -> DataFrame:
-    """Classified pages with their `items`."""
-    read = classify_pages(pages, mode).withColumn("document", read_document(F.col("html")))
-    found = read.withColumn("items", _items(with_raw)).withColumn(
-        "fetch_error", F.coalesce("fetch_error", "document.error")
-    )
-    return found.drop("html", "document")
+def extract_pages(pages: DataFrame, mode: str = "crawl", with_raw: bool = False, links: bool = False) -> DataFrame:
+    """Classified pages with their `items`; with `links`, `fetched` and `hrefs` from the same reading as well."""
+    kept = ["fetched"] if links else []
+    known = classify_pages(pages.withColumn("fetched", cut_fragment(F.col("url"))) if links else pages, mode, *kept)
+    found = known.withColumn("document", read_document(F.col("html"), links=links)).withColumn("items", _items(with_raw))
+    if links:
+        found = found.withColumn("hrefs", F.col("document.hrefs"))
+    return found.withColumn("fetch_error", F.coalesce("fetch_error", "document.error")).drop("html", "document")
 
 
 def audit_pages(

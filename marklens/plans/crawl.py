@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from urllib.parse import urlsplit
 
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import netloc, normalise_url
 from ..operators.limits import first_rows
-from ..operators.links import links_table, page_hrefs, unfold_links
+from ..operators.links import page_hrefs, unfold_links
 from ..operators.robots import robots_rules, with_allowed
 from ..rules import MAX_DEPTH, MAX_PAGES, USER_AGENT
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineage_dealt
 from ..sources.sitemaps import sitemap_urls
-from .audit import PAGE_RESULT_COLUMNS, audit_pages
+from .audit import PAGE_RESULT_COLUMNS, audit_pages, extract_pages, validate_items
 
 # A crawl of at most this many pages looks up the pages of each level; a larger one reads all links of its host once.
 # Both visit the same URLs; the bound only weighs scans of a few pages against one scan of all.
@@ -50,28 +51,28 @@ def _pick(pages: DataFrame, ids: DataFrame) -> DataFrame:
     return pages.join(_sent(ids.select("page_id")), "page_id", "left_semi")
 
 
-def crawl_frontier(
+def _visit(
     pages: DataFrame,
     start_url: str,
-    max_pages: int = MAX_PAGES,
-    max_depth: int = MAX_DEPTH,
-    same_domain: bool = True,
-    robots: DataFrame | None = None,
-    user_agent: str = USER_AGENT,
-) -> DataFrame:
-    """URLs a breadth-first crawl visits: `url`, `depth`, and `place`, its rank as an array to sort by.
-
-    One round per level. A URL's place is its parent's place followed by its link position, so the order in which
-    the page cap cuts is (depth, parent order, link position) and needs no global numbering. Failed, missing and
-    non-HTML URLs count as visited; URLs that robots rules block do not.
-
-    With a small cap each level looks its few URLs up in the snapshot and reads only those pages. Otherwise every
-    page is read once into a slim link table, and the levels never touch HTML again.
+    max_pages: int,
+    max_depth: int,
+    same_domain: bool,
+    robots: DataFrame | None,
+    user_agent: str,
+    read: Callable[[DataFrame], DataFrame],
+    keeps: bool,
+) -> tuple[list[DataFrame], DataFrame | None]:
+    """The levels of a breadth-first crawl, and, if `keeps`, what `read` gave of the pages visited, with their `depth`.
+
+    `read` maps pages to `page_id`, `url`, `fetched`, `hrefs` and what else is to be kept; no page is read twice.
+
+    A crawl of few pages looks the URLs of each level up in the snapshot and reads only those pages. Otherwise the pages
+    of the host are read once, and the levels never touch HTML: visited URLs and links are dealt out by URL once, and a
+    level is sent to them, so what a level moves follows its own size and not that of the levels before.
     """
     spark = pages.sparkSession
     start = start_url.split("#")[0].rstrip("/")
     host = urlsplit(start_url).netloc
-    normal = normalise_url(F.col("url"))
     snapshot = pages.filter(netloc(F.col("url")) == host) if same_domain else pages
     wanted_host = host if same_domain else None
     rules = None
@@ -79,24 +80,24 @@ def crawl_frontier(
         # Rules of the start host alone bind the whole crawl: one row at most, since rules are one per host.
         rules = robots_rules(robots.filter(F.col("host") == host), user_agent)
 
-    looked_up = max_pages <= LOOKED_UP_PAGES
-    index = edges = None
-    if max_depth > 0:
-        index = _url_index(snapshot, normal)
-        if not looked_up:
-            edges = cut_lineage(
-                links_table(snapshot, same_domain, wanted_host)
-                .join(index.select("page_id"), "page_id", "left_semi")
-                .select(F.col("src").alias("url"), "link_pos", "dst")
-            )
-
-    def links_from(level: DataFrame) -> DataFrame:
+    few = max_pages <= LOOKED_UP_PAGES
+    index = _url_index(snapshot, normalise_url(F.col("url"))) if keeps or max_depth > 0 else None
+    by_level = few or (keeps and index.count() <= LOOKED_UP_PAGES)
+    kept: list[DataFrame] = []
+    whole = edges = None
+    if not by_level and index is not None:
+        whole = read(snapshot).join(index.select("page_id"), "page_id", "left_semi")
+        if keeps:
+            whole = cut_lineage(whole)
+        links = unfold_links(whole, same_domain, wanted_host, "url")
+        edges = cut_lineage_dealt(links.select("url", "link_pos", "dst").repartition("url"))
+    cut = cut_lineage if few else cut_lineage_dealt
+
+    def links_from(level: DataFrame, reached: DataFrame | None) -> DataFrame:
         if edges is not None:
             found = level.select("url", "place").join(edges, "url")
         else:
-            chosen = cut_lineage(index.join(_sent(level.select("url", "place"), "url"), "url"))
-            hrefs = page_hrefs(_pick(snapshot, chosen)).join(_sent(chosen.select("url", "place"), "url"), "url")
-            found = unfold_links(hrefs, same_domain, wanted_host, "place")
+            found = unfold_links(reached, same_domain, wanted_host, "place")
         return (
             found.select(normalise_url(F.col("dst")).alias("url"), F.array_append("place", F.col("link_pos")).alias("place"))
             .groupBy("url")
@@ -111,13 +112,13 @@ def crawl_frontier(
             break
         fresh = frontier
         if levels:
-            visited = reduce(DataFrame.unionByName, levels)
-            fresh = fresh.join(visited.select("url"), "url", "left_anti")
+            visited = reduce(DataFrame.unionByName, [level.select("url") for level in levels])
+            fresh = fresh.join(visited, "url", "left_anti")
         if rules is not None:
             # Without a document the rules are NULL.
             bound = fresh.withColumn("host", F.lit(host)).join(F.broadcast(rules), "host", "left")
             fresh = with_allowed(bound).filter("allowed").drop("host", "rules", "allowed")
-        level = cut_lineage(fresh.select("url", F.lit(depth).alias("depth"), "place"))
+        level = cut((fresh if levels else fresh.repartition("url")).select("url", F.lit(depth).alias("depth"), "place"))
         if level.count() > room:
             level = cut_lineage(first_rows(level, room, "place"))
         count = level.count()
@@ -125,10 +126,44 @@ def crawl_frontier(
             break
         levels.append(level)
         room -= count
-        if depth < max_depth and room > 0:
-            frontier = links_from(level)
+        goes_on = depth < max_depth and room > 0
+        reached = None
+        if by_level and (keeps or goes_on):
+            chosen = cut_lineage(index.join(_sent(level, "url"), "url"))
+            reached = read(_pick(snapshot, chosen)).join(_sent(chosen.drop("url")), "page_id")
+            if keeps:
+                reached = cut_lineage(reached)
+                kept.append(reached)
+        if goes_on:
+            frontier = links_from(level, reached)
     if not levels:
-        return frontier.limit(0).select("url", F.lit(0).alias("depth"), "place")
+        levels = [frontier.limit(0).select("url", F.lit(0).alias("depth"), "place")]
+    if not keeps:
+        return levels, None
+    if not by_level:
+        visited = cut_lineage(reduce(DataFrame.unionByName, levels).select("url", "depth"))
+        return levels, whole.join(_sent(visited, "url"), "url")
+    return levels, reduce(DataFrame.unionByName, kept) if kept else read(snapshot).limit(0).withColumn("depth", F.lit(0))
+
+
+def crawl_frontier(
+    pages: DataFrame,
+    start_url: str,
+    max_pages: int = MAX_PAGES,
+    max_depth: int = MAX_DEPTH,
+    same_domain: bool = True,
+    robots: DataFrame | None = None,
+    user_agent: str = USER_AGENT,
+) -> DataFrame:
+    """URLs a breadth-first crawl visits: `url`, `depth`, and `place`, its rank as an array to sort by.
+
+    One round per level. A URL's place is its parent's place followed by its link position, so the order in which
+    the page cap cuts is (depth, parent order, link position) and needs no global numbering. Failed, missing and
+    non-HTML URLs count as visited; URLs that robots rules block do not.
+    """
+    levels, _ = _visit(
+        pages, start_url, max_pages, max_depth, same_domain, robots, user_agent, page_hrefs, keeps=False
+    )
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -143,14 +178,16 @@ def crawl_pages(
     google_guidelines: bool = True,
     with_raw: bool = False,
 ) -> DataFrame:
-    """Page results of the pages a crawl reaches, with the `depth` each was reached at."""
-    visited = cut_lineage(crawl_frontier(pages, start_url, max_pages, max_depth, same_domain, robots, user_agent))
-    if same_domain:
-        pages = pages.filter(netloc(F.col("url")) == urlsplit(start_url).netloc)
-    chosen = _url_index(pages, normalise_url(F.col("url"))).join(_sent(visited.select("url", "depth"), "url"), "url")
-    return _audited(pages, chosen.select("page_id", "depth"), "crawl", google_guidelines, with_raw).select(
-        *PAGE_RESULT_COLUMNS, "depth"
-    )
+    """Page results of the pages a crawl reaches, with the `depth` each was reached at.
+
+    Links and items of a page come from one reading of it.
+    """
+
+    def read(chosen: DataFrame) -> DataFrame:
+        return extract_pages(chosen, "crawl", with_raw, links=True)
+
+    _, reached = _visit(pages, start_url, max_pages, max_depth, same_domain, robots, user_agent, read, keeps=True)
+    return validate_items(reached, google_guidelines).select(*PAGE_RESULT_COLUMNS, "depth")
 
 
 def _audited(pages: DataFrame, chosen: DataFrame, mode: str, google_guidelines: bool, with_raw: bool) -> DataFrame:

@@ -55,3 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def cut_lineage_dealt(df: DataFrame) -> DataFrame:
+    """`cut_lineage` of a table that stays dealt out by the keys of its last shuffle: joins on them do not move it again.
+
+    Adaptive planning forgets how rows are dealt, so it is off while the table is written.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(name, before)

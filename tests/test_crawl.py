@@ -9,6 +9,8 @@ from marklens import crawl_frontier, crawl_pages, crawl_sitemap, fetched_pages,
 from marklens.operators import limits
 from marklens.operators.limits import first_rows
 from marklens.plans import crawl
+from marklens.plans.audit import extract_pages
+from marklens.session import cut_lineage_dealt
 
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
@@ -72,6 +74,48 @@ def test_large_crawls_give_the_same_result(spark, monkeypatch, max_pages):
     assert visited(results) == {n: d for n, d in want.items() if n in links and n not in status}
 
 
+def test_links_and_items_come_from_one_reading(spark, monkeypatch):
+    """As many pages are read as are visited and in the snapshot, in either way of crawling."""
+    links, status = random_graph(11)
+    pages = snapshot(spark, links, status)
+    want = brute_force(links, "p0", 1_000, 30, status)
+    there = [n for n in want if n in links]
+    for limit, most in ((20_000, len(there)), (0, len(links))):
+        monkeypatch.setattr(crawl, "LOOKED_UP_PAGES", limit)
+        read = []
+        monkeypatch.setattr(crawl, "extract_pages", lambda chosen, *a, _read=read, **o: _read.append(chosen.count()) or extract_pages(chosen, *a, **o))
+        results = crawl_pages(pages, "http://h/p0", 1_000, 30)
+        assert visited(results) == {n: d for n, d in want.items() if n in links and n not in status}
+        assert sum(read) == most
+        assert "ArrowEvalPython" not in results._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_level_moves_only_itself(spark, monkeypatch):
+    """A chain of 30 pages: the shuffles of a level's plan do not grow with the levels before it."""
+    links = {f"p{i}": [f"p{i + 1}", "p0"] for i in range(30)}
+    monkeypatch.setattr(crawl, "LOOKED_UP_PAGES", 0)
+    monkeypatch.setattr(crawl, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shuffles = []
+
+    def counted(df):
+        found = cut_lineage_dealt(df)
+        conf = df.sparkSession.conf
+        conf.set("spark.sql.adaptive.enabled", "false")
+        shuffles.append(df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hash"))
+        conf.set("spark.sql.adaptive.enabled", "true")
+        return found
+
+    monkeypatch.setattr(crawl, "cut_lineage_dealt", counted)
+    try:
+        got = crawl_frontier(snapshot(spark, links), "http://h/p0", 10**9, 40)
+        assert visited(got) == {f"p{i}": i for i in range(31)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Edges, the start, then one level each: its links are brought together by URL, and nothing else is moved.
+    assert len(shuffles) == 33 and set(shuffles[2:]) == {1}
+
+
 def test_crawl_across_domains(spark):
     rows = [(1, "http://h/a", '<a href="http://o/b">'), (2, "http://o/b", '<a href="c">'), (3, "http://o/c", "")]
     pages = fetched_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
