@@ -45,14 +45,26 @@ def validate_items(pages: DataFrame, google_guidelines: bool = True) -> DataFram
     )
 
 
-def extract_pages(pages: DataFrame, mode: str = "crawl", with_raw: bool = False, links: bool = False) -> DataFrame:
-    """Classified pages with their `items`; with `links`, `fetched` and `hrefs` from the same reading as well."""
-    kept = ["fetched"] if links else []
-    known = classify_pages(pages.withColumn("fetched", cut_fragment(F.col("url"))) if links else pages, mode, *kept)
-    found = known.withColumn("document", read_document(F.col("html"), links=links)).withColumn("items", _items(with_raw))
-    if links:
-        found = found.withColumn("hrefs", F.col("document.hrefs"))
-    return found.withColumn("fetch_error", F.coalesce("fetch_error", "document.error")).drop("html", "document")
+def read_pages(pages: DataFrame, mode: str = "crawl", links: bool = False) -> DataFrame:
+    """Classified pages with their `document`; with `links`, their `fetched` URL and `hrefs` from the same reading too."""
+    if not links:
+        return classify_pages(pages, mode).withColumn("document", read_document(F.col("html"))).drop("html")
+    known = classify_pages(pages.withColumn("fetched", cut_fragment(F.col("url"))), mode, "fetched")
+    read = known.withColumn("document", read_document(F.col("html"), links=True)).drop("html")
+    return read.withColumn("hrefs", F.col("document.hrefs"))
+
+
+def with_items(read: DataFrame, with_raw: bool = False) -> DataFrame:
+    """Pages read, with the `items` of their `document` in its place."""
+    found = read.withColumn("items", _items(with_raw)).withColumn(
+        "fetch_error", F.coalesce("fetch_error", "document.error")
+    )
+    return found.drop("document")
+
+
+def extract_pages(pages: DataFrame, mode: str = "crawl", with_raw: bool = False) -> DataFrame:
+    """Classified pages with their `items`."""
+    return with_items(read_pages(pages, mode), with_raw)
 
 
 def audit_pages(

@@ -9,6 +9,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import planned_once
 from ..functions.urls import netloc, normalise_url
 from ..operators.limits import first_rows
 from ..operators.links import page_hrefs, unfold_links
@@ -16,7 +17,7 @@ from ..operators.robots import robots_rules, with_allowed
 from ..rules import MAX_DEPTH, MAX_PAGES, USER_AGENT
 from ..session import cut_lineage, cut_lineage_dealt
 from ..sources.sitemaps import sitemap_urls
-from .audit import PAGE_RESULT_COLUMNS, audit_pages, extract_pages, validate_items
+from .audit import PAGE_RESULT_COLUMNS, audit_pages, read_pages, validate_items, with_items
 
 # A crawl of at most this many pages looks up the pages of each level; a larger one reads all links of its host once.
 # Both visit the same URLs; the bound only weighs scans of a few pages against one scan of all.
@@ -143,7 +144,7 @@ def _visit(
     if not by_level:
         visited = cut_lineage(reduce(DataFrame.unionByName, levels).select("url", "depth"))
         return levels, whole.join(_sent(visited, "url"), "url")
-    return levels, reduce(DataFrame.unionByName, kept) if kept else read(snapshot).limit(0).withColumn("depth", F.lit(0))
+    return levels, planned_once(reduce(DataFrame.unionByName, kept)) if kept else read(snapshot).limit(0).withColumn("depth", F.lit(0))
 
 
 def crawl_frontier(
@@ -184,10 +185,10 @@ def crawl_pages(
     """
 
     def read(chosen: DataFrame) -> DataFrame:
-        return extract_pages(chosen, "crawl", with_raw, links=True)
+        return read_pages(chosen, "crawl", links=True)
 
     _, reached = _visit(pages, start_url, max_pages, max_depth, same_domain, robots, user_agent, read, keeps=True)
-    return validate_items(reached, google_guidelines).select(*PAGE_RESULT_COLUMNS, "depth")
+    return validate_items(with_items(reached, with_raw), google_guidelines).select(*PAGE_RESULT_COLUMNS, "depth")
 
 
 def _audited(pages: DataFrame, chosen: DataFrame, mode: str, google_guidelines: bool, with_raw: bool) -> DataFrame:

@@ -9,7 +9,7 @@ from marklens import crawl_frontier, crawl_pages, crawl_sitemap, fetched_pages,
 from marklens.operators import limits
 from marklens.operators.limits import first_rows
 from marklens.plans import crawl
-from marklens.plans.audit import extract_pages
+from marklens.plans.audit import read_pages
 from marklens.session import cut_lineage_dealt
 
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
@@ -83,7 +83,7 @@ def test_links_and_items_come_from_one_reading(spark, monkeypatch):
     for limit, most in ((20_000, len(there)), (0, len(links))):
         monkeypatch.setattr(crawl, "LOOKED_UP_PAGES", limit)
         read = []
-        monkeypatch.setattr(crawl, "extract_pages", lambda chosen, *a, _read=read, **o: _read.append(chosen.count()) or extract_pages(chosen, *a, **o))
+        monkeypatch.setattr(crawl, "read_pages", lambda chosen, *a, _read=read, **o: _read.append(chosen.count()) or read_pages(chosen, *a, **o))
         results = crawl_pages(pages, "http://h/p0", 1_000, 30)
         assert visited(results) == {n: d for n, d in want.items() if n in links and n not in status}
         assert sum(read) == most
