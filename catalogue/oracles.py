@@ -554,10 +554,13 @@ SELECT CAST(count(*) AS BIGINT) AS total_pages, CAST(0 AS BIGINT) AS pages_with_
        CAST(0 AS BIGINT) AS total_schemas, CAST(0 AS BIGINT) AS total_errors, CAST(0 AS BIGINT) AS total_warnings,
        CAST(0 AS BIGINT) AS total_info, CAST(100.0 AS DOUBLE) AS pass_rate
 FROM pages"""
+# The least (page, item) of a group; no page has a million items.
+_FIRST = "min(page_id * 1000000 + item_ord)"
+_FIRST_SEEN = f"CAST({_FIRST} // 1000000 AS BIGINT) AS first_page, CAST({_FIRST} % 1000000 AS INTEGER) AS first_item"
 ORACLES["type_counts"] = f"""WITH items AS ({items_sql(MARKUP)})
-SELECT schema_type, CAST(count(*) AS BIGINT) AS n_items FROM items GROUP BY schema_type"""
+SELECT schema_type, CAST(count(*) AS BIGINT) AS n_items, {_FIRST_SEEN} FROM items GROUP BY schema_type"""
 ORACLES["format_counts"] = f"""WITH items AS ({items_sql(MARKUP)})
-SELECT schema_format, CAST(count(*) AS BIGINT) AS n_items FROM items GROUP BY schema_format"""
+SELECT schema_format, CAST(count(*) AS BIGINT) AS n_items, {_FIRST_SEEN} FROM items GROUP BY schema_format"""
 
 _FETCHED = """SELECT page_id, pages_all.url, fetch_error, CAST(coalesce(n, 0) AS INTEGER) AS n_items
 FROM pages_all LEFT JOIN (SELECT page_id, count(*) AS n FROM items GROUP BY page_id) USING (page_id)"""
@@ -607,16 +610,17 @@ _FIXED_LINES = [
     "'  Total info:           ' || total_info",
 ]
 _TEXT_PARTS = [
-    f"SELECT CAST(0 AS INTEGER) AS section, CAST({at} AS BIGINT) AS ord, '' AS name, {line} AS line FROM totals"
+    f"SELECT CAST(0 AS INTEGER) AS section, CAST({at} AS BIGINT) AS ord, CAST(0 AS BIGINT) AS first_page, "
+    f"CAST(0 AS INTEGER) AS first_item, '' AS name, {line} AS line FROM totals"
     for at, line in enumerate(_FIXED_LINES)
 ]
 for _section, (_title, _column) in enumerate(
     [("  Schema Types:", "schema_type"), ("  Formats:", "schema_format")], start=1
 ):
     _TEXT_PARTS += [
-        f"SELECT {_section}, CAST({-(2**62)} AS BIGINT), '', '' FROM totals",
-        f"SELECT {_section}, CAST({-(2**62) + 1} AS BIGINT), '', '{_title}' FROM totals",
-        f"SELECT {_section}, -count(*), {_column}, '    ' || {_column} || ': ' || count(*) FROM items GROUP BY {_column}",
+        f"SELECT {_section}, CAST({-(2**62)} AS BIGINT), 0, 0, '', '' FROM totals",
+        f"SELECT {_section}, CAST({-(2**62) + 1} AS BIGINT), 0, 0, '', '{_title}' FROM totals",
+        f"SELECT {_section}, -count(*), {_FIRST_SEEN}, {_column}, '    ' || {_column} || ': ' || count(*) FROM items GROUP BY {_column}",
     ]
 ORACLES["report_text"] = _with(
     MARKUP, f", {_PAGE_COUNTS}, totals AS ({_SUMMARY}) " + "\nUNION ALL\n".join(_TEXT_PARTS)

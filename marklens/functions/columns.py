@@ -91,6 +91,22 @@ def split_runs(ordered: Column, starts_run: Callable[[Column, Column], Column])
     return let(ordered, cut)
 
 
+def places_below(ordered: Column, size: Column | int, value: Column, most: int = 1 << 30) -> Column:
+    """How many entries of an ascending array of `size` are less than the value, by bisection.
+
+    Takes as many steps as `most`, a bound of the size, has bits.
+    """
+    if isinstance(size, int):
+        most, size = max(size, 1), F.lit(size)
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(most.bit_length()))])
+
+    def step(place: Column, width: Column) -> Column:
+        ahead = place + width
+        return F.when((ahead <= size) & (F.get(ordered, ahead - 1) < value), ahead).otherwise(place)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def entries_of(array: Column | str) -> Column:
     """The array as the input of explode or inline.
 

@@ -48,35 +48,59 @@ def _pass_rate() -> Column:
     return F.coalesce(F.bround(F.lit(100.0) * F.try_divide(passing, F.col("total_pages")), 1), F.lit(0.0))
 
 
+def counters(results: DataFrame) -> list[Column]:
+    """The counters as aggregates of page results."""
+    return [F.coalesce(F.sum(column), F.lit(0).cast("bigint")).alias(name) for name, column in _page_measures().items()]
+
+
+def with_pass_rate(counted: DataFrame) -> DataFrame:
+    return counted.withColumn("pass_rate", _pass_rate())
+
+
 def summary(results: DataFrame) -> DataFrame:
     """One row of counters and the pass rate; all zero for no pages. A failed fetch has no errors, so it passes."""
-    measured = results.select(*[column.alias(name) for name, column in _page_measures().items()])
-    return measured.agg(
-        *[F.coalesce(F.sum(name), F.lit(0).cast("bigint")).alias(name) for name in COUNTERS]
-    ).withColumn("pass_rate", _pass_rate())
+    return with_pass_rate(results.agg(*counters(results)))
+
+
+# Where something was seen: page and item as one number, whose minimum is combined on the map side like any other.
+_ITEMS_A_PAGE = 1 << 31
+
+
+def _place(item_ord: Column) -> Column:
+    return F.col("page_id").cast("decimal(20,0)") * F.lit(_ITEMS_A_PAGE).cast("decimal(10,0)") + item_ord
+
+
+def _seen_at(place: str) -> list[Column]:
+    """`first_page` and `first_item` of a place."""
+    page = F.floor(F.col(place) / F.lit(_ITEMS_A_PAGE).cast("decimal(10,0)")).cast("bigint")
+    item = (F.col(place) - page.cast("decimal(20,0)") * F.lit(_ITEMS_A_PAGE).cast("decimal(10,0)")).cast("int")
+    return [page.alias("first_page"), item.alias("first_item")]
 
 
 def _counts(results: DataFrame, field: str) -> DataFrame:
     return (
-        results.select(F.explode(entries_of(f"items.{field}")).alias(field))
+        results.select("page_id", F.posexplode(entries_of(f"items.{field}")).alias("item_ord", field))
+        .select(field, _place(F.col("item_ord")).alias("place"))
         .groupBy(field)
-        .agg(F.count(F.lit(1)).alias("n_items"))
-        .orderBy(F.desc("n_items"), field)
+        .agg(F.count(F.lit(1)).alias("n_items"), F.min("place").alias("place"))
+        .select(field, "n_items", *_seen_at("place"))
+        .orderBy(F.desc("n_items"), "first_page", "first_item")
     )
 
 
 def type_counts(results: DataFrame) -> DataFrame:
-    """Items per full type text, most frequent first, ties by name."""
+    """Items per full type text, most frequent first, ties in the order they were first seen, by page and item."""
     return _counts(results, "schema_type")
 
 
 def format_counts(results: DataFrame) -> DataFrame:
-    """Items per format, most frequent first, ties by name."""
+    """Items per format, most frequent first, ties in the order they were first seen, by page and item."""
     return _counts(results, "schema_format")
 
 
 def tallies(results: DataFrame) -> DataFrame:
-    """Page counters, type counts and format counts in one pass: `kind`, `name` and the summed counters.
+    """Page counters, type counts and format counts in one pass: `kind`, `name`, the summed counters, and where a type
+    or format was first seen, `first_page` and `first_item`.
 
     Reports that show all three would otherwise extract every page three times. The sums are combined on the map
     side, so a type that most items share is no hot key.
@@ -84,18 +108,19 @@ def tallies(results: DataFrame) -> DataFrame:
     measures = _page_measures()
     nothing = F.lit(0).cast("bigint")
 
-    def row(kind: str, name: Column, values: dict[str, Column]) -> Column:
+    def row(kind: str, name: Column, values: dict[str, Column], place: Column | None = None) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
             name.alias("name"),
+            (F.lit(0) if place is None else place).cast("decimal(32,0)").alias("place"),
             *[values.get(counter, nothing).alias(counter) for counter in COUNTERS],
         )
 
     one = {"total_schemas": F.lit(1).cast("bigint")}
     rows = F.concat(
         F.array(row("pages", F.lit(""), measures)),
-        F.transform("items", lambda item: row("type", item["schema_type"], one)),
-        F.transform("items", lambda item: row("format", item["schema_format"], one)),
+        F.transform("items", lambda item, at: row("type", item["schema_type"], one, _place(at))),
+        F.transform("items", lambda item, at: row("format", item["schema_format"], one, _place(at))),
     )
     # Without any page there is still a row of zeros to report.
     none = results.sparkSession.range(1).select(F.inline(F.array(row("pages", F.lit(""), {}))))
@@ -103,7 +128,8 @@ def tallies(results: DataFrame) -> DataFrame:
         results.select(F.inline(rows))
         .unionByName(none)
         .groupBy("kind", "name")
-        .agg(*[F.sum(name).alias(name) for name in COUNTERS])
+        .agg(*[F.sum(name).alias(name) for name in COUNTERS], F.min("place").alias("place"))
+        .select("kind", "name", *COUNTERS, *_seen_at("place"))
     )
 
 
@@ -177,16 +203,19 @@ COUNT_TITLES = {"type": "  Schema Types:", "format": "  Formats:"}
 
 
 def summary_lines(results: DataFrame) -> DataFrame:
-    """Text summary as rows `section`, `ord`, `name`, `line`, to be read in that order.
+    """Text summary as rows `section`, `ord`, `first_page`, `first_item`, `name`, `line`, in that order.
 
     Section 0 holds the counters, 1 the types, 2 the formats, the last two only where there are items. Within a
-    section of counts, `ord` is the negated count; equal counts follow their names.
+    section of counts, `ord` is the negated count; equal counts follow where they were first seen.
     """
 
     def line(section: int | Column, order: int | Column, name: Column, text: Column) -> Column:
+        counted = isinstance(order, Column)
         return F.struct(
             (section if isinstance(section, Column) else F.lit(section)).alias("section"),
-            (order if isinstance(order, Column) else F.lit(order).cast("bigint")).alias("ord"),
+            (order if counted else F.lit(order).cast("bigint")).alias("ord"),
+            (F.col("first_page") if counted else F.lit(0).cast("bigint")).alias("first_page"),
+            (F.col("first_item") if counted else F.lit(0)).alias("first_item"),
             name.alias("name"),
             text.alias("line"),
         )
@@ -217,7 +246,7 @@ def summary_lines(results: DataFrame) -> DataFrame:
         .otherwise(F.array(*fixed))
     )
     counted = tallies(results).withColumn("pass_rate", _pass_rate())
-    return counted.select(F.inline(lines)).orderBy("section", "ord", "name")
+    return counted.select(F.inline(lines)).orderBy("section", "ord", "first_page", "first_item")
 
 
 def page_json(results: DataFrame, pretty: bool = False) -> DataFrame:
@@ -260,7 +289,9 @@ def page_json(results: DataFrame, pretty: bool = False) -> DataFrame:
 
 
 def document_lines(results: DataFrame, pretty: bool = True) -> DataFrame:
-    """The whole JSON report as lines `section`, `ord`, `name`, `line`: read in order, they are one JSON document.
+    """The whole JSON report as lines `section`, `ord`, `at`, `line`: read in order, they are one JSON document.
+
+    Types and formats come in the order they were first seen.
 
     No line holds more than one page, type or format, so the document may be of any size: it is never gathered in
     one row or task.
@@ -271,8 +302,7 @@ def document_lines(results: DataFrame, pretty: bool = True) -> DataFrame:
 
     def line(section: int, text: Column) -> Column:
         return F.struct(
-            F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("name"),
-            text.alias("line"),
+            F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("at"), text.alias("line"),
         )
 
     counters = [F.concat(F.lit(f'"{name}": '), F.col(name).cast("string"), F.lit(", ")) for name in COUNTERS]
@@ -292,23 +322,23 @@ def document_lines(results: DataFrame, pretty: bool = True) -> DataFrame:
 
     named = counted.filter(F.col("kind").isin(list(COUNT_TITLES)))
     # The first entry of each list goes without a comma. Both lookups are one row per list.
-    firsts = named.groupBy("kind").agg(F.min("name").alias("first_name"))
+    firsts = named.groupBy("kind").agg(F.min(F.struct("first_page", "first_item")).alias("first"))
     counts = named.join(F.broadcast(firsts), "kind").select(
         F.when(F.col("kind") == "type", 1).otherwise(3).alias("section"),
-        F.lit(0).cast("bigint").alias("ord"),
-        "name",
+        F.col("first_page").alias("ord"),
+        F.col("first_item").alias("at"),
         F.concat(
-            comma(F.col("name") == F.col("first_name")),
+            comma((F.col("first_page") == F.col("first.first_page")) & (F.col("first_item") == F.col("first.first_item"))),
             F.to_json(F.create_map(F.col("name"), F.col("total_schemas"))).substr(F.lit(2), F.lit(2**31 - 1)),
         ).alias("entry"),
-    ).select("section", "ord", "name", F.regexp_replace("entry", r"\}$", "").alias("line"))
+    ).select("section", "ord", "at", F.regexp_replace("entry", r"\}$", "").alias("line"))
 
     # Reads the page ids alone.
     first_page = results.agg(F.min("page_id").alias("first_page")).first()["first_page"]
     pages = page_json(results, pretty).select(
         F.lit(5).alias("section"),
         F.col("page_id").cast("bigint").alias("ord"),
-        F.lit("").alias("name"),
+        F.lit(0).alias("at"),
         F.concat(comma(F.col("page_id") == F.lit(first_page)), "json").alias("line"),
     )
-    return frame.unionByName(counts).unionByName(pages).orderBy("section", "ord", "name")
+    return frame.unionByName(counts).unionByName(pages).orderBy("section", "ord", "at")

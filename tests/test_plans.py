@@ -57,6 +57,10 @@ def test_no_shuffle_and_one_python_stage(pages, name):
     assert count("(BatchEvalPython|MapInPandas|FlatMapGroupsInPandas)", frame) == 0
 
 
+def test_bounds_of_an_ordered_report_read_ids_alone(pages):
+    assert count("ArrowEvalPython", audit_pages(pages).agg(F.percentile_approx("page_id", [0.5], 100))) == 0
+
+
 @pytest.mark.parametrize("report", [summary, type_counts, summary_lines])
 def test_reports_extract_once_and_combine_before_the_shuffle(pages, report):
     frame = report(audit_pages(pages))

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from marklens import (
-    audit_pages, filter_pages, format_counts, issue_listing, page_counts, quality_gate, report_rows, schemas, summary,
-    summary_lines, type_counts, write_csv, write_json_document, write_json_lines, write_text,
+    audit_pages, filter_pages, format_counts, issue_listing, page_counts, quality_gate, report_rows, schemas,
+    summary, summary_lines, type_counts, write_csv, write_json_document, write_json_lines, write_text,
 )
+from marklens.functions.columns import places_below
 
 GOOD = '{"@type": "Organization", "name": "Acme, \\"Inc\\"\\u00e9"}'
 PRODUCT = '{"@type": "Product", "name": "W", "image": "https://e.com/i"}'
@@ -108,10 +109,11 @@ def test_summary(results):
         "total_errors": 1, "total_warnings": 2, "total_info": 1, "pass_rate": 83.3,
     }
     assert set(summary(results.limit(0)).first().asDict().values()) == {0}
+    # Equal counts follow where they were first seen.
     assert [tuple(r) for r in type_counts(results).collect()] == [
-        ("MalformedJSON-LD", 1), ("Odd, Type", 1), ("Organization", 1), ("Product", 1)
+        ("Organization", 1, 1, 0), ("MalformedJSON-LD", 1, 2, 0), ("Product", 1, 2, 1), ("Odd, Type", 1, 10, 0)
     ]
-    assert [tuple(r) for r in format_counts(results).collect()] == [("json-ld", 4)]
+    assert [tuple(r) for r in format_counts(results).collect()] == [("json-ld", 4, 1, 0)]
 
 
 def test_pass_rate_rounds_ties_to_even(results):
@@ -146,7 +148,7 @@ def test_text(results, tmp_path):
         "═══ Structured Data Validation Report ═══", "", "  Pages crawled:        6", "  Pages with schema:    3",
         "  Pages without schema: 3", "  Pages with errors:    1", "  Pass rate:            83.3%", "", "  Total schemas found:  4",
         "  Total errors:         1", "  Total warnings:       2", "  Total info:           1", "", "  Schema Types:",
-        "    MalformedJSON-LD: 1", "    Odd, Type: 1", "    Organization: 1", "    Product: 1", "", "  Formats:", "    json-ld: 4",
+        "    Organization: 1", "    MalformedJSON-LD: 1", "    Product: 1", "    Odd, Type: 1", "", "  Formats:", "    json-ld: 4",
     ]
     empty = [r["line"] for r in summary_lines(results.limit(0)).collect()]
     assert len(empty) == 12 and "  Pass rate:            0.0%" in empty
@@ -165,12 +167,45 @@ def test_csv(results, tmp_path):
     assert ["http://h/timeout", "error", "fetch_error", "Timeout", "", "", "", ""] in rows
 
 
+def test_ordered_csv_is_dealt_by_page_ids(spark, tmp_path):
+    """Ids far apart, negative and unevenly spread; the part files in name order hold the pages in order."""
+    ids_ = [*range(-50, 0), *range(10, 400, 3), 10**12, 10**15, -(10**14)]
+    rows = [(i, f"http://h/{i}", 200, "text/html", f'<script type="application/ld+json">{PRODUCT}</script>', None) for i in reversed(ids_)]
+    found = audit_pages(spark.createDataFrame(rows, schemas.FETCHED_PAGES).repartition(5))
+    write_csv(found, str(tmp_path / "csv"), ordered=True)
+    urls, files = [], sorted(glob.glob(str(tmp_path / "csv" / "part-*")))
+    for file in files:
+        with open(file, encoding="utf8", newline="") as handle:
+            urls += [row[0] for row in list(csv.reader(handle))[1:]]
+    assert list(dict.fromkeys(urls)) == [f"http://h/{i}" for i in sorted(ids_)]
+    assert len(urls) == report_rows(found).count() and len(files) > 4
+    write_csv(found.limit(0), str(tmp_path / "none"), ordered=True)
+
+
+def test_counters_are_observed_while_lines_are_written(spark, pages, results, tmp_path, monkeypatch):
+    """The pages are read by one query, and nothing is kept in between."""
+    checkpoints = []
+    monkeypatch.setattr(type(results), "checkpoint", lambda df, **_: checkpoints.append(df) or df)
+    write_json_lines(audit_pages(pages, with_raw=True), str(tmp_path / "lines"))
+    assert not checkpoints
+    assert spark.read.json(str(tmp_path / "lines" / "summary")).first().asDict() == summary(results).first().asDict()
+    assert spark.read.text(str(tmp_path / "lines" / "pages")).count() == results.count()
+
+
+def test_places_below_counts_smaller_entries(spark):
+    values = [-7, 0, 0, 3, 8, 8, 9]
+    rows = spark.range(-10, 12).select("id", places_below(F.array(*map(F.lit, values)), len(values), F.col("id")).alias("n"))
+    assert [r["n"] for r in rows.orderBy("id").collect()] == [sum(v < i for v in values) for i in range(-10, 12)]
+
+
 @pytest.mark.parametrize("pretty", [True, False])
 def test_json_document(results, tmp_path, pretty):
     write_json_document(results, str(tmp_path / "json"), pretty)
     document = json.loads("".join(open(f, encoding="utf8").read() for f in sorted(glob.glob(str(tmp_path / "json" / "part-*")))))
     assert list(document) == ["summary", "pages"]
-    assert document["summary"]["schema_type_counts"] == {"MalformedJSON-LD": 1, "Odd, Type": 1, "Organization": 1, "Product": 1}
+    assert [*document["summary"]["schema_type_counts"].items()] == [
+        ("Organization", 1), ("MalformedJSON-LD", 1), ("Product", 1), ("Odd, Type", 1)
+    ]
     assert document["summary"]["pass_rate"] == 83.3
     assert [p["url"] for p in document["pages"]] == [r["url"] for r in results.orderBy("page_id").collect()]
     good, bad = document["pages"][:2]
