@@ -91,8 +91,10 @@ def split_runs(ordered: Column, starts_run: Callable[[Column, Column], Column])
     return let(ordered, cut)
 
 
-def places_below(ordered: Column, size: Column | int, value: Column, most: int = 1 << 30) -> Column:
-    """How many entries of an ascending array of `size` are less than the value, by bisection.
+def places_below(
+    ordered: Column, size: Column | int, value: Column, most: int = 1 << 30, inclusive: bool = False
+) -> Column:
+    """How many entries of an ascending array of `size` are less than the value, or not greater, by bisection.
 
     Takes as many steps as `most`, a bound of the size, has bits.
     """
@@ -102,7 +104,8 @@ def places_below(ordered: Column, size: Column | int, value: Column, most: int =
 
     def step(place: Column, width: Column) -> Column:
         ahead = place + width
-        return F.when((ahead <= size) & (F.get(ordered, ahead - 1) < value), ahead).otherwise(place)
+        entry = F.get(ordered, ahead - 1)
+        return F.when((ahead <= size) & (entry <= value if inclusive else entry < value), ahead).otherwise(place)
 
     return F.aggregate(steps, F.lit(0), step)
 

@@ -13,7 +13,7 @@ from ..functions.columns import planned_once
 from ..functions.urls import netloc, normalise_url
 from ..operators.limits import first_rows
 from ..operators.links import page_hrefs, unfold_links
-from ..operators.robots import robots_rules, with_allowed
+from ..operators.robots import robots_rules, rules_index, with_allowed
 from ..rules import MAX_DEPTH, MAX_PAGES, USER_AGENT
 from ..session import cut_lineage, cut_lineage_dealt
 from ..sources.sitemaps import sitemap_urls
@@ -79,7 +79,7 @@ def _visit(
     rules = None
     if robots is not None:
         # Rules of the start host alone bind the whole crawl: one row at most, since rules are one per host.
-        rules = robots_rules(robots.filter(F.col("host") == host), user_agent)
+        rules = rules_index(robots_rules(robots.filter(F.col("host") == host), user_agent))
 
     few = max_pages <= LOOKED_UP_PAGES
     index = _url_index(snapshot, normalise_url(F.col("url"))) if keeps or max_depth > 0 else None
@@ -116,9 +116,7 @@ def _visit(
             visited = reduce(DataFrame.unionByName, [level.select("url") for level in levels])
             fresh = fresh.join(visited, "url", "left_anti")
         if rules is not None:
-            # Without a document the rules are NULL.
-            bound = fresh.withColumn("host", F.lit(host)).join(F.broadcast(rules), "host", "left")
-            fresh = with_allowed(bound).filter("allowed").drop("host", "rules", "allowed")
+            fresh = with_allowed(fresh, F.lit(host), rules, sent=True).filter("allowed").drop("allowed")
         level = cut((fresh if levels else fresh.repartition("url")).select("url", F.lit(depth).alias("depth"), "place"))
         if level.count() > room:
             level = cut_lineage(first_rows(level, room, "place"))

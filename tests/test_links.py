@@ -1,5 +1,6 @@
 """URL functions, link extraction and robots rules, against the standard library."""
 
+import random
 import urllib.parse
 import urllib.robotparser
 
@@ -12,7 +13,7 @@ from marklens.functions.urls import (
     is_document_url, netloc, normalise_url, percent_decode, percent_encode, resolve_url, url_parts, url_path, url_query,
     url_scheme,
 )
-from marklens.operators.robots import agent_rules, is_allowed, robots_groups
+from marklens.operators.robots import robots_rules, rules_index, with_allowed
 
 
 def evaluate(spark, rows, schema, expression):
@@ -143,12 +144,20 @@ def expected_robots(body, agent, url):
     return parser.can_fetch(agent, url)
 
 
+def verdicts(spark, pairs, agent):
+    """Whether each URL is allowed by the robots body beside it."""
+    bodies = {body: f"h{n}" for n, body in enumerate(dict.fromkeys(body for body, _ in pairs))}
+    robots = spark.createDataFrame([(name, 200, body) for body, name in bodies.items()], "host string, status int, body string")
+    urls = spark.createDataFrame([(n, bodies[body], url) for n, (body, url) in enumerate(pairs)], "n int, host string, url string")
+    found = with_allowed(urls, F.col("host"), rules_index(robots_rules(robots, agent))).collect()
+    return [r["allowed"] for r in sorted(found, key=lambda r: r["n"])]
+
+
 def test_robots_like_the_standard_library(spark):
     agents = ["marklens/1.0", "Mozilla"]
     pairs = [(body, url) for body in ROBOTS for url in URLS]
     for agent in agents:
-        verdict = is_allowed(agent_rules(robots_groups(F.col("body")), agent), F.col("url"))
-        got = evaluate(spark, pairs, "body string, url string", verdict)
+        got = verdicts(spark, pairs, agent)
         want = [expected_robots(body, agent, url) for body, url in pairs]
         assert [x for x in zip(pairs, got, want) if x[1] != x[2]] == []
 
@@ -167,8 +176,7 @@ def test_robots_on_generated_files(spark):
 
     collect()
     pairs = [(body, url) for body in bodies for url in ("http://h/", "http://h/a", "http://h/a/b")]
-    verdict = is_allowed(agent_rules(robots_groups(F.col("body")), "marklens/1"), F.col("url"))
-    got = evaluate(spark, pairs, "body string, url string", verdict)
+    got = verdicts(spark, pairs, "marklens/1")
     want = [expected_robots(body, "marklens/1", url) for body, url in pairs]
     assert [x for x in zip(pairs, got, want) if x[1] != x[2]] == []
 
@@ -192,3 +200,20 @@ def test_one_robots_document_counts_per_host(spark):
         robots = spark.createDataFrame(order, "host string, status int, body string")
         assert {(r["url"], r["allowed"]) for r in robots_allowed(urls, robots).collect()} == {("http://h/a", False), ("http://h/b", True)}
         assert robots_allowed(urls, robots).count() == 2
+
+
+def test_robots_with_many_nested_rules(spark):
+    """Rules within rules, in random order, over several pieces of the index: the first that fits decides."""
+    rnd = random.Random(8)
+    # Without "//", which the standard library takes for a host.
+    paths = ["/" + "".join(rnd.choice(["a", "b", "a/"]) for _ in range(rnd.randint(0, 7))) for _ in range(900)]
+    body = "User-agent: *\n" + "\n".join(f"{rnd.choice(['Allow', 'Disallow'])}: {path}" for path in paths[:700])
+    urls = [f"http://h{rnd.choice(paths)}{rnd.choice(['', 'a', 'b', 'c?x=1', 'é'])}" for _ in range(600)] + ["http://other/a", "http://h"]
+    robots = spark.createDataFrame([("h", 200, body)], "host string, status int, body string")
+    frame = spark.createDataFrame([(u, i, "r", "p") for i, u in enumerate(urls)], "url string, rules int, host string, places string")
+    got = robots_allowed(frame, robots)
+    assert got.columns == [*frame.columns, "allowed"]
+    want = [expected_robots(body, "marklens", u) if "other" not in u else True for u in urls]
+    rows = sorted(got.collect(), key=lambda r: r["rules"])
+    assert [r["allowed"] for r in rows] == want and {r["host"] for r in rows} == {"r"}
+    assert len(set(want)) == 2
