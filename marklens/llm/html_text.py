@@ -3,8 +3,10 @@
 Markup is stripped into lines, one per block of the page. Every line weighs as much as the text in it that is not
 link text; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing. The
 weights are summed over a sliding window of lines. Where the sum surges above a threshold the main text begins, where it
-dives to nothing it ends, and what stands between is kept. Lines that the page itself puts into its article weigh more,
-so the surge is there also for an article of a few words.
+dives to nothing it ends, and what stands between is kept. The threshold is lower on a page without any such sum.
+
+Tags still decide two things: lines that a page puts into its article weigh more, so the surge is there also for an
+article of a few words, and if the article holds most of the text that is not furniture, other lines weigh nothing.
 
 One Arrow stage, each page in its row: no shuffle, and time linear in the size of a page.
 """
@@ -12,6 +14,7 @@ One Arrow stage, each page in its row: no shuffle, and time linear in the size o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -28,8 +31,10 @@ ARTICLE_BONUS = 100
 # --- fixed values: HTML element names (HTML standard) -------------------------------------------
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNSEEN = frozenset("head script style noscript template iframe object svg math canvas audio video map datalist".split())
-_FURNITURE = frozenset("nav aside footer form button select textarea option fieldset label dialog menu".split())
+_UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas audio video map datalist".split())
+# What may stand in a head; any other element ends it, with or without an end tag.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
+_FURNITURE = frozenset("nav aside footer button select textarea option fieldset label dialog menu".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul "
@@ -60,6 +65,7 @@ _FURNITURE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split()
 )
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_CUT_TAG = re.compile(r"</?[a-zA-Z]")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -72,6 +78,8 @@ def _is_furniture(tag: str, attributes: dict[str, str | None], in_article: bool)
         return True
     if (attributes.get("role") or "").lower() in _FURNITURE_ROLES or _NOT_SHOWN.search(attributes.get("style") or ""):
         return True
+    if tag == "form":  # what it holds decides
+        return False
     names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
     return any(part.lower() in _FURNITURE_WORDS for part in _NAME_PARTS.findall(names))
 
@@ -82,6 +90,7 @@ class Line:
     link_length: int
     furniture: bool
     in_article: bool
+    form: int = 0
 
     @property
     def weight(self) -> int:
@@ -98,8 +107,10 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        # Open elements: tag, whether it or one around it is unseen, furniture, article.
-        self.open: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+        # Open elements: tag, whether it or one around it is unseen, furniture, article, and the number of its form.
+        self.open: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+        self.count: Counter[str] = Counter()
+        self.forms = 0
         self.text: list[str] = []
         self.linked = 0
         self.in_link = 0
@@ -107,8 +118,8 @@ class _Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, _, furniture, article = self.open[-1]
-            self.lines.append(Line(text, min(self.linked, len(text)), furniture, article))
+            _, _, furniture, article, form = self.open[-1]
+            self.lines.append(Line(text, min(self.linked, len(text)), furniture, article, form))
         self.text.clear()
         self.linked = 0
 
@@ -118,9 +129,12 @@ class _Lines(HTMLParser):
             if tag in _BLOCKS or state != list(self.open[depth - 1][1:]):
                 self.end_line()
             self.in_link -= tag == "a"
+            self.count[tag] -= 1
             self.open.pop()
 
     def _find(self, tags, barriers) -> int:
+        if not any(self.count[tag] for tag in tags):
+            return 0
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth][0] in tags:
                 return depth
@@ -128,7 +142,13 @@ class _Lines(HTMLParser):
                 break
         return 0
 
+    def _end_head(self) -> None:
+        if self.count["head"] and self.open[-1][0] == "head":
+            self._close(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in _IN_HEAD:
+            self._end_head()
         if tag in _VOID:
             if tag in _BLOCKS:
                 self.end_line()
@@ -143,15 +163,19 @@ class _Lines(HTMLParser):
                 self._close(depth)
         if tag == "a" and (depth := self._find({"a"}, _BLOCKS)):
             self._close(depth)
-        _, unseen, furniture, article = self.open[-1]
+        _, unseen, furniture, article, form = self.open[-1]
         article = article or tag in ("article", "main")
+        if tag == "form" and not form:
+            self.forms += 1
+            form = self.forms
         if tag in _UNSEEN:
-            self.open.append((tag, True, furniture, article))
+            self.open.append((tag, True, furniture, article, form))
         else:
             now = furniture or _is_furniture(tag, dict(attrs), article)
             if now != furniture:
                 self.end_line()
-            self.open.append((tag, unseen, now, article))
+            self.open.append((tag, unseen, now, article, form))
+        self.count[tag] += 1
         self.in_link += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -166,8 +190,9 @@ class _Lines(HTMLParser):
             self.end_line()
 
     def handle_data(self, data: str) -> None:
-        _, unseen, _, _ = self.open[-1]
-        if unseen:
+        if data.strip():
+            self._end_head()
+        if self.open[-1][1]:
             return
         self.text.append(data)
         if self.in_link:
@@ -175,37 +200,55 @@ class _Lines(HTMLParser):
 
 
 def page_lines(html: str) -> list[Line]:
+    """The lines of a page; a form is furniture unless it holds most of the page's other text."""
     reader = _Lines()
     reader.feed(html)
+    if _CUT_TAG.match(reader.rawdata):  # the page stops inside a tag
+        reader.rawdata = ""
     reader.close()
     reader.end_line()
+    held: Counter[int] = Counter()
+    for line in reader.lines:
+        held[line.form] += 0 if line.furniture else len(line.text)
+    most = held.total() / 2
+    for line in reader.lines:
+        if line.form and held[line.form] <= most:
+            line.furniture = True
     return reader.lines
 
 
+def _weights(lines: list[Line]) -> list[int]:
+    """Weights of the lines; if the article holds most of the text, only its lines have any."""
+    inside = sum(len(line.text) for line in lines if line.in_article and not line.furniture)
+    outside = sum(len(line.text) for line in lines if not line.in_article and not line.furniture)
+    if inside and inside >= outside:
+        return [line.weight if line.in_article else 0 for line in lines]
+    return [line.weight for line in lines]
+
+
 def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[Line]:
     """The lines between surge and dive points, without furniture.
 
     Block i is the sum of the weights of lines i to i + window - 1. Main text begins at a line whose block is above
-    the threshold and that has weight itself, and ends where a block is empty. On a page with an article, only its
-    lines have weight.
+    the threshold and that has weight itself, and ends where a block is empty. The threshold is `surge`, or half the
+    largest block of a page whose blocks are all below it.
     """
-    if any(line.in_article and not line.furniture for line in lines):
-        weights = [line.weight if line.in_article else 0 for line in lines]
-    else:
-        weights = [line.weight for line in lines]
+    weights = _weights(lines)
+    blocks, total = [0] * len(lines), 0
+    for at in range(len(lines) - 1, -1, -1):
+        total += weights[at] - (weights[at + window] if at + window < len(lines) else 0)
+        blocks[at] = total
+    most = max(blocks, default=0)
+    threshold = surge if most > surge else most / 2
     kept: list[Line] = []
     inside = False
-    block = sum(weights[:window])
-    for at, line in enumerate(lines):
+    for line, weight, block in zip(lines, weights, blocks, strict=True):
         if not inside:
-            inside = block > surge and weights[at] > 0
+            inside = block > threshold and weight > 0
         elif block == 0:
             inside = False
-        if inside and weights[at] > 0:
+        if inside and weight > 0:
             kept.append(line)
-        block -= weights[at]
-        if at + window < len(lines):
-            block += weights[at + window]
     return kept
 
 
