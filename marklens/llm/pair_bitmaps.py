@@ -19,17 +19,22 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
+from tokenizers import Tokenizer
 
 from ..session import cut_lineage
 from .common import split_join, table
@@ -43,8 +48,12 @@ BLOCK_POSTINGS = 4_000_000
 BLOCK_DOCUMENTS = 65_536
 # Characters read at a time. Texts are cut at every single space between two visible ASCII characters: no token of either
 # tokenizer reaches from before such a space into it or beyond, so both have a token that ends there.
-CHARACTERS_AT_ONCE = 3_000_000
+CHARACTERS_AT_ONCE = 2_000_000
+# Parts a worker remembers between texts; only how often parts are tokenized depends on it.
+KNOWN_PARTS = 200_000
 CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
+# Parts tokenized in one call.
+PARTS_TOGETHER = 512
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -58,9 +67,6 @@ class Aligner:
     """Both tokenizers, the bytes of their tokens, and how a batch of texts is linked."""
 
     def __init__(self, a_file: str, b_file: str) -> None:
-        import sentencepiece
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
@@ -79,6 +85,8 @@ class Aligner:
         self.cuts = not any(SPACE in piece.lstrip(SPACE) for piece in pieces)
         self.a_lengths = np.array([*map(len, self.a_bytes)], np.int64)
         self.b_lengths = np.array([*map(len, self.b_bytes)], np.int64)
+        self.quick = self._quick_a(entries)
+        self.known: dict[str, tuple[int, int, bytes, bytes] | None] = {}
         # Ids in decimal, one cell each with room for a separator.
         size = max(len(self.a_bytes), len(self.b_bytes))
         decimal = np.array([b"%d" % i for i in range(size)], "S")
@@ -86,20 +94,41 @@ class Aligner:
         self.cells[:, :-1] = decimal.view(np.uint8).reshape(size, -1)
         self.digits = np.count_nonzero(self.cells, axis=1)
 
+    def _quick_a(self, entries: list[str]):
+        """The first tokenizer's merges as ranks, for a faster encoder that gives the same ids; NULL if it would not.
+
+        It merges whatever neighbours form an entry, least id first. That is the same as the list of merges if that
+        list makes the entries in the order of their ids, and merging an entry's own bytes gives the entry.
+        """
+        whole = json.loads(self.a.to_str())
+        model, cut = whole["model"], whole["pre_tokenizer"] or {}
+        if whole["normalizer"] or cut.get("type") != "ByteLevel" or not cut.get("use_regex") or cut.get("add_prefix_space"):
+            return None
+        merges = [tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge) for merge in model["merges"]]
+        made = [model["vocab"].get("".join(merge)) for merge in merges]
+        letters = [i for i, entry in enumerate(entries) if len(entry) == 1]
+        if made != [*range(len(letters), len(letters) + len(made))] or letters != [*range(len(letters))]:
+            return None
+        ranks = {self.a_bytes[i]: i for i in [*letters, *made]}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _a_ids(self, text: str) -> list[int]:
+        """Ids of a space and the text; the faster encoder reads what no version of Unicode sees otherwise."""
+        if self.quick is not None and max(text) < "\u0250":
+            return self.quick.encode_ordinary(" " + text)
+        return self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+
     def parts(self, text: str) -> list[str]:
         """The text without the spaces it is cut at; each part is tokenized as a text of its own. Empty: none."""
         if not text:
             return []
         return CUT.split(text) if self.cuts else [text]
 
-    def groups(self, a_ids: list[list[int]], b_ids: list[list[int]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Per part, whose tokens cover the same bytes, its groups as text and its links; and the links' pairs.
+    def groups(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Of parts with `n_a` and `n_b` tokens, whose bytes are the same: groups as text, number of links; the links' pairs.
 
         A pair is A * size of B + B. Parts follow each other at the same bytes on both sides, so one search links all.
         """
-        n_a, n_b = (np.array([*map(len, lists)], np.int64) for lists in (a_ids, b_ids))
-        a = np.fromiter(chain.from_iterable(a_ids), np.int64, n_a.sum())
-        b = np.fromiter(chain.from_iterable(b_ids), np.int64, n_b.sum())
         a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
         at = np.searchsorted(b_ends, a_ends)
         a_last = np.flatnonzero(b_ends[at] == a_ends) if len(a) else np.zeros(0, np.int64)
@@ -114,32 +143,75 @@ class Aligner:
         cells[np.arange(len(ids)), self.digits[ids]] = separators
         written = cells[cells != 0].tobytes()
         ends = np.append(0, np.cumsum(self.digits[ids] + 1))[np.append(0, np.cumsum(n_a + n_b))].tolist()
-        n_links = np.bincount(np.repeat(np.arange(len(a_ids)), n_a)[a_last], minlength=len(a_ids))
+        n_links = np.bincount(np.repeat(np.arange(len(n_a)), n_a)[a_last], minlength=len(n_a))
         return [written[i:j] for i, j in zip(ends, ends[1:])], n_links, a[a_last] * len(self.b_bytes) + b[b_last]
 
+    def _keep(self, parts: list[str], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        written, n_links, pairs = self.groups(a, b, n_a, n_b)
+        packed, ends = pairs.tobytes(), (8 * np.append(0, np.cumsum(n_links))).tolist()
+        of_parts = (packed[i:j] for i, j in zip(ends, ends[1:]))
+        self.known.update(zip(parts, zip(n_a.tolist(), n_b.tolist(), written, of_parts, strict=True), strict=True))
+
+    def _learn_together(self, parts: list[str]) -> bool:
+        """Learn parts that may stand in one text, cut at the spaces between them; false if that text is not given back."""
+        text = " ".join(parts)
+        a, b = self._a_ids(text), self.b.encode(text)
+        whole = b" " + text.encode()
+        if not b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b]):
+            return False
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends = np.cumsum(np.fromiter((len(part.encode()) + 1 for part in parts), np.int64, len(parts)))
+        n_a, n_b = (
+            np.diff(np.searchsorted(np.cumsum(lengths[ids]), ends) + 1, prepend=0)
+            for lengths, ids in ((self.a_lengths, a), (self.b_lengths, b))
+        )
+        self._keep(parts, a, b, n_a, n_b)
+        return True
+
+    def _learn(self, parts: list[str]) -> None:
+        """Put what is found for parts into `known`: tokens of each kind, groups as text, links' pairs as bytes.
+
+        NULL for a part that either tokenizer does not give back: it only ever loses bytes, so no text that has such a
+        part is given back either.
+        """
+        alone, together = [], []
+        for part in parts:
+            (together if self.cuts and "!" <= part[0] <= "~" and "!" <= part[-1] <= "~" else alone).append(part)
+        for begin in range(0, len(together), PARTS_TOGETHER):
+            chunk = together[begin : begin + PARTS_TOGETHER]
+            if not self._learn_together(chunk):
+                alone += chunk
+        a_ids = [found.ids for found in self.a.encode_batch_fast([" " + part for part in alone], add_special_tokens=False)]
+        b_ids = self.b.encode(alone, num_threads=1) if alone else []
+        same = [
+            b"".join([self.a_bytes[i] for i in a]) == b" " + part.encode() == b"".join([self.b_bytes[i] for i in b])
+            for part, a, b in zip(alone, a_ids, b_ids, strict=True)
+        ]
+        if not all(same):
+            self.known.update(dict.fromkeys(compress(alone, map(not_, same))))
+            alone, a_ids, b_ids = ([*compress(values, same)] for values in (alone, a_ids, b_ids))
+        n_a, n_b = (np.array([*map(len, lists)], np.int64) for lists in (a_ids, b_ids))
+        a = np.fromiter(chain.from_iterable(a_ids), np.int64, n_a.sum())
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, n_b.sum())
+        self._keep(alone, a, b, n_a, n_b)
+
     def linked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Per text the tokens of each kind, the groups and their digest; per link its text and pair.
 
-        A text has no tokens where either tokenizer does not give back a space and the text. Equal parts are read once.
+        A text has no tokens where either tokenizer does not give back a space and the text. Equal parts are read once,
+        also those of recent texts.
         """
         number_of: dict[str, int] = {}
         codes = [[number_of.setdefault(part, len(number_of)) for part in self.parts(text)] for text in texts]
-        distinct = [*number_of]
-        a_ids = [found.ids for found in self.a.encode_batch_fast([" " + part for part in distinct], add_special_tokens=False)]
-        b_ids = self.b.encode(distinct, num_threads=1) if distinct else []
-        joined = [
-            (b"".join([self.a_bytes[i] for i in a]), b"".join([self.b_bytes[i] for i in b])) for a, b in zip(a_ids, b_ids, strict=True)
-        ]
-        changed = {n for n, part in enumerate(distinct) if not joined[n][0] == joined[n][1] == b" " + part.encode()}
-        if changed:
-            for at, (text, own) in enumerate(zip(texts, codes, strict=True)):
-                if not changed.isdisjoint(own) and any(
-                    b"".join([joined[n][side] for n in own]) != b" " + text.encode() for side in (0, 1)
-                ):
-                    codes[at] = []
-            used = {*chain.from_iterable(codes)}
-            a_ids, b_ids = ([ids if n in used else [] for n, ids in enumerate(lists)] for lists in (a_ids, b_ids))
-        written, n_links, pairs = self.groups(a_ids, b_ids)
+        self._learn([part for part in number_of if part not in self.known])
+        entries = [self.known[part] for part in number_of]
+        if len(self.known) > KNOWN_PARTS:
+            self.known = dict(zip(number_of, entries, strict=True))
+        lost = {n for n, entry in enumerate(entries) if entry is None}
+        if lost:
+            codes = [own if lost.isdisjoint(own) else [] for own in codes]
+            entries = [(0, 0, b"", b"") if entry is None else entry for entry in entries]
+        a_counts, b_counts, written, pairs = zip(*entries, strict=True) if entries else ((), (), (), ())
         digests = [hashlib.sha256(b"".join([written[n] for n in own])[:-1]).hexdigest() if own else "" for own in codes]
         # What was found per part, gathered for the parts of all texts.
         part_of = np.fromiter(chain.from_iterable(codes), np.int64)
@@ -148,11 +220,13 @@ class Aligner:
         def per_text(numbers) -> np.ndarray:
             return np.bincount(text_of, np.array(numbers, np.int64)[part_of], len(texts)).astype(np.int64)
 
+        n_links = np.fromiter(map(len, pairs), np.int64, len(pairs)) // 8
+        flat = np.frombuffer(b"".join(pairs), np.int64)
         counts = n_links[part_of]
         first = np.repeat((np.cumsum(n_links) - n_links)[part_of] - (np.cumsum(counts) - counts), counts)
         return (
-            per_text([*map(len, a_ids)]), per_text([*map(len, b_ids)]), per_text(n_links), digests,
-            np.repeat(text_of, counts), pairs[first + np.arange(len(first))],
+            per_text(a_counts), per_text(b_counts), per_text(n_links), digests,
+            np.repeat(text_of, counts), flat[first + np.arange(len(first))],
         )
 
 

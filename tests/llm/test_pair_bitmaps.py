@@ -121,3 +121,17 @@ def test_containers_keep_their_numbers(share):
     assert P.unpacked_numbers(container).tolist() == numbers.tolist()
     assert P.population(container) == len(numbers)
     assert len(container) <= min(2 * len(numbers), 8_192) + 1
+
+
+def test_the_faster_encoder_gives_the_same_ids():
+    """Merging an entry's own bytes gives the entry, so neighbours that form one are never joined otherwise; and samples."""
+    aligner = P.Aligner(P.A_FILE, P.B_FILE)
+    assert aligner.quick is not None
+    for number in range(aligner.a.get_vocab_size() - 1):
+        found = aligner.a.model.tokenize(aligner.a.id_to_token(number))
+        assert [token.id for token in found] == [number]
+    rnd = random.Random(6)
+    letters = [chr(i) for i in range(1, 0x250)]
+    for alphabet in (letters, letters[:126], "aeinorst ' ", "th e\n\t ", "0123456789., ", "AZaz-_/=\u00a0\u0085é"):
+        text = "".join(rnd.choices(alphabet, k=60_000))
+        assert aligner._a_ids(text) == aligner.a.encode(" " + text, add_special_tokens=False).ids
