@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from marklens import audit_pages, issues_table, items_table, page_json
 from marklens.functions.overflow import text_of
-from marklens.operators import elements
+from marklens.operators import elements, extract
+from marklens.plans import audit
 
 MB = 1 << 20
 ORG = "https://schema.org/"
@@ -20,6 +21,21 @@ def pages_of(pages_of):
     return lambda html_by_name: pages_of(html_by_name).coalesce(1)
 
 
+# What a MiB is to the tests that use smaller limits.
+UNIT = MB // 64
+
+
+@pytest.fixture
+def small_limits(monkeypatch):
+    """All limits at a 64th, so that tests of what lies beyond them need little memory."""
+    monkeypatch.setattr(extract, "MOST_BYTES", extract.MOST_BYTES // 64)
+    monkeypatch.setattr(elements, "MOST_BYTES", elements.MOST_BYTES // 64)
+    monkeypatch.setattr(audit, "_items", audit._items.__wrapped__)  # expressions that hold the limits are built anew
+    elements._reader.cache_clear()
+    yield
+    elements._reader.cache_clear()
+
+
 def ld(value):
     return f'<script type="application/ld+json">{value if isinstance(value, str) else json.dumps(value)}</script>'
 
@@ -56,8 +72,7 @@ def blocks(text):
     return ld({"@graph": [product(text), {"@type": "Person"}]})
 
 
-@pytest.mark.parametrize(("size", "forms"), [(9 * MB, [blocks, microdata]), (20 * MB, [blocks, microdata, rdfa]), (66 * MB, [rdfa])])
-def test_a_large_text_is_whole_and_has_the_issues_of_a_small_one(pages_of, size, forms):
+def check_large_text(pages_of, size, forms):
     large, small = "große Zahl " * (size // 11) + "end", "large"
     found = audit_pages(pages_of({f"p{i}": form(large) for i, form in enumerate(forms)}))
     wanted = audit_pages(pages_of({f"p{i}": form(small) for i, form in enumerate(forms)}))
@@ -67,16 +82,25 @@ def test_a_large_text_is_whole_and_has_the_issues_of_a_small_one(pages_of, size,
     assert any(kind == "invalid_url" for _, _, kind, _ in issues_of(found))
 
 
-def test_values_beyond_a_variant(pages_of):
-    """Lists, objects and watched texts of more than 128 MiB: their rules see what small ones show."""
-    wide = [{"@type": "Question" if i % 2 else "Answer", "text": "x" * 30 * MB} for i in range(5)]
-    address = "https://example.com/" + "a" * (17 * MB)
+def test_a_large_text_is_whole_and_has_the_issues_of_a_small_one(pages_of):
+    check_large_text(pages_of, 20 * MB, [blocks, microdata])
+
+
+@pytest.mark.parametrize("size", [9, 20, 70])
+def test_texts_below_and_beyond_the_limits(pages_of, small_limits, size):
+    check_large_text(pages_of, size * UNIT, [lambda text: ld(product(text)), blocks, microdata, rdfa])
+
+
+def test_values_beyond_a_variant(pages_of, small_limits):
+    """Lists, objects and watched texts beyond the limits: their rules see what small ones show."""
+    wide = [{"@type": "Question" if i % 2 else "Answer", "text": "x" * 30 * UNIT} for i in range(5)]
+    address = "https://example.com/" + "a" * (17 * UNIT)
     pages = {
         "faq": ld({"@type": "FAQPage", "name": "n", "mainEntity": wide}),
-        "crumbs": ld({"@type": "BreadcrumbList", "name": "n", "itemListElement": {"a": "x" * 17 * MB}}),
+        "crumbs": ld({"@type": "BreadcrumbList", "name": "n", "itemListElement": {"a": "x" * 17 * UNIT}}),
         "good_url": ld({"@type": "Product", "name": "n", "image": "https://e.com/i", "offers": {}, "url": address}),
         "bad_url": ld({"@type": "Product", "name": "n", "image": "https://e.com/i", "offers": {}, "url": "no " + address}),
-        "broken": ld("{" + "x" * (66 * MB)),
+        "broken": ld("{" + "x" * (66 * UNIT)),
     }
     results = audit_pages(pages_of(pages), with_raw=True)
     assert issues_of(results) == [
@@ -87,11 +111,11 @@ def test_values_beyond_a_variant(pages_of):
         (4, 0, "malformed_json_ld", None),
     ]
     message = issues_table(results).filter("page_id = 3").select(F.length("message").alias("n")).first()
-    assert message["n"] > 17 * MB
+    assert message["n"] > 17 * UNIT
 
 
-def test_a_property_repeated_beyond_a_variant(pages_of):
-    part = "y" * (17 * MB)
+def test_a_property_repeated_beyond_a_variant(pages_of, small_limits):
+    part = "y" * (17 * UNIT)
     html = f'<div itemscope itemtype="{ORG}Thing"><p itemprop="name">n</p>' + f'<p itemprop="part">{part}</p>' * 4
     items = items_table(audit_pages(pages_of({"p": html}), with_raw=True))
     large = F.col("overflow")["part"]
@@ -102,9 +126,9 @@ def test_a_property_repeated_beyond_a_variant(pages_of):
     assert row["names"] == ["name", "part"] and row["json"] and row["n"] == 4 * len(part) + 4 * 2 + 3 + 2
 
 
-def test_the_json_report_holds_whole_values(pages_of):
-    text = 'q" \\ é' * (3 * MB)
-    most = 65 * MB
+def test_the_json_report_holds_whole_values(pages_of, small_limits):
+    text = 'q" \\ é' * (UNIT)
+    most = 65 * UNIT
     value = {"@context": "c", "@type": "Product", "name": "n", "description": text, "offers": {"price": 1, "note": text}}
     html = ld(value) + microdata("z" * most)
     row = page_json(audit_pages(pages_of({"p": html}), with_raw=True)).first()
