@@ -337,7 +337,7 @@ ORACLES["jsonld_hard_blocks"] = _items(["hard"])
 ORACLES["large_values"] = """
 WITH pages AS (
   SELECT CAST(r_regionkey * 10 + 9 AS BIGINT) AS page_id, r_regionkey % 3 AS variant, r_name,
-    repeat(r_name || ' ', CAST(ceil([17000000, 20000000, 68000000][1 + r_regionkey % 3] / (length(r_name) + 1.0)) AS BIGINT)) || 'end' AS text
+    repeat(r_name || ' ', CAST(ceil([17000000, 20000000, 24000000][1 + r_regionkey % 3] / (length(r_name) + 1.0)) AS BIGINT)) || 'end' AS text
   FROM region
 )
 SELECT page_id, CAST(0 AS INTEGER) AS item_ord, ['json-ld', 'microdata', 'rdfa'][1 + variant] AS schema_format,

@@ -93,7 +93,7 @@ def jsonld_hard_blocks(spark, sf_dir):
 
 @query
 def large_values(spark, sf_dir):
-    """Texts of up to 68,000,000 characters, whole, beside the other properties and items of their pages."""
+    """Texts of up to 24,000,000 characters, whole, beside the other properties and items of their pages."""
     items = m.items_table(m.audit_pages(C.large_pages(spark, sf_dir)))
     text = text_of(F.lit("description"), F.col("properties")["description"], F.col("overflow"))
     return items.select(
