@@ -1,4 +1,4 @@
-"""Operators for training-data pipelines: ten methods over documents and pages.
+"""Operators for training-data pipelines: thirteen methods over documents, pages and conversations.
 
 Nothing outside this folder, the pipeline module and their tests imports it. Every operator reads only the columns it
 is told to (by default `doc_id` and `text`), so any other columns of its input, whatever their names, change nothing.
