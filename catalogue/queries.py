@@ -13,7 +13,7 @@ from marklens.functions.overflow import text_of
 from marklens.functions.urls import is_document_url, netloc, normalise_url, url_path
 from marklens.operators.elements import read_document
 from marklens.plans.report import tallies
-from marklens.session import scratch_folder
+from marklens.session import cut_lineage, remove_folder, scratch_folder
 
 from . import corpora as C
 
@@ -446,7 +446,9 @@ def stream_issues(spark, sf_dir):
         pages, f"{folder}/issues", f"{folder}/progress", shape=m.issues_table, available_now=True
     )
     running.awaitTermination()
-    return spark.read.parquet(f"{folder}/issues").select(*ISSUE_COLUMNS)
+    issues = cut_lineage(spark.read.parquet(f"{folder}/issues").select(*ISSUE_COLUMNS))
+    remove_folder(spark, folder)
+    return issues
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
