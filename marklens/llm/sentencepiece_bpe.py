@@ -3,7 +3,7 @@
 A sequence of pieces is what merging would give exactly if every two neighbours are: merging the text of the two anew
 must give the two again. So a text is read from left to right with the longest piece that fits; a piece that is not
 compatible with the one before is replaced by the next shorter one, and where none is left the last piece is taken
-back. A bitfield of positions that led nowhere keeps this linear.
+back. A bitfield of positions that led nowhere, and a search that reads a window of the text, keep this linear.
 
 Pieces hold white-space marks only at their front, so nothing merges across the end of a word, nor across a line end that
 is no piece. If a model is like that (it is checked), texts are cut there and recent words are kept in a bounded table;
@@ -28,9 +28,15 @@ from .common import per_text, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
-# Entries of each of the two tables of recent words, and of the table of compared neighbours.
+# Entries and characters of each of the two tables of recent words, the longest part that is kept there, and entries of
+# the table of compared neighbours.
 WORDS_KEPT = 250_000
+CHARACTERS_KEPT = 4_000_000
+LONGEST_KEPT = 1_000
 PAIRS_KEPT = 500_000
+# Characters that a search for pieces is given at first, and at most; a search costs time by what it is given.
+FIRST_WINDOW = 64
+LAST_WINDOW = 1 << 16
 
 
 class Bpe:
@@ -85,6 +91,7 @@ class Bpe:
                 if left is not None and right is not None:
                     self.pair_rank[left << 20 | right] = self.rank[i]
         self.length = list(map(len, self.pieces))
+        self.longest = max(map(len, reachable))
         self.numbers = list(map(str, range(len(self.pieces))))
         self.byte_pieces = frozenset(self.byte_of)
         self.shorter = [-1] * len(self.pieces)
@@ -94,6 +101,7 @@ class Bpe:
         # Filled while texts are read: neighbours compared, and results of recent words and of those before them.
         self.compatible: dict[int, bool] = {}
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.known_characters = 0
         self.known_before: dict[str, tuple[str, int, str]] = {}
 
     def merged(self, text: str, merges: list[tuple[str, str]] | None = None) -> list[str]:
@@ -167,16 +175,23 @@ class Bpe:
                 return True
 
     def split(self, text: str) -> list[int] | None:
-        """Ids of a text of known characters; None if one is unknown."""
+        """Ids of a text of known characters; None if one is unknown.
+
+        Pieces are searched for in a window of the text, anew after a step back and where a piece might cross its end.
+        """
         lengths, shorter, compatible = self.length, self.shorter, self.compatible
-        # Each step of the automaton's search gives the longest piece that begins where the one before ended.
-        longest = self.automaton.iter_long(text)
         size, at, last = len(text), 0, -1
+        # Each step of the automaton's search gives the longest piece that begins where the one before ended.
+        width = max(FIRST_WINDOW, 2 * self.longest)
+        longest, start, safe = self.automaton.iter_long(text[:width]), 0, size if size <= width else width - self.longest
         failed: bytearray | None = None
         chosen: list[int] = []
         while at < size:
+            if at > safe:
+                width = min(2 * width, LAST_WINDOW)
+                longest, start, safe = self._search(text, at, width)
             end, piece = next(longest, (-1, 0))
-            end += 1
+            end += start + 1
             if end - lengths[piece] != at:
                 return None
             if failed is None and (last < 0 or compatible.get(last << 20 | piece)):
@@ -199,9 +214,15 @@ class Bpe:
             chosen.append(piece)
             at, last = end, piece
             if moved and at < size:
-                longest = self.automaton.iter_long(text, at)
+                width = max(FIRST_WINDOW, 2 * self.longest)
+                longest, start, safe = self._search(text, at, width)
         return chosen
 
+    def _search(self, text: str, at: int, width: int) -> tuple[Iterator[tuple[int, int]], int, int]:
+        """A search from `at`, where its window begins, and up to which place the pieces it gives are the longest."""
+        end = at + width
+        return self.automaton.iter_long(text[at:end]), at, len(text) if end >= len(text) else end - self.longest
+
     def encode_part(self, text: str) -> list[int]:
         """Ids of prepared text; a character without a piece becomes its bytes and stands between what is around it."""
         known = self.split(text)
@@ -256,10 +277,14 @@ class Bpe:
             ids = self.encode_part(part)
             space = " " if self.pieces[ids[0]].startswith(SPACE) else ""
             found = (",".join([self.numbers[i] for i in ids]), len(ids), space + self.decode(ids))
-        if len(self.known) >= WORDS_KEPT:
+        if len(part) > LONGEST_KEPT:
+            return found
+        if len(self.known) >= WORDS_KEPT or self.known_characters >= CHARACTERS_KEPT:
             self.known_before.clear()
             self.known, self.known_before = self.known_before, self.known
+            self.known_characters = 0
         self.known[part] = found
+        self.known_characters += len(part)
         return found
 
     def results(self, text: str) -> list[tuple[str, int, str]]:

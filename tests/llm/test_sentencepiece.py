@@ -82,3 +82,42 @@ def test_odd_rows(library, odd_docs, no_docs):
         assert list(row["r"]) == [len(ids), *digests]
         assert row["e"]["ids"] == ids and row["e"]["decoded"] == library.decode(ids)
     assert no_docs.select(B.digested(F.col("text"))).count() == 0
+
+
+def test_pieces_across_the_ends_of_windows(own, library, monkeypatch):
+    monkeypatch.setattr(B, "FIRST_WINDOW", 1)
+    monkeypatch.setattr(B, "LAST_WINDOW", 40)
+    rnd = random.Random(8)
+    pieces = [piece.replace("▁", "") for piece in own.ids]
+    for count in (1, 10, 100, 1_000):
+        agree(own, library, "".join(rnd.choices(pieces, k=count)) or "a")
+        agree(own, library, "".join(rnd.choices("aeinrst", k=count)))
+        agree(own, library, "ab" * count + "é" * count)
+
+
+def test_steps_back_cost_what_the_window_does(own, monkeypatch):
+    """What is handed to searches in all grows like the text, though every other step is a step back."""
+    handed = []
+
+    class Counted:
+        def iter_long(self, text):
+            handed[-1] += len(text)
+            return searcher.iter_long(text)
+
+    searcher = own.automaton
+    monkeypatch.setattr(own, "automaton", Counted())
+    for count in (20_000, 40_000):
+        handed.append(0)
+        own.split("ab" * count)
+    assert handed[1] < 2.1 * handed[0]
+
+
+def test_tables_are_bounded_in_characters(library, monkeypatch):
+    monkeypatch.setattr(B, "CHARACTERS_KEPT", 100)
+    monkeypatch.setattr(B, "LONGEST_KEPT", 30)
+    own = B.Bpe(B.MODEL)
+    rnd = random.Random(9)
+    for _ in range(50):
+        agree(own, library, " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(1, 60))) for _ in range(20)))
+        assert max(map(len, own.known), default=0) <= 30
+        assert sum(map(len, own.known)) <= 130 and sum(map(len, own.known_before)) <= 130
