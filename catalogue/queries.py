@@ -211,7 +211,7 @@ def issues_without_guidelines(spark, sf_dir):
 
 @query
 def page_issue_counts(spark, sf_dir):
-    return m.page_counts(m.audit_pages(C.all_markup(spark, sf_dir)))
+    return m.page_counts(m.audit_pages(C.all_markup(spark, sf_dir), messages=False))
 
 
 @query
@@ -228,18 +228,18 @@ def _shape(results: DataFrame) -> DataFrame:
 
 @query
 def filter_severity(spark, sf_dir):
-    return _shape(m.filter_pages(m.audit_pages(C.all_markup(spark, sf_dir)), severity="error"))
+    return _shape(m.filter_pages(m.audit_pages(C.all_markup(spark, sf_dir), messages=False), severity="error"))
 
 
 @query
 def filter_severity_warning(spark, sf_dir):
-    return _shape(m.filter_pages(m.audit_pages(C.all_markup(spark, sf_dir)), severity="warning"))
+    return _shape(m.filter_pages(m.audit_pages(C.all_markup(spark, sf_dir), messages=False), severity="warning"))
 
 
 @query
 def filter_type(spark, sf_dir):
     pages = C.markup_and_log(spark, sf_dir)
-    return _shape(m.filter_pages(m.audit_pages(pages), schema_types="Product, Organization"))
+    return _shape(m.filter_pages(m.audit_pages(pages, messages=False), schema_types="Product, Organization"))
 
 
 @query
@@ -249,25 +249,25 @@ def filter_none(spark, sf_dir):
 
 @query
 def quality_gate(spark, sf_dir):
-    return m.quality_gate(m.audit_pages(C.all_markup(spark, sf_dir)), "error", "Event,Offer")
+    return m.quality_gate(m.audit_pages(C.all_markup(spark, sf_dir), messages=False), "error", "Event,Offer")
 
 
 @query
 def summary(spark, sf_dir):
     pages = C.markup_and_log(spark, sf_dir)
-    return m.summary(m.audit_pages(pages, "sitemap"))
+    return m.summary(m.audit_pages(pages, "sitemap", messages=False))
 
 
 @query
 def summary_filtered(spark, sf_dir):
     """Counters of what a filter by severity and type leaves."""
-    results = m.audit_pages(C.markup_and_log(spark, sf_dir))
+    results = m.audit_pages(C.markup_and_log(spark, sf_dir), messages=False)
     return m.summary(m.filter_pages(results, severity="error", schema_types="Product, Organization"))
 
 
 @query
 def summary_tallies(spark, sf_dir):
-    return tallies(m.audit_pages(C.all_markup(spark, sf_dir))).select("kind", "name", "total_pages", "total_schemas")
+    return tallies(m.audit_pages(C.all_markup(spark, sf_dir), messages=False)).select("kind", "name", "total_pages", "total_schemas")
 
 
 @query
@@ -319,7 +319,7 @@ def issue_listing(spark, sf_dir):
 
 @query
 def report_text(spark, sf_dir):
-    return m.summary_lines(m.audit_pages(C.all_markup(spark, sf_dir)))
+    return m.summary_lines(m.audit_pages(C.all_markup(spark, sf_dir), messages=False))
 
 
 @query

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..functions.columns import keep_rows
 from ..rules import SEVERITY_RANK
 
@@ -14,12 +13,12 @@ def _wanted_types(schema_types: str) -> list[str]:
     return sorted({name.strip() for name in schema_types.split(",")})
 
 
-def _kept_lists(severity: str | None) -> dict[str, Column]:
+def _kept_lists(results: DataFrame, severity: str | None) -> dict[str, Column]:
     """The issue lists at or above the minimum severity; the others become empty."""
     lowest = SEVERITY_RANK.get(severity, 0) if severity else 0
     lists = {"errors": "error", "warnings": "warning", "info": "info"}
     return {
-        column: F.col(column) if SEVERITY_RANK[name] >= lowest else F.array().cast(schemas.ISSUES)
+        column: F.col(column) if SEVERITY_RANK[name] >= lowest else F.array().cast(results.schema[column].dataType)
         for column, name in lists.items()
     }
 
@@ -40,7 +39,7 @@ def filter_pages(results: DataFrame, severity: str | None = None, schema_types:
     """
     if not severity and not schema_types:
         return results
-    kept = _kept_lists(severity)
+    kept = _kept_lists(results, severity)
     narrowed = results.withColumns(kept)
     remaining = F.size("errors") + F.size("warnings") + F.size("info")
     return keep_rows(narrowed, _has_type(schema_types) & (remaining > 0))

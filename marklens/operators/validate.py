@@ -19,46 +19,68 @@ UNTYPED = 0
 
 ISSUES = schemas.ISSUES
 
-# --- fixed values: the issue types, severities, message texts and paths that the rules below give ---
+def code_of(order: int, severity: str) -> int:
+    """An issue as a number: its check, then the rank of its severity."""
+    return order * 10 + rules.SEVERITY_RANK[severity]
 
 
 def _text(value: str | Column | None) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("string")
 
 
-def _issue(
-    order: int,
-    kind: str,
-    severity: str,
-    message: str | Column,
-    path: str | Column | None = None,
-    schema_ref: str | Column | None = None,
-) -> Column:
-    return F.struct(
-        F.lit(None).cast("int").alias("item_ord"),
-        F.lit(order).alias("check_ord"),
-        F.lit(kind).alias("issue_type"),
-        F.lit(severity).alias("severity"),
-        _text(message).alias("message"),
-        _text(path).alias("path"),
-        _text(schema_ref).alias("schema_ref"),
-    )
+class Form:
+    """What the rules give for each issue: the issue with its message, or its code alone for reports that only count.
+
+    Conditions are the same in both; without messages no text is put together.
+    """
+
+    def __init__(self, messages: bool = True) -> None:
+        self.messages = messages
+        self.type = ISSUES if messages else schemas.CODES
+
+    def issue(
+        self,
+        order: int,
+        kind: str,
+        severity: str,
+        message: str | Column,
+        path: str | Column | None = None,
+        schema_ref: str | Column | None = None,
+    ) -> Column:
+        if not self.messages:
+            return F.lit(code_of(order, severity))
+        return F.struct(
+            F.lit(None).cast("int").alias("item_ord"),
+            F.lit(order).alias("check_ord"),
+            F.lit(kind).alias("issue_type"),
+            F.lit(severity).alias("severity"),
+            _text(message).alias("message"),
+            _text(path).alias("path"),
+            _text(schema_ref).alias("schema_ref"),
+        )
 
+    def always(self, issue: Column) -> Column:
+        return F.array(issue).cast(self.type)
 
-def _one(condition: Column, issue: Column) -> Column:
-    """An array with the issue where the condition holds, else an empty one."""
-    return F.when(condition, F.array(issue).cast(ISSUES)).otherwise(_none())
+    def one(self, condition: Column, issue: Column) -> Column:
+        """An array with the issue where the condition holds, else an empty one."""
+        return F.when(condition, self.always(issue)).otherwise(self.none())
 
+    def none(self) -> Column:
+        return F.array().cast(self.type)
 
-def _none() -> Column:
-    return F.array().cast(ISSUES)
+    def each(self, entries: Column, issue: Callable[..., Column]) -> Column:
+        return F.transform(entries, issue).cast(self.type)
 
+    def has_severity(self, issue: Column, severity: str) -> Column:
+        return issue["severity"] == severity if self.messages else issue % 10 == rules.SEVERITY_RANK[severity]
 
-def _each(entries: Column, issue: Callable[..., Column]) -> Column:
-    return F.transform(entries, issue).cast(ISSUES)
+
+# --- fixed values: the issue types, severities, message texts and paths that the rules below give ---
 
 
 def _shape_issues(
+    form: Form,
     properties: Column,
     overflow: Column,
     is_watched: Callable[[Column], Column],
@@ -69,16 +91,17 @@ def _shape_issues(
     watched = F.map_entries(F.map_filter(properties, lambda name, value: is_watched(name) & V.is_text(value)))
     named = F.transform(watched, lambda e: F.struct(e["key"].alias("name"), text_of(e["key"], e["value"], overflow).alias("text")))
     wrong = F.filter(named, lambda e: ~is_blank(e["text"]) & ~is_valid(e["text"]))
-    return _each(wrong, lambda e: issue(e["name"], e["text"]))
+    return form.each(wrong, lambda e: issue(e["name"], e["text"]))
 
 
-def url_issues(name: Column, properties: Column, overflow: Column) -> Column:
+def url_issues(form: Form, name: Column, properties: Column, overflow: Column) -> Column:
     return _shape_issues(
+        form,
         properties,
         overflow,
         lambda prop: F.lower(prop).isin(rules.URL_PROPERTIES),
         is_http_url,
-        lambda prop, value: _issue(
+        lambda prop, value: form.issue(
             URL_SHAPE,
             "invalid_url",
             "warning",
@@ -89,13 +112,14 @@ def url_issues(name: Column, properties: Column, overflow: Column) -> Column:
     )
 
 
-def date_issues(name: Column, properties: Column, overflow: Column) -> Column:
+def date_issues(form: Form, name: Column, properties: Column, overflow: Column) -> Column:
     return _shape_issues(
+        form,
         properties,
         overflow,
         lambda prop: prop.isin(rules.DATE_PROPERTIES),
         is_iso_date,
-        lambda prop, value: _issue(
+        lambda prop, value: form.issue(
             DATE_SHAPE,
             "invalid_property_type",
             "warning",
@@ -113,11 +137,11 @@ def _required(base: Column) -> Column:
     return F.coalesce(F.try_element_at(table, base), texts([]))
 
 
-def required_issues(base: Column, properties: Column) -> Column:
+def required_issues(form: Form, base: Column, properties: Column) -> Column:
     absent = F.filter(_required(base), lambda prop: ~F.map_contains_key(properties, prop))
-    return _each(
+    return form.each(
         absent,
-        lambda prop: _issue(
+        lambda prop: form.issue(
             REQUIRED,
             "missing_required_property",
             "error",
@@ -128,12 +152,12 @@ def required_issues(base: Column, properties: Column) -> Column:
     )
 
 
-def faq_issues(properties: Column) -> Column:
+def faq_issues(form: Form, properties: Column) -> Column:
     """A FAQ page needs a main entity; objects in a list of them must be questions or untyped."""
 
     def check(entity: Column) -> Column:
-        absent = F.array(
-            _issue(
+        absent = form.always(
+            form.issue(
                 TYPE_RULE,
                 "missing_required_property",
                 "error",
@@ -141,7 +165,7 @@ def faq_issues(properties: Column) -> Column:
                 "FAQPage.mainEntity",
                 "FAQPage",
             )
-        ).cast(ISSUES)
+        )
 
         def is_wrong(entry: Column) -> Column:
             kind = V.member(entry, "@type")
@@ -149,29 +173,26 @@ def faq_issues(properties: Column) -> Column:
             return V.is_object(entry) & ~allowed
 
         numbered = F.transform(V.as_list(entity), lambda e, i: F.when(is_wrong(e), i))
-        wrong = _each(
+        wrong = form.each(
             F.array_compact(numbered),
-            lambda i: let(
+            lambda i: form.issue(
+                TYPE_RULE,
+                "invalid_property_type",
+                "warning",
+                F.format_string("FAQPage.mainEntity[%d] should be of type 'Question'", i),
                 F.format_string("FAQPage.mainEntity[%d]", i),
-                lambda path: _issue(
-                    TYPE_RULE,
-                    "invalid_property_type",
-                    "warning",
-                    F.concat(path, F.lit(" should be of type 'Question'")),
-                    path,
-                    "FAQPage",
-                ),
+                "FAQPage",
             ),
         )
-        return F.when(~V.is_truthy(entity), absent).otherwise(F.coalesce(wrong, _none()))
+        return F.when(~V.is_truthy(entity), absent).otherwise(F.coalesce(wrong, form.none()))
 
     return let(properties["mainEntity"], check)
 
 
-def breadcrumb_issues(properties: Column) -> Column:
-    return _one(
+def breadcrumb_issues(form: Form, properties: Column) -> Column:
+    return form.one(
         let(properties["itemListElement"], lambda entries: ~V.is_truthy(entries)),
-        _issue(
+        form.issue(
             TYPE_RULE,
             "missing_required_property",
             "error",
@@ -182,10 +203,10 @@ def breadcrumb_issues(properties: Column) -> Column:
     )
 
 
-def article_issues(name: Column, properties: Column) -> Column:
-    return _one(
+def article_issues(form: Form, name: Column, properties: Column) -> Column:
+    return form.one(
         ~F.map_contains_key(properties, "image"),
-        _issue(
+        form.issue(
             TYPE_RULE,
             "missing_image",
             "warning",
@@ -196,11 +217,11 @@ def article_issues(name: Column, properties: Column) -> Column:
     )
 
 
-def product_issues(properties: Column) -> Column:
+def product_issues(form: Form, properties: Column) -> Column:
     return F.concat(
-        _one(
+        form.one(
             ~F.map_contains_key(properties, "image"),
-            _issue(
+            form.issue(
                 TYPE_RULE,
                 "missing_image",
                 "warning",
@@ -209,9 +230,9 @@ def product_issues(properties: Column) -> Column:
                 "Product",
             ),
         ),
-        _one(
+        form.one(
             ~F.map_contains_key(properties, "offers") & ~F.map_contains_key(properties, "price"),
-            _issue(
+            form.issue(
                 TYPE_RULE,
                 "missing_required_property",
                 "warning",
@@ -223,11 +244,11 @@ def product_issues(properties: Column) -> Column:
     )
 
 
-def name_issues(base: Column, properties: Column) -> Column:
+def name_issues(form: Form, base: Column, properties: Column) -> Column:
     named_types = [t for t in rules.RICH_RESULT_TYPES if t not in rules.NAME_EXEMPT_TYPES]
-    return _one(
+    return form.one(
         ~F.map_contains_key(properties, "name") & base.isin(named_types),
-        _issue(
+        form.issue(
             NAME,
             "missing_name",
             "warning",
@@ -238,11 +259,11 @@ def name_issues(base: Column, properties: Column) -> Column:
     )
 
 
-def guideline_issues(name: Column, properties: Column) -> Column:
+def guideline_issues(form: Form, name: Column, properties: Column) -> Column:
     """Rich-result checks: an unsupported type ends them; otherwise the first of several types decides the rules."""
     supported = F.arrays_overlap(comma_parts(name), texts(rules.RICH_RESULT_TYPES))
-    unsupported = F.array(
-        _issue(
+    unsupported = form.always(
+        form.issue(
             UNSUPPORTED,
             "unsupported_type",
             "info",
@@ -250,32 +271,32 @@ def guideline_issues(name: Column, properties: Column) -> Column:
             None,
             name,
         )
-    ).cast(ISSUES)
+    )
 
     def by_base(base: Column) -> Column:
         type_rule = (
-            F.when(base == "FAQPage", faq_issues(properties))
-            .when(base == "BreadcrumbList", breadcrumb_issues(properties))
-            .when(base.isin(rules.ARTICLE_TYPES), article_issues(name, properties))
-            .when(base == "Product", product_issues(properties))
-            .otherwise(_none())
+            F.when(base == "FAQPage", faq_issues(form, properties))
+            .when(base == "BreadcrumbList", breadcrumb_issues(form, properties))
+            .when(base.isin(rules.ARTICLE_TYPES), article_issues(form, name, properties))
+            .when(base == "Product", product_issues(form, properties))
+            .otherwise(form.none())
         )
-        return F.concat(required_issues(base, properties), type_rule, name_issues(base, properties))
+        return F.concat(required_issues(form, base, properties), type_rule, name_issues(form, base, properties))
 
     return F.when(~supported, unsupported).otherwise(let(first_comma_part(name), by_base))
 
 
-def item_issues(item: Column, google_guidelines: bool = True) -> Column:
+def item_issues(form: Form, item: Column, google_guidelines: bool = True) -> Column:
     """All issues of one item, in rule order."""
     name, properties, overflow = item["schema_type"], item["properties"], item["overflow"]
-    malformed = _issue(
+    malformed = form.issue(
         UNTYPED, "malformed_json_ld", "error", "JSON-LD block contains invalid JSON", None, rules.MALFORMED
     )
-    untyped = _issue(UNTYPED, "missing_schema_type", "warning", "Structured data has no @type defined")
+    untyped = form.issue(UNTYPED, "missing_schema_type", "warning", "Structured data has no @type defined")
     checks = [
-        _one(
+        form.one(
             F.size(properties) == 0,
-            _issue(
+            form.issue(
                 EMPTY,
                 "empty_schema",
                 "warning",
@@ -284,9 +305,9 @@ def item_issues(item: Column, google_guidelines: bool = True) -> Column:
                 name,
             ),
         ),
-        _one(
+        form.one(
             name.isin(rules.DEPRECATED_TYPES),
-            _issue(
+            form.issue(
                 DEPRECATED,
                 "deprecated_type",
                 "warning",
@@ -295,19 +316,19 @@ def item_issues(item: Column, google_guidelines: bool = True) -> Column:
                 name,
             ),
         ),
-        url_issues(name, properties, overflow),
-        date_issues(name, properties, overflow),
+        url_issues(form, name, properties, overflow),
+        date_issues(form, name, properties, overflow),
     ]
     if google_guidelines:
-        checks.append(guideline_issues(name, properties))
+        checks.append(guideline_issues(form, name, properties))
     return (
-        F.when(name == rules.MALFORMED, F.array(malformed).cast(ISSUES))
-        .when(name.isin("", rules.UNKNOWN), F.array(untyped).cast(ISSUES))
+        F.when(name == rules.MALFORMED, form.always(malformed))
+        .when(name.isin("", rules.UNKNOWN), form.always(untyped))
         .otherwise(F.concat(*checks))
     )
 
 
-def conflict_issues(items: Column) -> Column:
+def conflict_issues(items: Column, form: Form) -> Column:
     """Page-level: several items of one type that should be there once."""
 
     def check(bases: Column) -> Column:
@@ -317,9 +338,9 @@ def conflict_issues(items: Column) -> Column:
                 base.alias("base"), F.size(F.filter(bases, lambda other: other == base)).alias("n")
             ),
         )
-        return _each(
+        return form.each(
             F.filter(counted, lambda c: c["n"] > 1),
-            lambda c: _issue(
+            lambda c: form.issue(
                 CONFLICT,
                 "conflicting_schema",
                 "warning",
@@ -334,12 +355,11 @@ def conflict_issues(items: Column) -> Column:
     return let(F.transform(items, lambda item: first_comma_part(item["schema_type"])), check)
 
 
-def page_issues(items: Column, google_guidelines: bool = True) -> Column:
+def page_issues(items: Column, form: Form, google_guidelines: bool = True) -> Column:
     """All item issues of a page, in item order, each with its item's position."""
-    per_item = F.transform(
-        items,
-        lambda item, at: F.transform(
-            item_issues(item, google_guidelines), lambda issue: issue.withField("item_ord", at)
-        ),
-    )
-    return F.flatten(per_item).cast(ISSUES)
+
+    def of_item(item: Column, at: Column) -> Column:
+        found = item_issues(form, item, google_guidelines)
+        return F.transform(found, lambda issue: issue.withField("item_ord", at)) if form.messages else found
+
+    return F.flatten(F.transform(items, of_item)).cast(form.type)

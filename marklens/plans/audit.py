@@ -9,7 +9,7 @@ from ..functions.columns import built_once, entries_of
 from ..functions.urls import cut_fragment
 from ..operators.elements import read_document
 from ..operators.extract import all_items
-from ..operators.validate import conflict_issues, page_issues
+from ..operators.validate import Form, conflict_issues, page_issues
 from ..sources.pages import classify_pages
 
 PAGE_RESULT_COLUMNS = ["page_id", "url", "fetch_error", "items", "errors", "warnings", "info"]
@@ -21,26 +21,27 @@ def _items(with_raw: bool) -> Column:
 
 
 @built_once
-def _issues(google_guidelines: bool) -> Column:
-    return page_issues(F.col("items"), google_guidelines)
+def _issues(google_guidelines: bool, messages: bool) -> Column:
+    return page_issues(F.col("items"), Form(messages), google_guidelines)
 
 
 @built_once
-def _conflicts() -> Column:
-    return conflict_issues(F.col("items"))
+def _conflicts(messages: bool) -> Column:
+    return conflict_issues(F.col("items"), Form(messages))
 
 
-def _of_severity(severity: str) -> Column:
-    return F.filter("issues", lambda issue: issue["severity"] == severity)
+def validate_items(pages: DataFrame, google_guidelines: bool = True, messages: bool = True) -> DataFrame:
+    """Add `errors`, `warnings` and `info` to a table whose rows hold a page's `items`; without `messages`, as codes."""
+    form = Form(messages)
 
+    def of_severity(severity: str) -> Column:
+        return F.filter("issues", lambda issue: form.has_severity(issue, severity))
 
-def validate_items(pages: DataFrame, google_guidelines: bool = True) -> DataFrame:
-    """Add `errors`, `warnings` and `info` to a table whose rows hold a page's `items`."""
     return (
-        pages.withColumn("issues", _issues(google_guidelines))
-        .withColumn("errors", _of_severity("error"))
-        .withColumn("warnings", F.concat(_of_severity("warning"), _conflicts()))
-        .withColumn("info", _of_severity("info"))
+        pages.withColumn("issues", _issues(google_guidelines, messages))
+        .withColumn("errors", of_severity("error"))
+        .withColumn("warnings", F.concat(of_severity("warning"), _conflicts(messages)))
+        .withColumn("info", of_severity("info"))
         .drop("issues")
     )
 
@@ -68,14 +69,22 @@ def extract_pages(pages: DataFrame, mode: str = "crawl", with_raw: bool = False)
 
 
 def audit_pages(
-    pages: DataFrame, mode: str = "crawl", google_guidelines: bool = True, with_raw: bool = False
+    pages: DataFrame,
+    mode: str = "crawl",
+    google_guidelines: bool = True,
+    with_raw: bool = False,
+    messages: bool = True,
 ) -> DataFrame:
     """Page results of fetched pages.
 
+    Reports that only count (page counts, summary, filters, gate) need no messages: with `messages=False` the lists of
+    issues hold a code per issue, ten times the check's number and the severity's rank, and no text is made.
+
     Works on batch and streaming DataFrames alike. Every step stays in the page's row, so the plan is a scan, one
     Arrow stage and projections: it scales with the number of input splits alone.
     """
-    return validate_items(extract_pages(pages, mode, with_raw), google_guidelines).select(*PAGE_RESULT_COLUMNS)
+    extracted = extract_pages(pages, mode, with_raw)
+    return validate_items(extracted, google_guidelines, messages).select(*PAGE_RESULT_COLUMNS)
 
 
 def items_table(results: DataFrame) -> DataFrame:

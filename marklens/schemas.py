@@ -26,6 +26,8 @@ ISSUE = (
     "schema_ref:string>"
 )
 ISSUES = f"array<{ISSUE}>"
+# Issues without messages: check_ord times 10, plus the rank of the severity.
+CODES = "array<int>"
 
 REPORT_COLUMNS = [
     "url", "severity", "issue_type", "message", "path", "schema_ref", "schema_type", "schema_format",

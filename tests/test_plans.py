@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marklens import (
-    audit_pages, audit_stream, filter_pages, issues_table, items_table, links_table, page_counts, read_page_stream,
+    audit_pages, audit_stream, filter_pages, issues_table, items_table, links_table, page_counts, quality_gate,
+    read_page_stream,
     report_rows, schemas, summary, summary_lines, type_counts,
 )
 
@@ -57,6 +58,23 @@ def test_no_shuffle_and_one_python_stage(pages, name):
     assert count("(BatchEvalPython|MapInPandas|FlatMapGroupsInPandas)", frame) == 0
 
 
+COUNTED = {
+    "counts": page_counts,
+    "summary": summary,
+    "filtered": lambda results: page_counts(filter_pages(results, "warning", "Product")),
+    "filtered by errors": lambda results: summary(filter_pages(results, "error")),
+    "gate": quality_gate,
+    "text report": summary_lines,
+}
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_counting_reports_make_no_messages(pages, name):
+    counted = COUNTED[name](audit_pages(pages, messages=False))
+    assert "format_string" not in plan(counted) and "should have" not in plan(counted)
+    assert sorted(map(str, counted.collect())) == sorted(map(str, COUNTED[name](audit_pages(pages)).collect()))
+
+
 def test_bounds_of_an_ordered_report_read_ids_alone(pages):
     assert count("ArrowEvalPython", audit_pages(pages).agg(F.percentile_approx("page_id", [0.5], 100))) == 0
 

@@ -69,34 +69,48 @@ CASES = {
 }
 
 
+def case_items(spark, guidelines):
+    rows = [
+        (number, name, [(kind, json.dumps(properties)) for kind, properties in items])
+        for number, (name, (items, flag)) in enumerate(CASES.items())
+        if flag is guidelines
+    ]
+    source = spark.createDataFrame(rows, "page_id bigint, url string, source array<struct<t:string,p:string>>")
+    items = F.transform(
+        "source",
+        lambda entry: F.struct(
+            F.lit("json-ld").alias("schema_format"),
+            entry["t"].alias("schema_type"),
+            F.try_variant_get(F.parse_json(entry["p"]), "$", "map<string,variant>").alias("properties"),
+            F.lit(None).cast("variant").alias("raw"),
+            F.lit(None).cast("string").alias("context"),
+            F.lit(False).alias("is_graph_item"),
+            no_overflow().alias("overflow"),
+        ),
+    ).cast(schemas.ITEMS)
+    return source.withColumn("items", items)
+
+
 @pytest.fixture(scope="module")
 def issues(spark):
     found = {name: [] for name in CASES}
     for guidelines in (True, False):
-        rows = [
-            (number, name, [(kind, json.dumps(properties)) for kind, properties in items])
-            for number, (name, (items, flag)) in enumerate(CASES.items())
-            if flag is guidelines
-        ]
-        source = spark.createDataFrame(rows, "page_id bigint, url string, source array<struct<t:string,p:string>>")
-        items = F.transform(
-            "source",
-            lambda entry: F.struct(
-                F.lit("json-ld").alias("schema_format"),
-                entry["t"].alias("schema_type"),
-                F.try_variant_get(F.parse_json(entry["p"]), "$", "map<string,variant>").alias("properties"),
-                F.lit(None).cast("variant").alias("raw"),
-                F.lit(None).cast("string").alias("context"),
-                F.lit(False).alias("is_graph_item"),
-                no_overflow().alias("overflow"),
-            ),
-        ).cast(schemas.ITEMS)
-        results = validate_items(source.withColumn("items", items), guidelines)
-        for row in issues_table(results).collect():
+        for row in issues_table(validate_items(case_items(spark, guidelines), guidelines)).collect():
             found[row["url"]].append(row)
     return found
 
 
+@pytest.mark.parametrize("guidelines", [True, False])
+def test_codes_stand_for_the_same_issues(spark, guidelines):
+    items = case_items(spark, guidelines)
+    lists = ["errors", "warnings", "info"]
+    codes = {row["url"]: [row[name] for name in lists] for row in validate_items(items, guidelines, messages=False).collect()}
+    for row in validate_items(items, guidelines).collect():
+        ranked = [[i["check_ord"] * 10 + rules.SEVERITY_RANK[i["severity"]] for i in row[name]] for name in lists]
+        assert codes.pop(row["url"]) == ranked
+    assert not codes
+
+
 def kinds(rows):
     return [(row["issue_type"], row["severity"], row["path"]) for row in rows]
 
