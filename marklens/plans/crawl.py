@@ -28,11 +28,20 @@ BROADCAST_BYTES = 8 << 20
 PUSHED_IDS = 1_000
 
 
+def _not_sent(df: DataFrame) -> DataFrame:
+    """The table, as a side of a join that moves rows by key.
+
+    A checkpoint's size as Spark estimates it is that of the files its rows were once read from. Links and URLs made of
+    a few MB of keys are many times that, and would pass the driver on their way to every executor.
+    """
+    return df.hint("merge")
+
+
 def _sent(df: DataFrame, *texts: str) -> DataFrame:
     """The table, to be broadcast if its rows and the bytes of its text columns are few; `df` is a checkpoint."""
     measures = [F.count(F.lit(1)) * 64] + [F.coalesce(F.sum(F.octet_length(t)), F.lit(0)) for t in texts]
     size = sum(df.agg(*measures).first())
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if size <= BROADCAST_BYTES else _not_sent(df)
 
 
 def _url_index(pages: DataFrame, url: Column) -> DataFrame:
@@ -87,16 +96,16 @@ def _visit(
     kept: list[DataFrame] = []
     whole = edges = None
     if not by_level and index is not None:
-        whole = read(snapshot).join(index.select("page_id"), "page_id", "left_semi")
+        whole = read(snapshot).join(_sent(index.select("page_id")), "page_id", "left_semi")
         if keeps:
             whole = cut_lineage(whole)
         links = unfold_links(whole, same_domain, wanted_host, "url")
-        edges = cut_lineage_dealt(links.select("url", "link_pos", "dst").repartition("url"))
+        edges = cut_lineage_dealt(links.select("url", "link_pos", "dst").repartition("url").sortWithinPartitions("url"))
     cut = cut_lineage if few else cut_lineage_dealt
 
     def links_from(level: DataFrame, reached: DataFrame | None) -> DataFrame:
         if edges is not None:
-            found = level.select("url", "place").join(edges, "url")
+            found = level.select("url", "place").join(_not_sent(edges), "url")
         else:
             found = unfold_links(reached, same_domain, wanted_host, "place")
         return (
@@ -114,7 +123,7 @@ def _visit(
         fresh = frontier
         if levels:
             visited = reduce(DataFrame.unionByName, [level.select("url") for level in levels])
-            fresh = fresh.join(visited, "url", "left_anti")
+            fresh = fresh.join(visited if few else _not_sent(visited), "url", "left_anti")
         if rules is not None:
             fresh = with_allowed(fresh, F.lit(host), rules, sent=True).filter("allowed").drop("allowed")
         level = cut((fresh if levels else fresh.repartition("url")).select("url", F.lit(depth).alias("depth"), "place"))

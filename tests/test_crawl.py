@@ -116,6 +116,31 @@ def test_a_level_moves_only_itself(spark, monkeypatch):
     assert len(shuffles) == 33 and set(shuffles[2:]) == {1}
 
 
+@pytest.mark.parametrize("run", [crawl_frontier, crawl_pages])
+def test_nothing_is_broadcast_by_estimate(spark, monkeypatch, tmp_path, run):
+    """Only measured tables are sent around: checkpoints are larger than Spark's estimate, that of the files they came from."""
+    links = {f"p{i}": [f"p{i + 1}", "p0"] for i in range(4)}
+    monkeypatch.setattr(crawl, "LOOKED_UP_PAGES", 0)
+    monkeypatch.setattr(crawl, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    plans = []
+
+    def noted(df):
+        plans.append(df.select("*")._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for name in ("cut_lineage", "cut_lineage_dealt"):
+        monkeypatch.setattr(crawl, name, lambda df, cut=getattr(crawl, name): cut(noted(df)))
+    snapshot(spark, links).write.parquet(f"{tmp_path}/pages")  # files have a size
+    try:
+        got = noted(run(spark.read.parquet(f"{tmp_path}/pages"), "http://h/p0", 10**9, 40))
+        # The last page is missing; it is visited, but has no result.
+        assert visited(got) == {f"p{i}": i for i in range(5 if run is crawl_frontier else 4)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("SortMergeJoin" in plan for plan in plans) and not any("BroadcastExchange" in plan for plan in plans)
+
+
 def test_crawl_across_domains(spark):
     rows = [(1, "http://h/a", '<a href="http://o/b">'), (2, "http://o/b", '<a href="c">'), (3, "http://o/c", "")]
     pages = fetched_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
