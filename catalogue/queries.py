@@ -423,11 +423,8 @@ def crawl_report(spark, sf_dir):
 def stream_issues(spark, sf_dir):
     """Issues of pages that hold a document as markup, audited as a stream until all files are taken in."""
     folder = scratch_folder(spark)
-    stream = (
-        spark.readStream.schema("doc_id bigint, text string")
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
+    # A pattern, since a stream takes no path of a single file: the table may be one, or a folder of them.
+    stream = spark.readStream.schema("doc_id bigint, text string").parquet(f"{sf_dir}/{{documents}}.parquet")
     key = F.col("doc_id")
     kind = F.when(key % 3 == 0, "Article").when(key % 3 == 1, "Memo")
     json = F.to_json(F.struct(kind.alias("@type"), F.col("text").alias("name")))
