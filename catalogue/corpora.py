@@ -7,14 +7,14 @@ reading any HTML. Page ids are `10 * key + family number`, unique over all corpo
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce, wraps
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marklens import rules
-from marklens.functions.columns import built_once
-from marklens.sources.pages import fetched_pages, spread
+from marklens.functions.columns import built_once, planned_once
+from marklens.sources.pages import dealt_out, fetched_pages, spread
 
 CONTEXT = "https://schema.org"
 
@@ -22,22 +22,16 @@ CONTEXT = "https://schema.org"
 Corpus = Callable[[SparkSession, str], DataFrame]
 
 
-def _spread_out(build: Corpus) -> Corpus:
-    """Small tables come as one file split; their pages are spread over the cores."""
-
-    @wraps(build)
-    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spread(build(spark, sf_dir))
-
-    return get
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _columns(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, name).select(*columns)
+    """The rows that pages are built from, dealt out evenly: a table may come in few splits, or in very unequal ones.
+
+    These rows are slim; the pages built of them are many times as large and stay where they are.
+    """
+    return dealt_out(table(spark, sf_dir, name).select(*columns))
 
 
 def _text(*parts: str | Column) -> Column:
@@ -115,14 +109,12 @@ def _product_html() -> Column:
     return _page(name, _by_variant(key % 12, bodies), "")
 
 
-@_spread_out
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 0, from `part`: JSON-LD products, twelve variants."""
     source = _columns(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
     return _corpus(source, 0, F.col("p_partkey"), "https://shop.example.com/product/", _product_html())
 
 
-@_spread_out
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 1, from `orders`: articles, events, FAQ pages and breadcrumbs, six variants."""
     source = _columns(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderpriority")
@@ -164,7 +156,6 @@ SHAPED_VALUES = {
 }
 
 
-@_spread_out
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 2, from `part`: every type with required properties, one of them left out by `p_size`."""
     source = _columns(spark, sf_dir, "part", "p_partkey", "p_size")
@@ -183,7 +174,6 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(source, 2, F.col("p_partkey"), "https://types.example.com/t/", html)
 
 
-@_spread_out
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 3, from `supplier`: Microdata, six variants."""
     source = _columns(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_acctbal")
@@ -221,7 +211,6 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_spread_out
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 4, from `customer`: RDFa, five variants."""
     source = _columns(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
@@ -248,7 +237,6 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(source, 4, key, "https://id.example.com/c/", _page(name, in_head, _by_variant(key % 5, bodies)))
 
 
-@_spread_out
 def oddities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 5, from `events`: untyped, empty, deprecated and unsupported items, URL and date shapes."""
     source = _columns(spark, sf_dir, "events", "event_id", "ts", "event_type", "props")
@@ -276,7 +264,6 @@ def oddities(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEEP = 1_500
 
 
-@_spread_out
 def hard_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 8, from `part`: JSON-LD blocks that are valid but awkward, alone and beside others, six variants."""
     source = _columns(spark, sf_dir, "part", "p_partkey", "p_name")
@@ -324,7 +311,6 @@ def large_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(source, 9, key, "https://large.example.com/r/", _page(name, "", _by_variant(key % 3, bodies)))
 
 
-@_spread_out
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 6, from `part`: product pages with failed, missing and non-HTML responses among them."""
     source = _columns(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
@@ -342,11 +328,10 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _together(*corpora: Corpus) -> Corpus:
-    """Pages of several corpora, spread once."""
+    """Pages of several corpora; what is made of them is planned once, not for each."""
 
-    @_spread_out
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [corpus.__wrapped__(spark, sf_dir) for corpus in corpora])
+        return planned_once(reduce(DataFrame.unionByName, [corpus(spark, sf_dir) for corpus in corpora]))
 
     return get
 
@@ -356,10 +341,9 @@ all_markup = _together(products, articles, typed, listings, profiles, oddities)
 markup_and_log = _together(products, articles, typed, listings, profiles, oddities, fetch_log)
 
 
-@_spread_out
 def real_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given `pages`."""
-    return fetched_pages(table(spark, sf_dir, "pages"))
+    return spread(fetched_pages(table(spark, sf_dir, "pages")))
 
 
 GRAPH_HOST = "graph.example.com"
@@ -367,7 +351,6 @@ GRAPH_START = f"https://{GRAPH_HOST}/c/0"
 FAN_OUT = 10
 
 
-@_spread_out
 def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family 7, from `customer`: page k links to pages 10k+1 to 10k+10 in several notations, back to page 0, and out.
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.urls import normalise_url
 
 MODES = ("crawl", "sitemap")
+# Rows of a task: as few as the first while there are cores to use, and never more than the second.
+FEWEST_ROWS, MOST_ROWS = 20_000, 500_000
 
 
 def fetched_pages(
@@ -43,6 +45,16 @@ def spread(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     return pages if pages.rdd.getNumPartitions() >= tasks else pages.repartition(tasks)
 
 
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """Slim rows that much work follows from, in tasks of equal numbers of rows.
+
+    The splits of a file do not tell how its rows lie: all of them may be in one row group, which one task reads.
+    """
+    count = rows.count()
+    most = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-count // MOST_ROWS))
+    return rows.repartition(max(1, min(-(-count // FEWEST_ROWS), most)))
+
+
 def is_html_response() -> Column:
     return (
         F.col("fetch_error").isNull()
