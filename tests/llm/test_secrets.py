@@ -214,3 +214,54 @@ def test_training_on_all_chains_of_a_length_is_training_on_each():
             total += path_score(empty, tokens, possible, labels) - np.logaddexp.reduce(scores)
         totals.append(total)
     assert np.sign(field.emit[slot, S.BEGIN]) == np.sign(totals[0] - totals[1])
+
+
+SCORED_PARTS = ["a", "pwd", "key=", "x1", "  ", "\n", " ", " ", "é", ".", "=", "key", "Auth", "w" * 30, "zz" * 60, " " * 90, "-", "😀", "0", "Ab",
+                "AB", "ABc", "authX", "deadbeef", "7777", "hello", "Hello", "e" * 15, "1" * 17]
+
+
+def test_the_field_scores_and_decodes_every_token_of_a_text(monkeypatch):
+    """Whatever its make or place: the same path as Viterbi over the features of all tokens, in one batch or in many."""
+    rnd, field = random.Random(2), random_field(1)
+    texts, wanted = [], []
+    for _ in range(150):
+        text = "".join(rnd.choices(SCORED_PARTS, k=rnd.randint(0, 60)))
+        run = S._all_tokens(text)
+        assert "".join(text[a:b] for a, b in run) == "".join(text.split())
+        path, about = [], S.text_features(text)
+        if run:
+            slots = [S.token_features(text, a, b, about) for a, b in run]
+            np.testing.assert_allclose(S.Scorer(field).scores([text])[0], field.scores(slots, [True] * len(run)))
+            path = field.viterbi(slots, [True] * len(run))
+        texts.append(text)
+        found = []
+        for (start, end), state in zip(run, path):
+            if state == S.BEGIN:
+                found.append((start, end))
+            elif state == S.INSIDE:
+                found[-1] = (found[-1][0], end)
+        wanted.append(found)
+    assert S.Scorer(field).tagged(texts) == wanted and any(len(found) > 1 for found in wanted)
+    monkeypatch.setattr(S, "SCORED_PIECES", 7)
+    monkeypatch.setattr(S, "KEPT_WORDS", 5)
+    assert S.Scorer(field).tagged(texts) == wanted
+
+
+def test_short_secrets_and_words_are_found_where_they_stand_as_secrets(docs_of):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("aeinrstlodhu", k=rnd.randint(2, 9))) for _ in range(800)]
+    texts = [" ".join(rnd.choices(words, k=60)) for _ in range(300)]
+    field = S.trained_field(docs_of([f"{text} report7final" for text in texts[:150]]))
+    hits, kinds, alarms = [], set(), 0
+    for shown, spans in [example for text in texts[150:] for example in S.planted_plain(text)]:
+        found = S.all_spans(shown, field)[1]
+        if spans:
+            hits.append(spans == found)
+            value = shown[spans[0][0] : spans[0][1]]
+            if hits[-1]:
+                kinds |= {("short", len(value) < 6), ("digits", value.isdigit()), ("word", value.isalpha())}
+        else:
+            alarms += bool(found)
+    assert sum(hits) >= 0.6 * len(hits) and alarms <= 0.03 * len(hits)
+    assert kinds >= {("short", True), ("digits", True), ("word", True)}
+    assert all(S.all_spans(text, field)[1] == [] for text in texts[150:])
