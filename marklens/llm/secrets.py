@@ -21,7 +21,6 @@ import re
 import string
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,7 +155,6 @@ def _bucket(value: float, *edges: float) -> int:
     return sum(value >= edge for edge in edges)
 
 
-@lru_cache(1 << 16)
 def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % FEATURES
 

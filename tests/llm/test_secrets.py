@@ -1,9 +1,13 @@
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from marklens.llm import secrets as S
@@ -265,3 +269,12 @@ def test_short_secrets_and_words_are_found_where_they_stand_as_secrets(docs_of):
     assert sum(hits) >= 0.6 * len(hits) and alarms <= 0.03 * len(hits)
     assert kinds >= {("short", True), ("digits", True), ("word", True)}
     assert all(S.all_spans(text, field)[1] == [] for text in texts[150:])
+
+
+def test_the_scan_travels_without_the_package(tmp_path):
+    """Executors need not have the package: nothing that a task runs is pickled as a name to import."""
+    (tmp_path / "scan").write_bytes(cloudpickle.dumps((S.all_spans, S.Field)))
+    code = "import pickle; spans, field = pickle.load(open('scan', 'rb')); print(spans('token = abcdef12 é', field()))"
+    environment = {name: value for name, value in os.environ.items() if name != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "([(0, 16, 'assign')], [(0, 16, 'assign')])", done.stderr
