@@ -36,8 +36,12 @@ def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once per row and use it any number of times in `body`."""
-    return F.transform(F.array(value), lambda bound: body(bound))[0]
+    """Evaluate `value` once per row and use it any number of times in `body`.
+
+    The value is the start of a fold over nothing, and `body` its finish. An entry taken out of a transformed array
+    would do as well, but asks for the type of all of `body` anew for each row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def strip(text: Column) -> Column:

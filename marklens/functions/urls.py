@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import (
-    DATE_SHAPE, SKIPPED_EXTENSIONS, SKIPPED_HREF_PREFIXES, URL_ENDING_SHAPE, URL_LABEL_SHAPE, URL_QUAD_SHAPE, URL_SHAPE,
+    DATE_SHAPE, PLAIN_URL_SHAPE, SKIPPED_EXTENSIONS, SKIPPED_HREF_PREFIXES, URL_ENDING_SHAPE, URL_LABEL_SHAPE, URL_QUAD_SHAPE, URL_SHAPE,
 )
 from .columns import let, strip
 
@@ -138,11 +138,14 @@ def is_http_url(value: Column) -> Column:
             & F.forall(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: p.rlike(URL_LABEL_SHAPE)),
         )
 
-    return value.rlike(URL_SHAPE) & let(
-        F.regexp_extract(value, URL_SHAPE, 1),
-        lambda host: (F.lower(host) == "localhost")
-        | host.rlike(URL_QUAD_SHAPE)
-        | domain(host),
+    return value.rlike(PLAIN_URL_SHAPE) | (
+        value.rlike(URL_SHAPE)
+        & let(
+            F.regexp_extract(value, URL_SHAPE, 1),
+            lambda host: (F.lower(host) == "localhost")
+            | host.rlike(URL_QUAD_SHAPE)
+            | domain(host),
+        )
     )
 
 

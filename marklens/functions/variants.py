@@ -75,6 +75,9 @@ def joined_text(value: Column, separator: str) -> Column:
 
     def text(bound: Column) -> Column:
         joined = F.array_join(F.transform(as_list(bound), python_text), separator)
-        return F.coalesce(joined, F.when(is_truthy(bound), python_text(bound)))
+        # Most values are plain texts, for which nothing else is asked.
+        return F.when(is_text(bound), as_text(bound)).otherwise(
+            F.coalesce(joined, F.when(is_truthy(bound), python_text(bound)))
+        )
 
-    return F.nullif(let(value, text), F.lit(""))
+    return let(let(value, text), lambda found: F.when(found != "", found))

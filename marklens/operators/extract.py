@@ -6,6 +6,8 @@ so grouping them into items needs no shuffle, and a page with very many elements
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,11 +47,14 @@ def _no_raw() -> Column:
 # --- JSON-LD ------------------------------------------------------------------------------------
 
 
-def _jsonld_item(entry: Column, context: Column, overflow: Column, in_graph: bool, with_raw: bool) -> Column:
-    kept = F.map_filter(V.as_object(entry), lambda name, _: ~name.startswith("@") | (name == "@id"))
+def _jsonld_item(
+    entry: Column, members: Column, context: Column, overflow: Column, in_graph: bool, with_raw: bool
+) -> Column:
+    """Item of an object, given with its members as a map."""
+    kept = F.map_filter(members, lambda name, _: ~name.startswith("@") | (name == "@id"))
     return _item(
         JSON_LD,
-        F.coalesce(V.joined_text(V.member(entry, "@type"), ", "), F.lit(UNKNOWN)),
+        F.coalesce(V.joined_text(members["@type"], ", "), F.lit(UNKNOWN)),
         kept,
         entry if with_raw else _no_raw(),
         context,
@@ -69,29 +74,40 @@ def _malformed_item(text: Column, with_raw: bool) -> Column:
 def _block_items(block: Column, overflow: Column, with_raw: bool) -> Column:
     """Items of one parsed block: an object, each object of a list, or each object of an object's @graph list.
 
-    A block with overflow has one item.
+    A block with overflow has one item. An object's members are taken out once: that they are there tells that it is an
+    object, and type, context, graph and properties are read from them.
     """
 
+    def of_object(top: Column, found: Callable[[Column], Column]) -> Column:
+        return let(V.as_object(top), lambda members: F.when(members.isNotNull(), found(members)).otherwise(_no_items()))
+
     def object_items(top: Column) -> Column:
-        def with_context(context: Column) -> Column:
-            return let(
-                V.as_list(V.member(top, "@graph")),
-                lambda graph: F.when(
-                    graph.isNotNull(),
-                    F.transform(
-                        F.filter(graph, V.is_object), lambda entry: _jsonld_item(entry, context, overflow, True, with_raw)
+        def graph_items(graph: Column, context: Column) -> Column:
+            return F.flatten(
+                F.transform(
+                    graph,
+                    lambda entry: of_object(
+                        entry, lambda members: F.array(_jsonld_item(entry, members, context, overflow, True, with_raw))
                     ),
-                ).otherwise(F.array(_jsonld_item(top, context, overflow, False, with_raw))),
+                )
             )
 
-        return let(V.joined_text(V.member(top, "@context"), " "), with_context)
+        def items(members: Column) -> Column:
+            context = V.joined_text(members["@context"], " ")
+            return F.when(
+                ~F.map_contains_key(members, "@graph"), F.array(_jsonld_item(top, members, context, overflow, False, with_raw))
+            ).otherwise(
+                let(
+                    V.as_list(members["@graph"]),
+                    lambda graph: F.when(
+                        graph.isNotNull(), let(context, lambda shared: graph_items(graph, shared))
+                    ).otherwise(F.array(_jsonld_item(top, members, context, overflow, False, with_raw))),
+                )
+            )
 
-    objects = F.coalesce(
-        F.filter(V.as_list(block), V.is_object),
-        F.when(V.is_object(block), F.array(block)),
-        F.array().cast("array<variant>"),
-    )
-    return F.flatten(F.transform(objects, object_items))
+        return of_object(top, items)
+
+    return F.flatten(F.transform(F.coalesce(V.as_list(block), F.array(block)), object_items))
 
 
 def jsonld_items(scripts: Column, with_raw: bool = False) -> Column:
@@ -157,8 +173,7 @@ def _property_map(runs: Column) -> Column:
     """A single value stays a text, repeats become a list."""
 
     def entry(run: Column) -> Column:
-        values = _values(run)
-        value = F.when(F.size(run) == 1, V.to_variant(values[0])).otherwise(V.to_variant(values))
+        value = F.when(F.size(run) == 1, V.to_variant(run[0]["value"])).otherwise(V.to_variant(_values(run)))
         return F.struct(run[0]["name"].alias("key"), value.alias("value"))
 
     return F.map_from_entries(F.transform(runs, entry))
@@ -182,8 +197,8 @@ def _overflow_map(runs: Column) -> Column:
     """The whole values of large runs: a single one as it is, repeats as a JSON list."""
 
     def entry(run: Column) -> Column:
-        values, single = _values(run), F.size(run) == 1
-        text = F.when(single, values[0]).otherwise(F.to_json(values))
+        single = F.size(run) == 1
+        text = F.when(single, run[0]["value"]).otherwise(F.to_json(_values(run)))
         return F.struct(run[0]["name"].alias("key"), large_value(text, ~single).alias("value"))
 
     return F.map_from_entries(F.transform(F.filter(runs, _is_large), entry))

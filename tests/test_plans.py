@@ -10,6 +10,8 @@ from marklens import (
     read_page_stream,
     report_rows, schemas, summary, summary_lines, type_counts,
 )
+from marklens.operators.extract import jsonld_items
+from marklens.plans.audit import read_pages
 
 BLOCK = '<script type="application/ld+json">{"@type": "Product"}</script>'
 
@@ -115,3 +117,23 @@ def test_reader_needs_no_package_on_executors():
     from marklens.operators import elements
 
     assert b"_raw_end" in cloudpickle.dumps(elements._reader(True, True).func)
+
+
+def test_no_value_is_bound_as_an_entry_of_an_array(pages):
+    """Taking one entry out of a transformed array asks for the type of the whole transformation in each row."""
+    for messages in (True, False):
+        text = plan(audit_pages(pages, messages=messages))
+        assert "lambdafunction" in text and "false))[0]" not in text
+
+
+def test_pages_with_a_block_are_not_folded(pages):
+    """Several tests of the folded page are one common expression, which Spark makes of every page, needed or not."""
+    for links in (False, True):
+        assert plan(read_pages(pages, links=links)).count("lower(html") == 1
+
+
+def test_members_of_an_object_are_taken_out_once_for_each_place(pages):
+    """An object's members tell that it is one, its type, context, graph and properties."""
+    text = plan(pages.select(jsonld_items(F.from_json("html", f"array<{schemas.SCRIPT}>")).alias("items")))
+    members = re.findall(r"try_variant_get\((lambda \w+#\d+), \$, MapType", text)
+    assert text.count('$["@') == 0 and 2 <= len(set(members))

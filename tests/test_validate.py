@@ -270,3 +270,38 @@ def test_url_shape_on_generated_urls(spark):
 
     collect()
     assert matches(spark, values, is_http_url) == [URL_SHAPE.match(u) is not None for u in values]
+
+
+def test_plain_urls_need_no_second_look(spark, monkeypatch):
+    """What the one pattern for plain URLs accepts is what the look part by part accepts."""
+    from itertools import product
+
+    from marklens.functions import urls
+
+    hosts = [
+        "example.com", "EXAMPLE.com", "a.b.c.d.e.f.g.h.i.j.com", "x" * 63 + ".com", "x" * 64 + ".com", "localhost", "1.2.3.4", "a-b.com",
+        "-a.com", "a..com", "a.c", "a.photography", "a.com.", "ä.com", "example.com:80", "", "exa mple.com", "a.KK",
+    ]
+    tails = ["", "/", "?q=1", "#x", "/x", "/x y", "/ä", "/x\n", "\n", "/ ", "/a/b?c=d#e", "//"]
+    values = [f"{scheme}{host}{tail}" for scheme, host, tail in product(["http://", "https://", "HTTP://", "ftp://", ""], hosts, tails)]
+    rows = spark.createDataFrame([(v,) for v in values], "value string")
+    got = rows.select("value", urls.is_http_url(F.col("value")).alias("v"))
+    assert got.filter("v").count() > 100
+    plain = rows.filter(F.col("value").rlike(urls.PLAIN_URL_SHAPE)).count()
+    monkeypatch.setattr(urls, "PLAIN_URL_SHAPE", "(?!)")
+    want = rows.select("value", urls.is_http_url(F.col("value")).alias("v"))
+    assert plain >= 30 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_names_of_url_properties_in_any_case(spark):
+    from marklens import rules
+    from marklens.operators.validate import _is_url_property
+
+    names = [
+        *rules.URL_PROPERTIES, *map(str.upper, rules.URL_PROPERTIES), *map(str.title, rules.URL_PROPERTIES), "linK", "LINK",
+        "İmage", "name", "", "urls", "ur", "URL ", "hreﬀ", None,
+    ]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    name = F.col("name")
+    found = frame.select("name", _is_url_property(name).alias("got"), F.lower(name).isin(rules.URL_PROPERTIES).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in found) and sum(bool(r["got"]) for r in found) >= 18
